@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, token_counts, warc
+from . import chat, decontam, langid, media, mixing, token_counts, warc
 from .common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.facts(media.store(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 def op4_chat_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
@@ -32,7 +40,18 @@ def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op4_chat_roundtrip, op5_source_mix, op6_decontamination, op7_warc_archive, op10_length_histogram)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op2_media_columns,
+        op4_chat_roundtrip,
+        op5_source_mix,
+        op6_decontamination,
+        op7_warc_archive,
+        op10_length_histogram,
+    )
+}
 
 OP4 = r"""
 WITH c AS (
