@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, media, mixing, token_counts, warc
+from . import chat, decontam, langid, media, mixing, pii, token_counts, warc
 from .common import table
 
 
@@ -19,7 +19,8 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_chat_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "</s>[INST] ok [/INST]"
-    probe = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role")
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role, F.lit(hard).alias("text"))
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digests(chat.format_conversations(given.unionByName(probe)))
 
@@ -36,6 +37,10 @@ def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_roundtrip(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(table(spark, sf_dir, "documents")))
 
@@ -49,6 +54,7 @@ QUERIES = {
         op5_source_mix,
         op6_decontamination,
         op7_warc_archive,
+        op9_personal_data,
         op10_length_histogram,
     )
 }
