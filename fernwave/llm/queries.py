@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, media, mixing, pii, token_counts, warc
+from . import chat, decontam, langid, media, mixing, pii, simjoin, token_counts, warc
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_roundtrip(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simjoin.similarity_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES = {
         op5_source_mix,
         op6_decontamination,
         op7_warc_archive,
+        op8_jaccard_join,
         op9_personal_data,
         op10_length_histogram,
     )
