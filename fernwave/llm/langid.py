@@ -209,3 +209,15 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE, steps: int = STE
     model = fit(docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id"))), per_language, steps)
     seen = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), detect(F.col("text"), model).alias("p"))
     return seen.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+#: A text in which no language reaches this probability is rejected.
+LEAST_SCORE = 0.3
+
+
+def accepted(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """The documents in which a language is recognised, with all their columns."""
+    model = fit(docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id"))))
+    seen = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), detect(F.col("text"), model).alias("_p"))
+    good = seen.filter((F.col("_p.lang_pred") != UNKNOWN) & (F.col("_p.score") >= least))
+    return good.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
