@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, media, mixing, pii, simjoin, token_counts, warc
+from . import chat, decontam, langid, media, mixing, pii, simjoin, substrings, token_counts, warc
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.facts(media.store(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(substrings.dedup(table(spark, sf_dir, "documents")))
+
+
 def op4_chat_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "</s>[INST] ok [/INST]"
     role = F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role")
@@ -54,6 +58,7 @@ QUERIES = {
     for f in (
         op1_language_id,
         op2_media_columns,
+        op3_substring_dedup,
         op4_chat_roundtrip,
         op5_source_mix,
         op6_decontamination,
