@@ -1 +1,39 @@
-"""See README.md."""
+"""Scalar functions that Spark SQL lacks, as column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Acklam's published coefficients for the inverse normal distribution.
+A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01)
+C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00)
+LOW = 0.02425
+
+# Numerical Recipes' coefficients for the complementary error function (error below 1.2e-7).
+E = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def _poly(coefficients, x: Column) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + F.lit(c)
+    return out
+
+
+def inverse_normal(p: Column) -> Column:
+    """Quantile of the standard normal distribution for 0 < p < 1."""
+    r = F.least(p, 1.0 - p)
+    q = F.sqrt(-2.0 * F.log(r))
+    tail = _poly(C, q) / (_poly(D, q) * q + 1.0)
+    m = p - 0.5
+    middle = _poly(A, m * m) * m / (_poly(B, m * m) * (m * m) + 1.0)
+    return F.when(p < LOW, tail).when(p > 1 - LOW, -tail).otherwise(middle)
+
+
+def erfc(x: Column) -> Column:
+    t = 1.0 / (1.0 + 0.5 * F.abs(x))
+    y = t * F.exp(-x * x + _poly(E[::-1], t))
+    return F.when(x >= 0, y).otherwise(2.0 - y)
