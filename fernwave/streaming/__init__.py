@@ -1 +1 @@
-"""See README.md."""
+"""Structure files as streams."""
