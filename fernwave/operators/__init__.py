@@ -1 +1 @@
-"""See README.md."""
+"""Graph, spectral, ranking, scoring, feature, learned and circuit operators on DataFrames."""

@@ -1 +1 @@
-"""See README.md."""
+"""The catalogue of registered queries."""
