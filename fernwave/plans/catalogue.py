@@ -13,6 +13,7 @@ from ..functions.lineage import cut_lineage
 from ..operators import circuits, features, graph, learned, ranking, scoring, spectral
 from ..operators.graph import S
 from ..sources.points import embedding_nodes
+from . import experiments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -735,6 +736,69 @@ def zz_kernel(spark, sf_dir):
     return embedding_nodes(spark, sf_dir).select("node_id", F.round(own("x", "y", "z"), 6).alias("diagonal"))
 
 
+def _thirds(spark, sf_dir):
+    n, e = structures(spark, sf_dir)
+    return n.withColumn("y01", (F.col("node_id") % 3 == 0).cast("int")), e
+
+
+@query()
+def detector_leaderboard(spark, sf_dir):
+    """All named detectors and their consensus, scored."""
+    return experiments.leaderboard(*_thirds(spark, sf_dir))
+
+
+@query()
+def submission_hits(spark, sf_dir):
+    """Routed detector, boosted trees of the other structures, and their fusion: the top five of one structure."""
+    out = experiments.submission(*_thirds(spark, sf_dir), fold="0", trees=20)
+    return out.filter("pos <= 5").select(S, "node_id", "detector", "regime", "pos", *[F.round(c, 5).alias(c) for c in ("routed", "boosted", "fused")])
+
+
+@query()
+def symbolic_terms(spark, sf_dir):
+    """Physics primitives over one or two standardised channels, by how well they tell labels on average."""
+    x = features.zscore(_channels(spark, sf_dir), CH)
+    terms = learned.pair_terms(CH)
+    wide = x.select(S, "node_id", "y01", *[v.alias(k) for k, v in terms.items()])
+    return learned.lean_top(learned.channel_auc(wide, list(terms)), 5).withColumn("strength", F.round("strength", 5))
+
+
+@query()
+def operator_agreement(spark, sf_dir):
+    """Cosines between the ridge operators of the structures, on spectral participation."""
+    n, e = _thirds(spark, sf_dir)
+
+    def run(s):
+        p = spectral.participation(*s.eig())
+        p = (p - p.mean(0)) / (p.std(0) + 1e-9)
+        y = s.nodes["y01"].to_numpy(float)
+        c = np.linalg.solve(p.T @ p + np.eye(p.shape[1]), p.T @ (y - y.mean()))
+        return {"band": np.arange(len(c)), "c": c / (np.linalg.norm(c) + 1e-12)}
+
+    c = spectral.per_structure(n, e, run, "band long, c double")
+    other = c.select(F.col(S).alias("other"), "band", F.col("c").alias("oc"))
+    return c.join(other, "band").filter(F.col(S) < F.col("other")).groupBy(S, "other").agg(F.round(F.sum(F.col("c") * F.col("oc")), 5).alias("cosine"))
+
+
+@query()
+def spectral_preservation(spark, sf_dir):
+    """How near the low eigenvalues of the coarse graph come to those of the fine one, in units of its first."""
+    n, e = structures(spark, sf_dir)
+    c = coarse_clusters(n, e, 3)
+    rolled = graph.cluster_rollup(e, c)
+    fine = spectral.per_structure(n, e, lambda s: {"k": np.arange(6), "w": s.eig()[0][1:7] / max(s.eig()[0][1], 1e-9)}, "k long, w double")
+
+    def run(key, pdf):
+        a, inverse = np.unique(np.concatenate([pdf["a"], pdf["b"]]), return_inverse=True)
+        m = np.zeros((len(a), len(a)))
+        m[inverse[: len(pdf)], inverse[len(pdf) :]] = pdf["contacts"]
+        w = np.linalg.eigvalsh(np.diag(m.sum(1)) - m)[1:7]
+        return pd.DataFrame({S: key[0], "k": np.arange(len(w)), "cw": w / max(w[0], 1e-9)})
+
+    coarse = rolled.groupBy(S).applyInPandas(run, f"{S} string, k long, cw double")
+    return fine.join(coarse, [S, "k"]).groupBy(S).agg(F.round(F.avg(F.abs(F.col("cw") - F.col("w")) / F.col("w")), 4).alias("mean_error"))
+
+
 @query()
 def routed_hits(spark, sf_dir):
     """The flagship: a distal and a proximal detector, routed by how decisive they are, and the top five of each structure."""
