@@ -135,3 +135,28 @@ def feature_states(x: np.ndarray, repeats: int = 2) -> np.ndarray:
 
 def quantum_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.abs(feature_states(a).conj() @ feature_states(b).T) ** 2
+
+
+def gate_lines(gates: DataFrame) -> DataFrame:
+    """(structure_id, step, seq, line): a gate table as text, in the order that a device would run it."""
+    line = F.format_string("%s q[%d], q[%d] theta=%.6f", "op", "q0", "q1", "theta")
+    return gates.select(S, "step", "seq", line.alias("line")).orderBy(S, "step", "seq")
+
+
+def train_reuploading(x: np.ndarray, y: np.ndarray, layers: int = 2, rounds: int = 30, rate: float = 0.1, seed: int = 0) -> np.ndarray:
+    """Parameters of `reuploading` by Adam on the weighted cross entropy; gradients by shifts of a quarter turn."""
+    theta = np.random.default_rng(seed).normal(0, 0.3, (layers, 2, x.shape[1]))
+    weight = np.where(y > 0, (len(y) - y.sum()) / max(1.0, y.sum()), 1.0)
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    for k in range(1, rounds + 1):
+        p = np.clip(reuploading(x, theta), 1e-6, 1 - 1e-6)
+        slope = weight * (p - y) / (p * (1 - p)) / weight.sum()
+        g = np.zeros_like(theta)
+        for at in np.ndindex(theta.shape):
+            up, down = theta.copy(), theta.copy()
+            up[at] += np.pi / 2
+            down[at] -= np.pi / 2
+            g[at] = (slope * (reuploading(x, up) - reuploading(x, down)) / 2).sum()
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        theta -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+    return theta

@@ -252,3 +252,27 @@ def pair_terms(cols: list[str]) -> dict[str, Column]:
         for b in cols[k + 1 :]:
             out |= {f"interf({a},{b})": interfere(quoted(a), quoted(b)), f"reso({a},{b})": resonate(quoted(a), quoted(b))}
     return out
+
+
+def common_terms(terms: DataFrame, n_folds: int) -> DataFrame:
+    """Terms (fold, term) that every fold holds."""
+    return terms.groupBy("term").agg(F.countDistinct("fold").alias("n")).filter(F.col("n") == n_folds).select("term")
+
+
+def channel_usage(pool: DataFrame, chosen: DataFrame, top: int = 4) -> DataFrame:
+    """How often each channel is among the chosen stumps (k), the most used first."""
+    return pool.join(chosen, "k").groupBy("channel").agg(F.count(F.lit(1)).alias("uses")).orderBy(F.desc("uses"), "channel").limit(top)
+
+
+def principal(train: DataFrame, test: DataFrame, cols: list[str], k: int) -> DataFrame:
+    """(structure_id, node_id, pc0...): test rows on the train rows' first k components, squashed by the train rows' spread."""
+    from pyspark.ml.feature import PCA, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    names = [f"c{i}" for i in range(len(cols))]
+    put = VectorAssembler(inputCols=names, outputCol="features")
+    ready = lambda d: put.transform(d.select(S, "node_id", *[quoted(c).alias(n) for c, n in zip(cols, names, strict=True)]))
+    model = PCA(k=k, inputCol="features", outputCol="pc").fit(ready(train))
+    flat = lambda d: model.transform(ready(d)).select(S, "node_id", *[vector_to_array("pc")[i].alias(f"pc{i}") for i in range(k)])
+    spread = flat(train).agg(*[f(f"pc{i}").alias(f"{n}{i}") for i in range(k) for n, f in (("m", F.avg), ("s", F.stddev_pop))])  # one row
+    return flat(test).crossJoin(F.broadcast(spread)).select(S, "node_id", *[F.tanh((F.col(f"pc{i}") - F.col(f"m{i}")) / (F.col(f"s{i}") + 1e-9)).alias(f"pc{i}") for i in range(k)])

@@ -31,3 +31,10 @@ def write_run(path: str, hits: DataFrame, board: DataFrame, matrix: DataFrame |
 def report_lines(board: DataFrame) -> DataFrame:
     """(structure_id, line): a bullet for each structure."""
     return board.select(S, F.format_string("- **%s**: AUC %.3f, top 5 hit %d", F.col(S), F.col("roc_auc"), F.col("hit_5")).alias("line"))
+
+
+def submission_json(hits: DataFrame, stats: DataFrame, by: str = S) -> DataFrame:
+    """(structure_id, json): a structure's statistics with its hits, in order, as one nested document."""
+    rows = hits.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("pos", *[c for c in hits.columns if c not in (by, "pos")]))).alias("hits"))
+    both = stats.join(rows, by, "left")
+    return both.select(by, F.to_json(F.struct(*[c for c in both.columns])).alias("json"))

@@ -119,3 +119,16 @@ def select_script(ranked: DataFrame, nodes: DataFrame, top: int = 5) -> DataFram
     one = F.concat(F.lit("(chain "), F.col("chain"), F.lit(" and resi "), F.col("resseq").cast("string"), F.lit(")"))
     rows = F.array_sort(F.collect_list(F.struct("pos", one.alias("s"))))
     return x.groupBy(S).agg(F.concat(F.lit("select top, "), F.array_join(F.transform(rows, lambda r: r["s"]), " or ")).alias("script"))
+
+
+def raw_files(targets: DataFrame, files: DataFrame) -> DataFrame:
+    """Adds `raw`: the file (of column `path`) named by a target's name up to its first underscore; null if there is none."""
+    named = files.select("path", F.regexp_extract("path", r"([^/]+?)(\.\w+)?$", 1).alias("_code"))
+    return targets.withColumn("_code", F.substring_index("name", "_", 1)).join(named, "_code", "left").drop("_code").withColumnRenamed("path", "raw")
+
+
+def resolve_active(nodes: DataFrame, spec: DataFrame) -> DataFrame:
+    """(structure_id, node_id) named by rows (structure_id, chain, resseq); a null chain stands for every chain."""
+    s = spec.select(F.col(S).alias("_s"), F.col("chain").alias("_c"), F.col("resseq").alias("_r"))
+    hit = (nodes[S] == s["_s"]) & (nodes["resseq"] == s["_r"]) & (s["_c"].isNull() | (nodes["chain"] == s["_c"]))
+    return nodes.join(s, hit, "left_semi").select(S, "node_id")
