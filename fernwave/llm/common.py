@@ -38,13 +38,13 @@ def pieces(total: float, each: float, least: int = 1) -> int:
     return max(least, math.ceil(total / each))
 
 
-def running_sum(df: DataFrame, group: list[str], value: str, out: str, id_col: str, per_bucket: int, n_rows: int) -> DataFrame:
+def running_sum(df: DataFrame, group: list[str], value: str, out: str, id_col: str, n_rows: int) -> DataFrame:
     """Exclusive running sum of `value` within `group`, in the order (hash bucket of the id, id).
 
     Two levels: rows are summed by (group, bucket), only those sums pass a window by group, and the rows
     themselves pass windows by (group, bucket). No task holds a whole group however large that is.
     """
-    n = pieces(n_rows, per_bucket)
+    n = pieces(math.sqrt(max(1, n_rows)), 1)  # as many buckets as rows in a bucket
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)))
     keys = [F.col(c) for c in group]
     sums = dealt.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_sum"))

@@ -125,7 +125,7 @@ def fill_slots(spark, plan: Plan, shard: int = SHARD, seed: int = SEED) -> DataF
     """(shard, source_no, block_no), a row for each slot of the mix."""
     n_shards = pieces(plan.n_slots, shard, least=0)
     drawn = durable(draw_shards(spark, plan, shard, seed))
-    numbered = running_sum(drawn, ["source_no"], "drawn", "before", "shard", 4096, n_shards)
+    numbered = running_sum(drawn, ["source_no"], "drawn", "before", "shard", n_shards)
     got = np.zeros(len(plan.slots), np.int64)
     for r in drawn.groupBy("source_no").agg(F.sum("drawn").alias("n")).collect():  # a row for each source
         got[r.source_no] = r.n
@@ -172,7 +172,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, most: int = MOS
     known = F.broadcast(known) if len(rows) <= 10_000 else known
     placed = running_sum(
         sizes.join(known, sizes.source.eqNullSafe(known.source)).select("doc_id", sizes.source, "size", "source_no", "source_size", "target"),
-        ["source_no"], "size", "start", "doc_id", 50_000, n_docs,
+        ["source_no"], "size", "start", "doc_id", n_docs,
     )
     if not plan.n_slots:
         return placed.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
