@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import durable
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Lengths are dealt to windows in ranges of this width.
 RANGE = 1024
@@ -41,8 +43,11 @@ def token_length(text: Column, vocabulary: str = VOCABULARY) -> Column:
 
 
 def length_histogram(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(length, n_docs): the number of documents of every encoded length. Tasks add up before they shuffle."""
-    return docs.select(token_length(F.col(text_col), vocabulary).alias("length")).groupBy("length").agg(F.count(F.lit(1)).alias("n_docs"))
+    """(length, n_docs): the number of documents of every encoded length. Tasks add up before they shuffle.
+
+    The histogram is small and used more than once, so it is written once; no text is encoded twice.
+    """
+    return durable(docs.select(token_length(F.col(text_col), vocabulary).alias("length")).groupBy("length").agg(F.count(F.lit(1)).alias("n_docs")))
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
