@@ -17,7 +17,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     # Sums up in the tasks first, so a node with very many neighbours costs its task one row for each other task.
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+    # It is written before it is joined: then both sides of the join are plain shuffles, whose skewed parts can be split.
+    least = durable(near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")))
     joined = near.join(least, near["u"] == least["w"])
     moved = joined.filter(F.col("v") > F.col("u")) if large else joined.filter(F.col("v") != F.col("m"))
     out = moved.select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -181,7 +181,8 @@ def _spanning(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 def verify(docs: DataFrame, families: DataFrame, n_members: int, size: int = SIZE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """(doc_id, root, links): a row for each document and block of its family in which it has links."""
-    sized = families.groupBy("root").agg(F.count(F.lit(1)).alias("family_size"))
+    # Written before they are joined, like `classes` below, so that a join's skewed parts can be split.
+    sized = durable(families.groupBy("root").agg(F.count(F.lit(1)).alias("family_size")))
     named = families.join(sized, "root").select(F.col("node").alias("_node"), F.col("root").alias("family"), "family_size")
     texts = docs.join(named, docs["doc_id"] == named["_node"]).select("doc_id", "text", "family", "family_size")
     n_deal = pieces(n_members, ROWS)
@@ -260,6 +261,7 @@ def similarity_classes(docs: DataFrame, size: int = SIZE, threshold: tuple[int,
         .join(counts, copies["rep"] == counts["doc_id"], "left")
         .select(F.col("set_key").alias("_key"), F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
     )
+    classes = durable(classes)
     return sets.join(classes, sets["set_key"] == classes["_key"], "left").select(
         "doc_id",
         F.coalesce("class_id", "doc_id").alias("class_id"),
