@@ -11,7 +11,8 @@ from .common import slices, utf8
 
 SIZE = 5
 RUN = 1 << 20
-_P = np.uint64(0x100000001B3 * 0x10001 + 2 & 0xFFFFFFFFFFFFFFFF | 1)
+#: Keeps the first k of a block's 8 bytes.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -30,7 +31,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of rows that lie joined in data, and how many each row has.
 
-    A word is a maximal run of digits, letters (A-Z as a-z) and bytes from 0x80 on; equal words have equal hashes.
+    A word is a maximal run of digits, letters (A-Z as a-z) and bytes from 0x80 on; equal words have equal hashes, and
+    every byte counts however long the word is.
     """
     low = _LOWER[data]
     is_word = _WORD[low]
@@ -40,12 +42,15 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     end = np.flatnonzero(is_word & ~(np.concatenate([is_word[1:], [False]]) & ~edge[1:])) + 1
     size = end - begin
     out = np.zeros(len(begin), np.uint64)
-    # Horner's rule on all words at once, letter by letter; words that are through drop out.
+    # Blocks of 8 bytes of all words at once, each mixed with the whole state so far; words that are through drop out.
+    # No byte of a word is 0, so the last block's padding tells no two words alike.
+    ahead = np.ndarray(len(low), "<u8", np.append(low, np.zeros(8, np.uint8)), strides=(1,))
     todo = np.arange(len(begin))
     k = 0
     while len(todo):
-        out[todo] = mix64(out[todo] + _P * (low[begin[todo] + k].astype(np.uint64) + np.uint64(1))) if k % 8 == 7 else (out[todo] << np.uint64(8)) | low[begin[todo] + k]
-        k += 1
+        block = ahead[begin[todo] + k] & _FIRST[np.minimum(size[todo] - k, 8)]
+        out[todo] = mix64(out[todo] ^ block)
+        k += 8
         todo = todo[size[todo] > k]
     out = mix64(out + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     count = np.diff(np.searchsorted(begin, bounds))
