@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernwave.llm import decontam, langid, mixing, pii, simjoin
-from fernwave.llm.common import shared_dir, table
+from fernwave.llm.common import durable, shared_dir, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simjoin.keep_one(docs)
+    return simjoin.one_a_class(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +34,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixing.mix(docs).select(F.col("doc_id").alias("_id"), "size", "source_size", "target", "taken")
-    return docs.join(taken, docs["doc_id"] == taken["_id"]).select(*[docs[c] for c in docs.columns], "size", "source_size", "target", "taken")
+    # Rows are numbered and written once: doc_id may be null or repeated.
+    rows = durable(docs.withColumn("_row", F.monotonically_increasing_id()))
+    taken = mixing.mix(rows, key="_row").select(F.col("_row").alias("_of"), "size", "source_size", "target", "taken")
+    return rows.join(taken, rows["_row"] == taken["_of"]).select(*[rows[c] for c in docs.columns], "size", "source_size", "target", "taken")
 
 
 STAGES = [

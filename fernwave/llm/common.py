@@ -38,19 +38,20 @@ def pieces(total: float, each: float, least: int = 1) -> int:
     return max(least, math.ceil(total / each))
 
 
-def running_sum(df: DataFrame, group: list[str], value: str, out: str, id_col: str, n_rows: int) -> DataFrame:
-    """Exclusive running sum of `value` within `group`, in the order (hash bucket of the id, id).
+def running_sum(df: DataFrame, group: list[str], value: str, out: str, id_col: str, n_rows: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Exclusive running sum of `value` within `group`, in the order (hash bucket of the id, id, ties).
+    Rows with a null id are dealt to buckets by `ties`.
 
     Two levels: rows are summed by (group, bucket), only those sums pass a window by group, and the rows
     themselves pass windows by (group, bucket). No task holds a whole group however large that is.
     """
     n = pieces(math.sqrt(max(1, n_rows)), 1)  # as many buckets as rows in a bucket
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)))
+    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(F.col(id_col), *[F.when(F.col(id_col).isNull(), F.col(c)) for c in ties]), F.lit(n)))
     keys = [F.col(c) for c in group]
     sums = dealt.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_sum"))
     before = F.sum("_sum").over(Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = sums.select(*group, "_bucket", F.coalesce(before, F.lit(0)).cast("long").alias("_start"))
-    inner = Window.partitionBy(*group, "_bucket").orderBy(id_col).rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(*group, "_bucket").orderBy(id_col, *ties).rowsBetween(Window.unboundedPreceding, -1)
     ranked = dealt.withColumn("_in", F.coalesce(F.sum(value).over(inner), F.lit(0)).cast("long"))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*group, "_bucket"]]
     cond = same[0]

@@ -116,5 +116,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFram
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    bad = contamination(docs, benchmark, n).filter("contaminated").select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad._bad), "left_anti")
+    # By text, not by doc_id: rows with a null or repeated doc_id are judged each by its own.
+    key = F.xxhash64("text")
+    bad = contamination(docs.select(key.alias("doc_id"), "text"), benchmark, n).filter("contaminated").select(F.col("doc_id").alias("_bad"))
+    return docs.join(bad, key == F.col("_bad"), "left_anti")

@@ -1,6 +1,6 @@
 """Mix sources to target weights: blocks of tokens, multinomial shards, pseudorandom index permutations.
 
-Every source's documents, in the order (hash of doc_id, doc_id), are one stream of words, packed into blocks of
+Every source's documents, in the order (hash of doc_id, doc_id, hash of text), are one stream of words, packed into blocks of
 `block` words (the last block of a source may be shorter). The mix is a row of output slots, dealt to shards. Each
 shard draws how many of its slots go to each source from a multinomial; a source's k-th slot takes the block at the
 k-th place of that source's pseudorandom permutation, a new permutation for each pass through the source. Slots that
@@ -152,15 +152,17 @@ def fill_slots(spark, plan: Plan, shard: int = SHARD, seed: int = SEED) -> DataF
     return numbered.select("shard", "source_no", "drawn", "before").mapInArrow(fill, "shard long, source_no long, block_no long")
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+def sized(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """`_no` tells the rows apart: the column `key`, or else a number, which holds once it is written."""
+    number = F.col(key) if key else F.monotonically_increasing_id()
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_mark"), number.alias("_no"))
 
 
-def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for every document."""
+def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, most: int = MOST, seed: int = SEED, key: str | None = None) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) for every row, and `key`, a column of unique whole numbers, if one is named."""
     spark = docs.sparkSession
-    # Three narrow columns, used several times: written once, so that no text is counted twice.
-    sizes = durable(sized(docs))
+    # Narrow columns, used several times: written once, so that no text is counted twice.
+    sizes = durable(sized(docs, key))
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
     rows = by_source.limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:
@@ -171,11 +173,12 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, most: int = MOS
     known = spark.createDataFrame(table, "source_no long, source string, source_size long, target double")
     known = F.broadcast(known) if len(rows) <= 10_000 else known
     placed = running_sum(
-        sizes.join(known, sizes.source.eqNullSafe(known.source)).select("doc_id", sizes.source, "size", "source_no", "source_size", "target"),
-        ["source_no"], "size", "start", "doc_id", n_docs,
+        sizes.join(known, sizes.source.eqNullSafe(known.source)).select("doc_id", "_mark", "_no", sizes.source, "size", "source_no", "source_size", "target"),
+        ["source_no"], "size", "start", "doc_id", n_docs, ("_mark", "_no"),
     )
+    named = [F.col("_no").alias(key)] if key else []
     if not plan.n_slots:
-        return placed.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+        return placed.select(*named, "doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     uses = fill_slots(spark, plan, shard, seed).groupBy("source_no", "block_no").agg(F.count(F.lit(1)).alias("uses"))
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     parts = placed.withColumn("block_no", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
@@ -183,8 +186,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, most: int = MOS
     taken = F.coalesce(F.sum((end - begin) * F.col("uses")), F.lit(0)).cast("long")
     return (
         parts.join(uses, ["source_no", "block_no"], "left")
-        # `start` tells repeated rows of a document apart
-        .groupBy("doc_id", "start", "source", "size", "source_size", "target")
+        .groupBy("_no", "doc_id", "source", "size", "source_size", "target")
         .agg(taken.alias("taken"))
-        .drop("start")
+        .select(*named, "doc_id", "source", "size", "source_size", "target", "taken")
     )
