@@ -2,11 +2,14 @@
 
 DataFrame functions only. The base patterns of four kinds (KINDS) are exact rules; their spans always stay. Wider
 patterns propose candidate spans: addresses with spaced or spelt-out signs, and runs of digits and separators. Trees
-score each candidate by its format and context; they are fitted by gradient boosting to what the base rules say about
-the candidates of all documents (counts of each combination of features, which number a few thousand at most, are all
-that the driver sees), and a threshold is calibrated on the documents kept out of the fit, so that at least PRECISION
-of what it selects there is right. Trees become CASE expressions. A candidate that is selected and overlaps no base
-span is added.
+score each candidate by its format and context. They are fitted by gradient boosting to candidates that touch no base
+span, as only those can be added. The positives are sound base spans rewritten, in their own context, so that no base
+rule matches them any more (REWRITTEN: signs spelt out or spaced, '+' or country code gone, card groups set apart). The
+negatives are the documents' own candidates, less those for which format and context both speak (`telling`), which are
+neither. Counts of each combination of features (at most MOST_COMBINATIONS, checked) are all that the driver sees. A
+threshold is calibrated on the documents kept out of the fit, so that at least PRECISION of what it selects there is
+right by these labels. Trees become CASE expressions. A candidate that is selected and overlaps no base span is added.
+IP addresses have no wider form among the candidates, so none is added.
 
 Spans are (kind, start, end) in code points, end exclusive. A null text is an empty one. Texts without '@', '(at)',
 '[at]' or a digit are passed over at once. The patterns are written so that their cost is linear in the text and their
@@ -17,6 +20,7 @@ candidates of both classes gives base spans only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +46,12 @@ CANDIDATE = {
     "number": r"\+?[0-9][0-9\x20().-]{5,}[0-9]",
 }
 CONTEXT = r"(?i)(?:mail|contact|tel|phone|call|fax|mobile|card|visa|account|ip|host|addr)[a-z]*\W{0,3}\z"
+#: For each kind, what becomes of a sound base span: regular expressions with their replacements, applied in order.
+REWRITTEN = {
+    "email": [[("@", " (at) "), (r"\.(?=[^.]*\z)", " (dot) ")], [("@", "[at]"), (r"\.(?=[^.]*\z)", "[dot]")], [("@", " @ ")], [("@", " (at) ")]],
+    "card": [[("[^0-9]", ""), ("([0-9]{4})(?=[0-9])", "$1  ")]],
+    "phone": [[(r"^\+", "")], [(r"^\+[0-9]{1,3}[\x20.-]", "0")]],
+}
 FEATURES = ("kind", "digits", "length", "plus", "luhn", "dots", "marks", "before", "after", "octets", "context", "at", "domain")
 
 
@@ -119,14 +129,21 @@ def kind_of(text: Column) -> Column:
     )
 
 
+def around(text: Column, c: Column) -> tuple[Column, Column]:
+    """Up to 24 characters before c and one after it."""
+    return F.substring(text, F.greatest(F.lit(1), c["start"] - 23), F.least(c["start"], F.lit(24))), F.substring(text, c["end"] + 1, F.lit(1))
+
+
 def features(text: Column, c: Column) -> Column:
-    """struct of FEATURES, small whole numbers, of candidate c within its text."""
-    t = c["text"]
+    """struct of FEATURES of candidate c within its text."""
+    return described(c["text"], *around(text, c))
+
+
+def described(t: Column, before: Column, after: Column) -> Column:
+    """struct of FEATURES, small whole numbers, of a candidate t between what stands before and after it."""
     number = digits(t)
     n = F.length(number)
     count = lambda chars, most: F.least(F.lit(most), F.length(F.regexp_replace(t, f"[^{chars}]", "")))
-    before = F.substring(text, F.greatest(F.lit(1), c["start"] - 23), F.least(c["start"], F.lit(24)))
-    after = F.substring(text, c["end"] + 1, F.lit(1))
     values = [
         kind_of(t),
         F.least(F.lit(20), n),
@@ -140,24 +157,56 @@ def features(text: Column, c: Column) -> Column:
         F.when(kind_of(t) == 1, octets(t)).otherwise(F.lit(False)),
         before.rlike(CONTEXT),
         count("@", 2),
-        t.rlike(r"\.[A-Za-z]{2,12}\z"),
+        t.rlike(r"(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z]{2,12}\z"),
     ]
     return F.struct(*[v.cast("int").alias(f) for v, f in zip(values, FEATURES, strict=True)])
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, base: an array of spans for each kind, candidates with their features and `known`)."""
+    """(doc_id, text, base: an array of spans for each kind, candidates with their features and whether they touch a base span)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select("doc_id", text.alias("text")).select("doc_id", "text", F.struct(*[base_spans(F.col("text"), k).alias(k) for k in KINDS]).alias("base"), candidates(F.col("text")).alias("c"))
     touches = lambda c, s: (s["start"] < c["end"]) & (s["end"] > c["start"])
 
-    def described(c: Column) -> Column:
-        f = features(F.col("text"), c)
+    def seen(c: Column) -> Column:
         of = [F.exists(F.col("base")[k], lambda s: touches(c, s)) for k in KINDS]
-        own = F.coalesce(*[F.when(f["kind"] == i, x) for i, x in enumerate(of)])
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), f.alias("f"), own.alias("known"), (of[0] | of[1] | of[2] | of[3]).alias("taken"))
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), features(F.col("text"), c).alias("f"), (of[0] | of[1] | of[2] | of[3]).alias("taken"))
+
+    return d.select("doc_id", "text", "base", F.transform("c", seen).alias("candidates"))
+
+
+def rewritten(text: Column, base: Column) -> Column:
+    """array<struct<FEATURES>>: base spans rewritten as REWRITTEN says, where a candidate is that whole and no base rule matches it."""
+
+    def changed(way: list) -> Callable[[Column], Column]:
+        def one(c: Column) -> Column:
+            t = c["text"]
+            for pattern, new in way:
+                t = F.regexp_replace(t, pattern, new)
+            before, after = around(text, c)
+            return F.struct(t.alias("t"), before.alias("before"), after.alias("after"))
+
+        return one
+
+    def good(kind: str) -> Callable[[Column], Column]:
+        def whole(r: Column) -> Column:
+            fits = r["t"].rlike(rf"^(?:{CANDIDATE['email' if kind == 'email' else 'number']})\z") & sound(kind, r["t"]) & (kind_of(r["t"]) == KINDS.index(kind))
+            for k in KINDS:
+                fits = fits & (F.size(base_spans(r["t"], k)) == 0)
+            return fits
+
+        return whole
+
+    out = [F.filter(F.transform(base[kind], changed(way)), good(kind)) for kind, ways in REWRITTEN.items() for way in ways]
+    return F.transform(F.concat(*out), lambda r: described(r["t"], r["before"], r["after"]))
+
 
-    return d.select("doc_id", "text", "base", F.transform("c", described).alias("candidates"))
+def telling(f: Column) -> Column:
+    """Whether a candidate that no base rule matches may well be personal data: it is no negative."""
+    address = (f["kind"] == 0) & (f["domain"] == 1)
+    card = (f["kind"] == 2) & (f["luhn"] == 1)
+    phone = (f["kind"] == 3) & f["digits"].between(9, 15) & (f["context"] == 1)
+    return address | card | phone
 
 
 @dataclass
@@ -221,10 +270,15 @@ def score_column(trees: list[Tree], f: Column) -> Column:
 
 
 def fit(seen: DataFrame) -> tuple[list[Tree], float] | None:
-    """Trees and threshold, from the candidates of all documents; None where they do not hold both classes."""
+    """Trees and threshold, from all documents' candidates and rewritten base spans; None where there are not both classes."""
     fold = (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("out")
-    one = seen.select(fold, F.explode("candidates").alias("c")).select("out", "c.f.*", F.col("c.known").cast("int").alias("known"))
-    rows = one.groupBy("out", *FEATURES, "known").agg(F.count(F.lit(1)).alias("n")).limit(MOST_COMBINATIONS).toPandas()
+    labelled = lambda f, known: F.struct(f.alias("f"), F.lit(known).alias("known"))
+    bad = F.transform(F.filter("candidates", lambda c: ~c["taken"] & ~telling(c["f"])), lambda c: labelled(c["f"], 0))
+    good = F.transform(rewritten(F.col("text"), F.col("base")), lambda f: labelled(f, 1))
+    one = seen.select(fold, F.explode(F.concat(bad, good)).alias("c")).select("out", "c.f.*", "c.known")
+    rows = one.groupBy("out", *FEATURES, "known").agg(F.count(F.lit(1)).alias("n")).limit(MOST_COMBINATIONS + 1).toPandas()
+    if len(rows) > MOST_COMBINATIONS:
+        raise ValueError(f"more than {MOST_COMBINATIONS} combinations of features")
     rows = rows.sort_values(["out", *FEATURES, "known"], kind="stable")
     fitted, kept = rows[~rows["out"]], rows[rows["out"]]
     if fitted["known"].nunique() < 2:
