@@ -5,13 +5,18 @@ above 0x7F; fewer words, but not none, are one run). Two documents are linked if
 `threshold` or more.
 
 1. Documents with equal sets are one class of copies, named by its least doc_id; only that one goes on.
-2. Each tree of the forest is a sorted trie of signatures of `DEPTH` MinHash values. Neighbours in sorted order whose
-   common prefix is long enough are candidates. Prefixes are shortened from DEPTH until a pair of exactly the threshold
-   is found with the target recall; pairs that are more alike share longer prefixes and are found all the same.
-   The tries are sorted by range over all tasks, so a prefix that very many documents share is spread like any other.
-3. Candidates that hang together form families. In each family all pairs are compared exactly, in blocks of bounded
-   size that are dealt to tasks; counts and spanning links leave a task, never pairs.
-4. Classes are the connected components of verified links.
+2. Each tree of the forest is a sorted trie of signatures of DEPTH MinHash values. Neighbours in sorted order are
+   candidates at the level of their longest common prefix: the rows that share a prefix of some length lie side by side,
+   so links between neighbours of that level or a deeper one hold them together. The tries are sorted by range over all
+   tasks, so a prefix that very many documents share is spread like any other.
+3. Prefixes are shortened level by level, from DEPTH on. Candidates that hang together form families, in which all pairs
+   that were not compared at an earlier level are compared exactly. After each level the least similarity of the pairs
+   verified so far tells how likely a pair like that is found at prefixes of this length; when this reaches the target
+   recall, shortening stops. It stops at the latest where a pair of exactly the threshold is found with that chance.
+4. Families are compared in blocks of bounded size that are dealt to tasks; counts and spanning links leave a task,
+   never pairs. Families of more than BLOCK documents are parted by set size first, as sets of which one is less than
+   `threshold` of the other cannot be linked.
+5. Classes are the connected components of verified links.
 
 Null texts and texts without words have an empty set: each is a class of its own, without links. Repeated rows (an
 equal doc_id) give equal rows; doc_id names a document, so rows that repeat one with another text count as the same. A
@@ -22,6 +27,7 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,11 +46,15 @@ BLOCK, ROWS = 128, 1000
 SEED = 11
 
 
-def prefix_length(recall: float = RECALL, trees: int = TREES, depth: int = DEPTH, threshold: tuple[int, int] = THRESHOLD) -> int:
-    """The longest prefix with which some tree finds a pair of the threshold's similarity often enough."""
-    s = threshold[0] / threshold[1]
+def chance(similarity: float, prefix: int, trees: int = TREES) -> float:
+    """How likely two sets of this similarity share a prefix of this length in some tree."""
+    return 1 - (1 - similarity**prefix) ** trees
+
+
+def shortest_prefix(recall: float = RECALL, trees: int = TREES, depth: int = DEPTH, threshold: tuple[int, int] = THRESHOLD) -> int:
+    """The longest prefix at which even a pair of exactly the threshold is found often enough: none shorter is needed."""
     d = depth
-    while d > 1 and 1 - (1 - s**d) ** trees < recall:
+    while d > 1 and chance(threshold[0] / threshold[1], d, trees) < recall:
         d -= 1
     return d
 
@@ -55,10 +65,10 @@ def _functions() -> tuple[np.ndarray, np.ndarray]:
     return g.integers(1 << 62, (1 << 63) - 1, n).astype(np.uint64) * np.uint64(2) + np.uint64(1), g.integers(0, (1 << 63) - 1, n).astype(np.uint64)
 
 
-def signatures(sets: np.ndarray, count: np.ndarray, used: int) -> np.ndarray:
-    """(rows, TREES, used) 16-bit MinHash values; rows of empty sets are zero."""
+def signatures(sets: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """(rows, TREES, DEPTH) 16-bit MinHash values; rows of empty sets are zero."""
     a, b = _functions()
-    out = np.zeros((len(count), TREES, used), np.uint16)
+    out = np.zeros((len(count), TREES * DEPTH), np.uint16)
     full = np.flatnonzero(count)
     ends = np.cumsum(count[full])
     i = 0
@@ -67,84 +77,90 @@ def signatures(sets: np.ndarray, count: np.ndarray, used: int) -> np.ndarray:
         j = max(i + 1, int(np.searchsorted(ends, base + 65_536, "right")))
         part = sets[base : int(ends[j - 1])]
         starts = np.concatenate([[0], ends[i : j - 1] - base])
-        for t in range(TREES):
-            for d in range(used):
-                k = t * DEPTH + d
-                least = np.minimum.reduceat(part * a[k] + b[k], starts)
-                out[full[i:j], t, d] = (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+        for k in range(TREES * DEPTH):
+            least = np.minimum.reduceat(part * a[k] + b[k], starts)
+            out[full[i:j], k] = (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
         i = j
-    return out
+    return out.reshape(len(count), TREES, DEPTH)
 
 
 def sketch(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """(doc_id, set_key, n_shingles): set_key is a strong digest of the whole set; null for an empty one."""
+    """(doc_id, set_key, n_shingles, signature): set_key is a strong digest of the whole set; null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, sets, count in shingle_sets(batch.column(1), size):
-                ends, raw = np.cumsum(count), sets.tobytes()
-                keys = [hashlib.blake2b(raw[8 * (e - n) : 8 * e], digest_size=16).digest() if n else None for e, n in zip(ends.tolist(), count.tolist(), strict=True)]
-                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(keys, pa.binary()), pa.array(count, pa.int64())], names=["doc_id", "set_key", "n_shingles"])
+                ends, raw, sig = np.cumsum(count), sets.tobytes(), signatures(sets, count).astype(">u2")
+                keys, marks = [], []
+                for k, (e, n) in enumerate(zip(ends.tolist(), count.tolist(), strict=True)):
+                    keys.append(hashlib.blake2b(raw[8 * (e - n) : 8 * e], digest_size=16).digest() if n else None)
+                    marks.append(sig[k].tobytes() if n else None)
+                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(keys, pa.binary()), pa.array(count, pa.int64()), pa.array(marks, pa.binary())], names=["doc_id", "set_key", "n_shingles", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, set_key binary, n_shingles long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, set_key binary, n_shingles long, signature binary")
 
 
-def forest(docs: DataFrame, used: int, size: int = SIZE) -> DataFrame:
-    """(tree, trie, doc_id): every document's signature in each tree, values in the order of the trie's levels."""
+def forest(signed: DataFrame) -> DataFrame:
+    """(tree, trie, doc_id) of (doc_id, signature): every document's values in each tree, in the order of the trie's levels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, sets, count in shingle_sets(batch.column(1), size):
-                sig = signatures(sets, count, used)
-                flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * used), len(count) * TREES, [None, pa.py_buffer(sig.astype(">u2").tobytes())])
-                ids = batch.column(0).slice(i, j - i).take(pa.array(np.repeat(np.arange(j - i), TREES)))
-                yield pa.record_batch([pa.array(np.tile(np.arange(TREES, dtype=np.int32), j - i)), flat.cast(pa.binary()), ids], names=["tree", "trie", "doc_id"])
+        for b in batches:
+            n = b.num_rows
+            sig = pa.py_buffer(b"".join(b.column(1).to_pylist()))
+            flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * DEPTH), n * TREES, [None, sig])
+            ids = b.column(0).take(pa.array(np.repeat(np.arange(n), TREES)))
+            yield pa.record_batch([pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), flat.cast(pa.binary()), ids], names=["tree", "trie", "doc_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "tree int, trie binary, doc_id long")
+    return signed.select("doc_id", "signature").mapInArrow(run, "tree int, trie binary, doc_id long")
 
 
-def neighbours(tries: DataFrame, prefix: int) -> DataFrame:
-    """Candidate links (u, v): neighbours in the sorted tries that share `prefix` values or more."""
-    cut = 2 * prefix
+def neighbours(tries: DataFrame, shortest: int) -> DataFrame:
+    """(u, v, level): neighbours in the sorted tries and the longest prefix that they share in any, from `shortest` on."""
     # tries are sorted by all their values, and equal ones by doc_id: tasks get ranges of even size
     n = int(tries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = tries.repartitionByRange(n, "tree", "trie", "doc_id").sortWithinPartitions("tree", "trie", "doc_id")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, first, last = TaskContext.get().partitionId(), None, None
-        names = ["u", "v", "part", "side", "head"]
+        names = ["u", "v", "level", "part", "side", "head"]
 
-        def rows(u, v, part, side, head):
-            return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(part, pa.int32()), pa.array(side, pa.int32()), pa.array(head, pa.binary())], names=names)
+        def rows(u, v, level, part, side, head):
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            return pa.record_batch([pa.array(c, t) for c, t in zip((u, v, level, part, side, head), kinds, strict=True)], names=names)
 
         for b in batches:
             if not b.num_rows:
                 continue
             trees, ids = b.column(0).to_numpy(), b.column(2).to_numpy()
-            keys = b.column(1).to_pylist()
-            heads = [t.to_bytes(2, "big") + k[:cut] for t, k in zip(trees.tolist(), keys, strict=True)]
+            heads = [t.to_bytes(2, "big") + k for t, k in zip(trees.tolist(), b.column(1).to_pylist(), strict=True)]
             if last is not None:
                 heads, ids = [last[0], *heads], np.concatenate([[last[1]], ids])
             if first is None:
                 first = (heads[0], ids[0])
-            h = np.array(heads, dtype=f"V{cut + 2}")
-            same = np.flatnonzero((h[1:] == h[:-1]) & (ids[1:] != ids[:-1]))
+            values = np.frombuffer(b"".join(heads), ">u2").reshape(len(heads), DEPTH + 1)
+            level = np.cumprod(values[1:] == values[:-1], axis=1).sum(axis=1) - 1  # the tree's number is no level
+            near = np.flatnonzero((level >= shortest) & (ids[1:] != ids[:-1]))
             last = (heads[-1], ids[-1])
-            k = len(same)
-            yield rows(ids[same], ids[same + 1], [None] * k, [None] * k, [None] * k)
+            none = [None] * len(near)
+            yield rows(ids[near], ids[near + 1], level[near], none, none, none)
         if first is not None:
-            yield rows([first[1], last[1]], [None, None], [task, task], [0, 1], [first[0], last[0]])
+            yield rows([first[1], last[1]], [None, None], [None, None], [task, task], [0, 1], [first[0], last[0]])
 
-    out = durable(dealt.mapInArrow(link, "u long, v long, part int, side int, head binary").distinct())
+    seen = dealt.mapInArrow(link, "u long, v long, level int, part int, side int, head binary")
+    out = durable(seen.groupBy("u", "v", "part", "side", "head").agg(F.max("level").alias("level")))
     # The ends of ranges: two rows of each task.
     order = Window.orderBy("part", "side")
     ends = out.filter("part IS NOT NULL").select("u", "head", "side", F.lag("u").over(order).alias("v"), F.lag("head").over(order).alias("before"))
-    across = ends.filter("side = 0 AND head = before AND u <> v").select("u", "v")
-    return out.filter("part IS NULL").select("u", "v").unionByName(across)
+    common = F.lit(0)
+    for k in range(DEPTH, shortest - 1, -1):  # the least of them is tested last and so stands innermost
+        same = F.substring("head", 1, 2 * (k + 1)) == F.substring("before", 1, 2 * (k + 1))
+        common = F.greatest(common, F.when(same, k).otherwise(0))
+    across = ends.filter("side = 0 AND v IS NOT NULL AND u <> v").select("u", "v", common.alias("level")).filter(F.col("level") >= shortest)
+    return out.filter("part IS NULL").select("u", "v", "level").unionByName(across)
 
 
-def exact(first: list[np.ndarray], second: list[np.ndarray] | None, threshold: tuple[int, int] = THRESHOLD) -> np.ndarray:
-    """Which pairs reach the threshold: rows of `first` by rows of `second` (or of itself, without the diagonal)."""
+def exact(first: list[np.ndarray], second: list[np.ndarray] | None, threshold: tuple[int, int] = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs reach the threshold, and all similarities: rows of `first` by rows of `second` (or of itself, without the diagonal)."""
     every = first + (second or [])
     size = np.array([len(s) for s in every], np.int64)
     codes, inverse, times = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
@@ -165,7 +181,7 @@ def exact(first: list[np.ndarray], second: list[np.ndarray] | None, threshold: t
     out = both * threshold[1] >= either * threshold[0]
     if second is None:
         np.fill_diagonal(out, False)
-    return out
+    return out, both / np.maximum(either, 1)
 
 
 def _spanning(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -179,63 +195,122 @@ def _spanning(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
         root = new
 
 
-def verify(docs: DataFrame, families: DataFrame, n_members: int, size: int = SIZE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """(doc_id, root, links): a row for each document and block of its family in which it has links."""
-    # Written before they are joined, like `classes` below, so that a join's skewed parts can be split.
-    sized = durable(families.groupBy("root").agg(F.count(F.lit(1)).alias("family_size")))
-    named = families.join(sized, "root").select(F.col("node").alias("_node"), F.col("root").alias("family"), "family_size")
-    texts = docs.join(named, docs["doc_id"] == named["_node"]).select("doc_id", "text", "family", "family_size")
-    n_deal = pieces(n_members, ROWS)
+def blocks(n):
+    """How many blocks n documents are dealt to: of BLOCK at least; no document is sent to more than some 32, but for vast numbers."""
+    return -(-n // min(4096, max(BLOCK, n // 32)))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["deal", "family", "low", "high", "own", "doc_id", "shingles"]
+
+def _blocks(n):
+    return F.ceil(n / F.least(F.lit(4096), F.greatest(F.lit(BLOCK), F.floor(n / 32))))
+
+
+def shingled(docs: DataFrame, nodes: DataFrame, size: int = SIZE) -> DataFrame:
+    """(doc_id, n_shingles, shingles) of the documents among nodes (node)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, family, of = (batch.column(c).to_numpy() for c in ("doc_id", "family", "family_size"))
             for i, j, sets, count in shingle_sets(batch.column(1), size):
-                ends, out = np.cumsum(count), []
-                for k in range(j - i):
-                    doc, fam = int(ids[i + k]), int(family[i + k])
-                    # blocks grow with the family, so that no row is sent more than some 32 times but in vast families
-                    n = -(-int(of[i + k]) // min(4096, max(BLOCK, int(of[i + k]) // 32)))
-                    own = int.from_bytes(hashlib.blake2b(doc.to_bytes(8, "big", signed=True), digest_size=4).digest(), "big") % n
-                    data = sets[ends[k] - count[k] : ends[k]].tobytes()
-                    for other in range(n):
-                        low, high = min(own, other), max(own, other)
+                ends = np.cumsum(count)
+                data = [sets[e - n : e].tobytes() for e, n in zip(ends.tolist(), count.tolist(), strict=True)]
+                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(count, pa.int64()), pa.array(data, pa.binary())], names=["doc_id", "n_shingles", "shingles"])
+
+    some = docs.filter("text IS NOT NULL").join(nodes, docs["doc_id"] == nodes["node"], "left_semi")
+    return some.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, shingles binary")
+
+
+def verify(sets: DataFrame, members: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """(doc_id, root, links, least) for members (node, old, family): a row for each document and block in which it has links.
+
+    Pairs within the same `old` family were compared before and are passed over. `least` is the least similarity of
+    the block's linked pairs. Rows are dealt by their number as sent, copies for several blocks included.
+    """
+    # Sets whose bands are more than one apart cannot be linked; bands are a little wider than that asks for.
+    width = math.log(threshold[1] / threshold[0]) * (1 + 1e-9)
+    light = sets.select("doc_id", F.floor(F.log("n_shingles") / width).cast("int").alias("band"))
+    banded = durable(members.join(light, members["node"] == light["doc_id"]).groupBy("node").agg(F.min("old").alias("old"), F.min("family").alias("family"), F.min("band").alias("band")))
+    counts = banded.groupBy("family", "band").agg(F.count(F.lit(1)).alias("n"))
+    # At most some 80 bands. Written before they are joined, so that a join's skewed parts can be split.
+    of = durable(counts.groupBy("family").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("band", "n"))).alias("bands")))
+    others = lambda b: sum((_blocks(F.coalesce(F.try_element_at("bands", b + k), F.lit(0))) for k in (-1, 0, 1)), F.lit(0))
+    apart = F.aggregate(F.map_entries("bands"), F.lit(0).cast("long"), lambda a, e: (a + e["value"] * others(e["key"])).cast("long"))
+    n_sent = of.agg(F.sum(F.when(F.col("total") > BLOCK, apart).otherwise(F.col("total")))).first()[0] or 0
+    n_deal = pieces(n_sent, ROWS)
+    named = banded.join(of, "family").select(F.col("node").alias("_node"), "old", "family", "band", "total", F.map_entries("bands").alias("bands"))
+    rows = sets.join(named, sets["doc_id"] == named["_node"]).select("doc_id", "shingles", "old", "family", "band", "total", "bands")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["deal", "family", "low", "high", "own", "old", "doc_id", "shingles"]
+        kinds = [pa.int64()] * 7 + [pa.binary()]
+        for batch in batches:
+            out = []
+            for doc, data, old, fam, band, total, bands in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n_of = {e["key"]: e["value"] for e in bands} if total > BLOCK else {band: total}
+                mark = int.from_bytes(hashlib.blake2b(doc.to_bytes(8, "big", signed=True), digest_size=4).digest(), "big")
+                own = (band << 32) + mark % blocks(n_of[band])
+                for b in (band - 1, band, band + 1):
+                    for k in range(blocks(n_of[b]) if b in n_of else 0):
+                        low, high = sorted((own, (b << 32) + k))
                         deal = int.from_bytes(hashlib.blake2b(b"%d %d %d" % (fam, low, high), digest_size=4).digest(), "big") % n_deal
-                        out.append((deal, fam, low, high, own, doc, data))
-                    if len(out) >= 2000 or k == j - i - 1:
-                        kinds = [pa.int64()] * 6 + [pa.binary()]
-                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-                        out = []
+                        out.append((deal, fam, low, high, own, old, doc, data))
+                if len(out) >= 2000:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                    out = []
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     def check(key: tuple, t: pa.Table) -> pa.Table:
-        fam, low, high, own, ids = (t.column(c).to_numpy() for c in ("family", "low", "high", "own", "doc_id"))
+        fam, low, high, own, old, ids = (t.column(c).to_numpy() for c in ("family", "low", "high", "own", "old", "doc_id"))
         data = t.column("shingles").to_pylist()
         order = np.lexsort((ids, own, high, low, fam))
         begin = np.flatnonzero(np.append(True, (np.diff(fam[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)))
-        got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        got: list[tuple[np.ndarray, ...]] = []
         for a, z in zip(begin, [*begin[1:], len(order)], strict=True):
             rows = order[a:z]
             rows = rows[np.append(True, np.diff(ids[rows]) != 0)] if low[rows[0]] == high[rows[0]] else rows[np.sort(np.unique(ids[rows], return_index=True)[1])]
+            # One old family has nothing new within it.
+            if (old[rows] == old[rows[0]]).all():
+                continue
             sets, doc, mine = [np.frombuffer(data[r], np.uint64) for r in rows], ids[rows], own[rows] == low[rows]
             n = int(mine.sum())
             if low[rows[0]] == high[rows[0]]:
-                linked = exact(sets, None, threshold)
+                linked, alike = exact(sets, None, threshold)
+                before = old[rows]
             elif 0 < n < len(rows):
-                doc = np.concatenate([doc[mine], doc[~mine]])
-                cross = exact([s for s, m in zip(sets, mine, strict=True) if m], [s for s, m in zip(sets, mine, strict=True) if not m], threshold)
-                linked = np.zeros((len(rows), len(rows)), bool)
-                linked[:n, n:], linked[n:, :n] = cross, cross.T
+                doc, before = (np.concatenate([x[mine], x[~mine]]) for x in (doc, old[rows]))
+                cross, part = exact([s for s, m in zip(sets, mine, strict=True) if m], [s for s, m in zip(sets, mine, strict=True) if not m], threshold)
+                linked, alike = np.zeros((len(rows), len(rows)), bool), np.ones((len(rows), len(rows)))
+                linked[:n, n:], linked[n:, :n], alike[:n, n:] = cross, cross.T, part
             else:
                 continue
+            linked &= before[:, None] != before[None, :]
             links = linked.sum(axis=1)
             some = links > 0
-            got.append((doc[some], _spanning(linked, doc)[some], links[some]))
-        parts = [np.concatenate(x).astype(np.int64) if got else np.zeros(0, np.int64) for x in (zip(*got, strict=True) if got else ((), (), ()))]
-        return pa.table({"doc_id": parts[0], "root": parts[1], "links": parts[2]})
-
-    cut_rows = texts.mapInArrow(cut, "deal long, family long, low long, high long, own long, doc_id long, shingles binary")
-    return cut_rows.groupBy("deal").applyInArrow(check, "doc_id long, root long, links long")
+            if some.any():
+                least = np.full(int(some.sum()), alike[linked].min())
+                got.append((doc[some], _spanning(linked, doc)[some], links[some], least))
+        kinds = (np.int64, np.int64, np.int64, np.float64)
+        parts = [np.concatenate([g[k] for g in got]).astype(t) if got else np.zeros(0, t) for k, t in enumerate(kinds)]
+        return pa.table(dict(zip(("doc_id", "root", "links", "least"), parts, strict=True)))
+
+    cut_rows = rows.mapInArrow(cut, "deal long, family long, low long, high long, own long, old long, doc_id long, shingles binary")
+    return cut_rows.groupBy("deal").applyInArrow(check, "doc_id long, root long, links long, least double")
+
+
+def joined_families(families: DataFrame | None, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(changed, all): families (node, family) after links (u, v) have joined some; changed ones with the `old` family of each node."""
+    if families is None:
+        found = components(links).select("node", F.col("node").alias("old"), F.col("root").alias("family"))
+        changed = durable(found)
+        return changed, changed.select("node", "family")
+    of = lambda end: families.select(F.col("node").alias(f"_{end}"), F.col("family").alias(f"f{end}"))
+    ends = links.join(of("u"), F.col("u") == F.col("_u"), "left").join(of("v"), F.col("v") == F.col("_v"), "left")
+    lifted = ends.select(F.coalesce("fu", "u").alias("u"), F.coalesce("fv", "v").alias("v")).filter("u <> v")
+    moves = durable(components(lifted).select(F.col("node").alias("_from"), F.col("root").alias("_to")))
+    # A family's name is its least node, so a name that is no node of a family stands for a document without one.
+    alone = moves.join(families, F.col("_from") == F.col("node"), "left_anti").select(F.col("_from").alias("node"), F.col("_from").alias("family"))
+    every = families.unionByName(alone).join(moves, F.col("family") == F.col("_from"), "left")
+    placed = durable(every.select("node", F.col("family").alias("old"), F.coalesce("_to", "family").alias("family"), F.col("_to").isNotNull().alias("moved")))
+    return placed.filter("moved").drop("moved"), placed.select("node", "family")
 
 
 def similarity_classes(docs: DataFrame, size: int = SIZE, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -244,16 +319,24 @@ def similarity_classes(docs: DataFrame, size: int = SIZE, threshold: tuple[int,
     class_id is the least doc_id of the class; n_links counts the other distinct sets that this document's set is
     linked with; n_copies counts the rows that share its set.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = durable(sketch(docs, size))
-    copies = sets.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"))
-    copies = durable(copies)
-    reps = copies.filter("rep IS NOT NULL").select(F.col("rep").alias("_rep")).distinct()
-    prefix = prefix_length(recall, threshold=threshold)
-    tries = durable(forest(docs.join(reps, docs["doc_id"] == reps["_rep"], "left_semi").filter("text IS NOT NULL"), prefix, size))
-    families = durable(components(neighbours(tries, prefix)))
-    linked = durable(verify(docs, families, families.count(), size, threshold))
+    copies = durable(sets.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies")))
+    reps = copies.filter("rep IS NOT NULL").select(F.col("rep").alias("_rep"), F.col("set_key").alias("_key"))
+    signed = sets.join(reps, (sets["set_key"] == reps["_key"]) & (sets["doc_id"] == reps["_rep"]), "left_semi")
+    shortest = shortest_prefix(recall, threshold=threshold)
+    near = durable(neighbours(forest(signed), shortest))
+    nodes = near.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    candidates = durable(shingled(docs, nodes, size))
+    families, linked, weakest = None, None, 1.0
+    for prefix in range(DEPTH, shortest - 1, -1):
+        changed, families = joined_families(families, near.filter(F.col("level") == prefix).select("u", "v"))
+        found = durable(verify(candidates, changed, threshold))
+        linked = found if linked is None else linked.unionByName(found)
+        least = found.agg(F.min("least")).first()[0]
+        weakest = weakest if least is None else min(weakest, least)
+        if chance(weakest, prefix) >= recall:
+            break
     roots = components(linked.select(F.col("doc_id").alias("u"), F.col("root").alias("v")))
     counts = linked.groupBy("doc_id").agg(F.sum("links").alias("n_links"))
     classes = (
@@ -270,12 +353,6 @@ def similarity_classes(docs: DataFrame, size: int = SIZE, threshold: tuple[int,
     )
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The documents that are the least of their class, with all their columns."""
-    stay = similarity_classes(docs, **how).filter("doc_id = class_id").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs["doc_id"] == stay["_stay"], "left_semi")
-
-
 def one_a_class(docs: DataFrame, **how) -> DataFrame:
     """One document of each class, with all its columns: the least by (doc_id, hash of text), a null doc_id last.
 

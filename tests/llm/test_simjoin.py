@@ -56,7 +56,7 @@ def corpus(seed):
     return rows + [(n + i, t) for i, t in enumerate(short)]
 
 
-@pytest.mark.parametrize("block", [128, 16])
+@pytest.mark.parametrize("block", [128, 16, 4])
 def test_classes_and_links_match_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(simjoin, "BLOCK", block)
     rows = corpus(block)
@@ -71,9 +71,54 @@ def test_empty_table_and_repeated_rows(spark):
     same = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "z")], "doc_id long, text string")
     got = sorted(map(tuple, simjoin.similarity_classes(same).collect()), key=str)
     assert got == [(1, 1, 0, 3), (1, 1, 0, 3), (2, 1, 0, 3), (None, None, 0, 1)]
-    assert sorted(r.doc_id for r in simjoin.keep_one(same).collect()) == [1, 1]
 
 
 def test_prefix_is_long_as_recall_allows():
-    d = simjoin.prefix_length()
-    assert 1 - (1 - 0.8**d) ** simjoin.TREES >= simjoin.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** simjoin.TREES
+    d = simjoin.shortest_prefix()
+    assert simjoin.chance(0.8, d) >= simjoin.RECALL > simjoin.chance(0.8, d + 1)
+
+
+def levels(spark, rows, shortest=1):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near = simjoin.neighbours(simjoin.forest(simjoin.sketch(docs)), shortest).collect()
+    out = {}
+    for r in near:
+        pair = tuple(sorted((r.u, r.v)))
+        out[pair] = max(out.get(pair, 0), r.level)
+    return out
+
+
+def test_neighbours_have_the_longest_prefix_of_any_tree(spark):
+    rows = [(d, t) for d, t in corpus(3) if d < 60]
+    got = levels(spark, rows)
+    import numpy as np
+    import pyarrow as pa
+
+    from fernwave.llm.shingles import shingle_sets
+
+    want = {}
+    ids = np.array([d for d, _ in rows])
+    (_, _, sets, count), = shingle_sets(pa.array([t for _, t in rows]))
+    sig = simjoin.signatures(sets, count)
+    for t in range(simjoin.TREES):
+        order = sorted(range(len(rows)), key=lambda i: (sig[i, t].tolist(), ids[i]))
+        for a, b in zip(order, order[1:]):
+            level = int(np.cumprod(sig[a, t] == sig[b, t]).sum())
+            if level:
+                pair = tuple(sorted((int(ids[a]), int(ids[b]))))
+                want[pair] = max(want.get(pair, 0), level)
+    assert got == want
+
+
+def test_prefixes_are_shortened_only_as_far_as_the_pairs_ask_for(spark, monkeypatch):
+    asked = []
+    joined = simjoin.joined_families
+    monkeypatch.setattr(simjoin, "joined_families", lambda f, links: asked.append(1) or joined(f, links))
+    words = [f"w{i}" for i in range(400)]
+    alike = [(i, " ".join([*words, f"end{i}"])) for i in range(6)]
+    assert {r.class_id for r in simjoin.similarity_classes(spark.createDataFrame(alike, "doc_id long, text string")).collect()} == {0}
+    assert len(asked) == 1  # all pairs are so alike that the longest prefix finds them
+    asked.clear()
+    far = alike + [(10, " ".join([*words[:360], *[f"x{i}" for i in range(36)]]))]
+    got = {r.doc_id: r.n_links for r in simjoin.similarity_classes(spark.createDataFrame(far, "doc_id long, text string")).collect()}
+    assert len(asked) > 1 and got[10] == 6 and got[0] == 6
