@@ -299,13 +299,12 @@ def verify(sets: DataFrame, members: DataFrame, threshold: tuple[int, int] = THR
 def joined_families(families: DataFrame | None, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(changed, all): families (node, family) after links (u, v) have joined some; changed ones with the `old` family of each node."""
     if families is None:
-        found = components(links).select("node", F.col("node").alias("old"), F.col("root").alias("family"))
-        changed = durable(found)
+        changed = components(links).select("node", F.col("node").alias("old"), F.col("root").alias("family"))
         return changed, changed.select("node", "family")
     of = lambda end: families.select(F.col("node").alias(f"_{end}"), F.col("family").alias(f"f{end}"))
     ends = links.join(of("u"), F.col("u") == F.col("_u"), "left").join(of("v"), F.col("v") == F.col("_v"), "left")
     lifted = ends.select(F.coalesce("fu", "u").alias("u"), F.coalesce("fv", "v").alias("v")).filter("u <> v")
-    moves = durable(components(lifted).select(F.col("node").alias("_from"), F.col("root").alias("_to")))
+    moves = components(lifted).select(F.col("node").alias("_from"), F.col("root").alias("_to"))
     # A family's name is its least node, so a name that is no node of a family stands for a document without one.
     alone = moves.join(families, F.col("_from") == F.col("node"), "left_anti").select(F.col("_from").alias("node"), F.col("_from").alias("family"))
     every = families.unionByName(alone).join(moves, F.col("family") == F.col("_from"), "left")
