@@ -2,27 +2,32 @@
 
 Words are maximal runs of digits, a-z and characters above 0x7F after A-Z are lower-cased. A window is 13 consecutive
 words of an item; an item of fewer words, but not none, is one window. Every window is found by its first (up to four)
-words: their 64-bit hash is looked up at each word of a document in the set of those of the benchmark; what matches is
-then compared word for word. All of a document's look-ups happen in its own row; only rows that matched are exploded.
-
-The set is sent to the tasks only up to SET_ROWS hashes; a larger benchmark meets the documents in a shuffled join on
-that hash. Null and empty texts have no words and are clean; a null or wordless item has no windows. Repeated items
-are told apart by item_id, rows with the same item_id are one item. Rows that repeat a doc_id and text give one row, and
-an empty table none. Other columns, whatever their names, are kept by `decontaminate` and not read.
+words: their 64-bit hash is looked up at each word of a document in a hash set of those of the benchmark, which is sent
+to all tasks. Only the places that it holds leave a document's row; they are joined with the windows by that hash, and
+compared word for word.
+
+The set is one table of marked slots, two for each hash, of SLOTS bytes at most. It may hold places that are no match
+(the join settles that) but misses none, so there is one way for every size of benchmark: with more hashes than slots
+more places go into the join, and the join's side of windows is sent to tasks or shuffled as Spark finds by its size.
+
+Null and empty texts have no words and are clean; a null or wordless item has no windows. Repeated items are told apart
+by item_id, rows with the same item_id are one item. Rows that repeat a doc_id (also a null one) and text give one row;
+with another text they give a row of their own. An empty table gives none. Other columns, whatever their names, are
+kept by `decontaminate` and not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
-
 N = 13
 KEY = 4
-SET_ROWS = 200_000
+#: Slots of the hash set: at least so many for each hash, and no more than this in all.
+SPACE, SLOTS = 16, 1 << 24
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+PLACE = "array<struct<at:int,k:int,key:bigint,ws:array<string>>>"
 
 
 def words(text: Column) -> Column:
@@ -34,9 +39,14 @@ def lowered(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def key_hash(ws: Column, i: Column, k: int) -> Column:
-    """Hash of the k words from the 1-based place i on; equal words up to A-Z case have equal hashes."""
-    return F.xxhash64(*[F.get(ws, i + (j - 1)) for j in range(k)])
+def word_hashes(ws: Column) -> Column:
+    """A hash of each word. lower() is a function of the A-Z-lowered word, so equal words up to A-Z case have equal hashes."""
+    return F.transform(ws, lambda x: F.xxhash64(F.lower(x)))
+
+
+def key_hash(hashes: Column, i: Column, k: int) -> Column:
+    """Hash of the k words from the 1-based place i on."""
+    return F.xxhash64(*[F.get(hashes, i + (j - 1)) for j in range(k)])
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
@@ -44,40 +54,64 @@ def benchmark_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
     item = benchmark.select("item_id", words(lowered(F.col("text"))).alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1))
     one = item.select("item_id", F.explode(F.transform(starts, lambda i: F.slice(F.col("w"), i, n))).alias("ws"))
-    k = F.least(F.lit(KEY), F.size("ws"))
-    low = F.transform("ws", lambda x: F.lower(x))  # as the documents' keys are made
-    key = F.when(k == 1, key_hash(low, F.lit(1), 1))
+    k, hashes = F.least(F.lit(KEY), F.size("ws")), word_hashes(F.col("ws"))
+    key = F.when(k == 1, key_hash(hashes, F.lit(1), 1))
     for j in range(2, KEY + 1):
-        key = key.when(k == j, key_hash(low, F.lit(1), j))
+        key = key.when(k == j, key_hash(hashes, F.lit(1), j))
     keyed = one.select("item_id", F.array_join("ws", " ").alias("window"), F.size("ws").alias("length"), k.alias("k"), key.alias("key"))
     return keyed.groupBy("window", "length", "k", "key").agg(F.collect_set("item_id").alias("item_ids"))
 
 
-def scanned(docs: DataFrame, windows: DataFrame, row: str) -> DataFrame:
-    """(row, n_words, at, window, length, item_ids): a row for each occurrence, and at least one for each document."""
-    keys = windows.select("k", "key").distinct().limit(SET_ROWS + 1).collect()
-    small = len(keys) <= SET_ROWS
-    by_k = {k: [r["key"] for r in keys if r["k"] == k] for k in sorted({r["k"] for r in keys})} if small else dict.fromkeys(range(1, KEY + 1))
+def slots_of(key: Column, n_slots: int) -> list[Column]:
+    return [F.pmod(key, F.lit(n_slots)), F.pmod(F.shiftrightunsigned(key, 32), F.lit(n_slots))]
+
+
+def hash_set(windows: DataFrame, most: int = SLOTS) -> tuple[bytes, list[int]]:
+    """One byte for each slot, 1 where some window's key falls, and the lengths k of keys; what reaches the driver is `most` bits."""
+    keys = windows.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["k"]: r["n"] for r in keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most KEY rows
+    n_slots = min(most, max(1 << 15, 1 << (SPACE * sum(counts.values()) - 1).bit_length())) if counts else 1 << 15
+    slot = keys.select(F.explode(F.array(*slots_of(F.col("key"), n_slots))).alias("slot"))
+    maps = slot.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
+    parts = {r["bucket"]: r["bits"] for r in maps}
+    spread = [bytes(x >> b & 1 for b in range(8)) for x in range(256)]
+    none = bytes(1 << 12)
+    # Slot s is bit (s - 1) mod 2^15 of bucket (s - 1) / 2^15 + 1, as Spark numbers them; slot 0 is bit 0 of bucket 0.
+    table = b"".join(b"".join(spread[x] for x in parts.get(k, none)) for k in range(1, (n_slots >> 15) + 1))
+    first = bytes([parts[0][0] & 1]) if 0 in parts else b"\0"
+    return first + table, sorted(counts)
+
+
+def scanned(docs: DataFrame, windows: DataFrame, row: list[str]) -> DataFrame:
+    """(row columns, n_words, at, window, length, item_ids): a row for each occurrence, and at least one for each document."""
+    table, ks = hash_set(windows)
+    marked, yes = F.lit(bytearray(table)), F.lit(bytearray(b"\1"))
     lengths = [r["length"] for r in windows.select("length").distinct().collect()]  # at most 13
-    raw = docs.select(row, words(F.col("text")).alias("w"))
-    # lower() is a function of the A-Z-lowered word, so it is good for keys; matches are compared by `lowered`.
-    low = raw.select(row, "w", F.transform("w", lambda x: F.lower(x)).alias("lw"))
-
-    def places(k: int, hashes: list[int] | None) -> Column:
-        all_ = F.sequence(F.lit(1), F.size("lw") - (k - 1))
-        hit = (lambda i: key_hash(F.col("lw"), i, k).isin(hashes)) if hashes is not None else (lambda i: F.lit(True))
-        found = F.transform(F.filter(all_, hit), lambda i: F.struct(i.alias("at"), F.lit(k).alias("k"), key_hash(F.col("lw"), i, k).alias("key"), F.slice(F.col("w"), i, N).alias("ws")))
-        return F.when(F.size("lw") >= k, found).otherwise(F.array().cast("array<struct<at:int,k:int,key:bigint,ws:array<string>>>"))
-
-    found = F.concat(*[places(k, h) for k, h in by_k.items()]) if by_k else F.array().cast("array<struct<at:int,k:int,key:bigint,ws:array<string>>>")
-    cand = low.select(row, F.size("w").cast("long").alias("n_words"), found.alias("found"))
-    one = cand.select(row, "n_words", F.explode_outer("found").alias("f")).select(row, "n_words", "f.*")
+    raw = docs.select(*row, words(F.col("text")).alias("w"))
+    hashed = raw.select(*row, "w", word_hashes(F.col("w")).alias("h"))
+    n_slots = len(table) - 1
+
+    def places(k: int) -> Column:
+        every = F.sequence(F.lit(1), F.size("h") - (k - 1))
+        keyed = F.transform(every, lambda i: F.struct(i.alias("at"), key_hash(F.col("h"), i, k).alias("key")))
+
+        def held(p: Column) -> Column:
+            one, two = (F.substring(marked, s.cast("int") + 1, F.lit(1)) == yes for s in slots_of(p["key"], n_slots))
+            return one & two
+
+        found = F.transform(F.filter(keyed, held), lambda p: F.struct(p["at"].alias("at"), F.lit(k).alias("k"), p["key"].alias("key"), F.slice(F.col("w"), p["at"], N).alias("ws")))
+        return F.when(F.size("h") >= k, found).otherwise(F.array().cast(PLACE))
+
+    # Each document also has one place that matches nothing, under a hash of its own: it keeps its row in the join, on any task.
+    own = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.xxhash64(*row).alias("key"), F.array().cast("array<string>").alias("ws"))).cast(PLACE)
+    found = F.concat(own, *[places(k) for k in ks])
+    one = hashed.select(*row, F.size("w").cast("long").alias("n_words"), F.explode(found).alias("f")).select(*row, "n_words", "f.*")
     one = one.withColumn("ws", F.transform("ws", lambda x: lowered(x)))
-    right = windows.select("window", "length", "k", "key", "item_ids")
-    match = (one["k"] == right["k"]) & (one["key"] == right["key"])
+    right = windows.select("window", "length", F.col("k").alias("_k"), F.col("key").alias("_key"), "item_ids")
+    match = (one["k"] == right["_k"]) & (one["key"] == right["_key"])
     for length in lengths or [0]:
         match = match & ((right["length"] != length) | (F.array_join(F.slice(one["ws"], 1, length), " ") == right["window"]))
-    return one.join(F.broadcast(right) if small else right, match, "left").select(row, "n_words", "at", "window", "length", "item_ids")
+    return one.join(right, match, "left").select(*row, "n_words", "at", "window", "length", "item_ids")
 
 
 def covered(spans: Column) -> Column:
@@ -94,9 +128,10 @@ def covered(spans: Column) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans) for every row of docs."""
     windows = benchmark_windows(benchmark, n)
-    seen = scanned(docs.select("doc_id", "text"), windows, "doc_id")
+    # Rows with the same doc_id and another text are judged each by its own.
+    seen = scanned(docs.select("doc_id", "text", F.xxhash64("text").alias("_text")), windows, ["doc_id", "_text"])
     hit = F.when(F.col("length").isNotNull(), F.struct("at", "length"))
-    grouped = seen.groupBy("doc_id").agg(
+    grouped = seen.groupBy("doc_id", "_text").agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.collect_set(hit)).alias("spans"),
         F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("items"),

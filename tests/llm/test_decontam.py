@@ -33,9 +33,9 @@ def brute(docs, items):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("set_rows", [200_000, 3])
-def test_matches_brute_force(spark, monkeypatch, set_rows):
-    monkeypatch.setattr(decontam, "SET_ROWS", set_rows)
+@pytest.mark.parametrize("joined", ["-1", "10m"])
+def test_matches_brute_force(spark, joined):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joined)
     g = random.Random(1)
     vocab = ["the", "The", "of", "ÜBER", "über", "x1", "Σας", "K", "word", "a"]
     text = lambda n: g.choice([" ", ", ", "\n"]).join(g.choice(vocab) for _ in range(n))
@@ -50,6 +50,27 @@ def test_matches_brute_force(spark, monkeypatch, set_rows):
     kept = decontam.decontaminate(d, b)
     assert kept.columns == d.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in got if not r[5])
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_the_hash_set_misses_no_key_whatever_its_size(spark):
+    from pyspark.sql import functions as F
+
+    windows = spark.range(40_000).select(F.lit(4).alias("k"), F.xxhash64("id").alias("key"))
+    for most in (1 << 15, 1 << 24):
+        table, ks = decontam.hash_set(windows, most)
+        n = len(table) - 1
+        assert ks == [4] and n == min(most, 1 << 20)
+        one, two = decontam.slots_of(F.col("key"), n)
+        assert all(table[r.a] and table[r.b] for r in windows.select(one.alias("a"), two.alias("b")).collect())
+    assert sum(table) <= 80_000
+
+
+def test_rows_with_one_doc_id_and_several_texts(spark):
+    item = " ".join(f"q{i}" for i in range(13))
+    docs = spark.createDataFrame([(1, item), (1, "zz yy"), (1, "zz yy"), (None, item), (None, "x")], "doc_id long, text string")
+    got = decontam.contamination(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.contaminated) for r in got) == [("1", 2, 0, False), ("1", 13, 13, True), ("None", 1, 0, False), ("None", 13, 13, True)]
 
 
 def test_empty_tables(spark):
