@@ -4,6 +4,11 @@
 
 The first four return the columns of `documents`: rejected, duplicate and contaminated documents go, personal data is
 replaced in the text. The last returns every remaining document with the words that the mix takes of it.
+
+Null texts and texts without a letter go at the first stage; texts of any length are handled whole. Rows are never told
+apart by doc_id alone, so null and repeated doc_ids neither lose nor multiply rows; of rows that repeat both doc_id and
+text one stays, and of texts that are alike the one with the least doc_id. Extra columns are carried along (columns
+that the last stage adds replace such of the same name). An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -34,10 +39,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # Rows are numbered and written once: doc_id may be null or repeated.
-    rows = durable(docs.withColumn("_row", F.monotonically_increasing_id()))
-    taken = mixing.mix(rows, key="_row").select(F.col("_row").alias("_of"), "size", "source_size", "target", "taken")
-    return rows.join(taken, rows["_row"] == taken["_of"]).select(*[rows[c] for c in docs.columns], "size", "source_size", "target", "taken")
+    # Rows are numbered and written once: doc_id may be null or repeated. Their columns stand apart, so no name clashes.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = durable(docs.select("doc_id", "text", "source", row, F.monotonically_increasing_id().alias("no")))
+    added = ["size", "source_size", "target", "taken"]
+    taken = mixing.mix(rows.select("doc_id", "text", "source", "no"), key="no").select(F.col("no").alias("of"), *added)
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in added]
+    return rows.select("row", "no").join(taken, F.col("no") == F.col("of")).select(*kept, *added)
 
 
 STAGES = [

@@ -52,3 +52,40 @@ def test_sizes_and_empty_tables(spark):
     assert got[0]["size"] == 3
     assert rows_of(spark, []) == []
     assert [r.taken for r in rows_of(spark, [(1, None, "x"), (2, " ", None)])] == [0, 0]
+
+
+@pytest.mark.parametrize("block,shard", [(8, 16), (32, 100)])
+def test_slots_hold_the_words_that_are_taken(spark, block, shard):
+    """Every block that a slot holds is cut from the source's stream by brute force, and all that is taken is in some slot."""
+    g = np.random.default_rng(1)
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(int(g.integers(0, 60)))), f"s{int(g.integers(0, 3))}") for i in range(60)]
+    docs = spark.createDataFrame([*rows, (99, None, "s0"), (None, "n1 n2", None)], "doc_id long, text string, source string")
+    how = {"block": block, "shard": shard}
+    held, read, taken = (f(docs, **how).collect() for f in (mixing.mixed_blocks, mixing.mixed_text, mixing.mix))
+    words = {d: (t or "").split() for d, t, _ in [*rows, (None, "n1 n2", None)]}
+    slots = {}
+    for r in sorted(held, key=lambda r: (r.shard, r.slot, r.place)):
+        slots.setdefault((r.shard, r.slot), []).extend(words[r.doc_id][r.first_word : r.first_word + r.n_words])
+    assert {k: " ".join(v) for k, v in slots.items()} == {(r.shard, r.slot): r.text for r in read}
+    assert max(map(len, slots.values())) <= block
+    for s in {r.shard for r in read}:
+        own = sorted(r.slot for r in read if r.shard == s)
+        assert own == list(range(len(own))) and len(own) <= shard
+    for r in taken:
+        assert r.taken == sum(h.n_words for h in held if h.doc_id == r.doc_id)
+    # The blocks of a source part its words, and each is in as many slots as any other, or one more.
+    for s in {r.source for r in read}:
+        blocks = {}
+        for r in read:
+            if r.source == s:
+                blocks[r.text] = blocks.get(r.text, 0) + 1
+        every = sorted(w for d, t, src in [*rows, (None, "n1 n2", None)] if src == s for w in words[d])
+        if set(blocks.values()) - {0}:
+            assert max(blocks.values()) - min(blocks.values()) <= 1
+            got = sorted(w for b in blocks for w in b.split())
+            assert len(got) == len(set(got)) and set(got) <= set(every)
+
+
+def test_no_blocks_of_nothing(spark):
+    docs = spark.createDataFrame([(1, None, "x")], "doc_id long, text string, source string")
+    assert mixing.mixed_blocks(docs).count() == 0 and mixing.mixed_text(docs).count() == 0
