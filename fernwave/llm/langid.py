@@ -6,9 +6,10 @@ learned number per byte value and place (a convolution over one-hot bytes). Ever
 window (max pooling, then ReLU) feeds a softmax over the languages; a document's probabilities are the mean of its
 windows', weighted by their bytes.
 
-The network is fitted to windows of a bounded sample of labelled rows: about PER_LANGUAGE documents of each language
-(a documented parameter), chosen by a hash of doc_id, and up to WINDOWS_EACH windows of each. Fitting sees nothing but
-text and label; predicting sees nothing but text.
+The network is fitted to windows of a bounded sample of labelled rows: about PER_LANGUAGE documents of each language,
+and IN_ALL of all together, chosen by a hash of doc_id, with up to WINDOWS_EACH windows of each. The LANGUAGES most
+frequent labels (ties by name) are learned; documents of others get the most likely one of these. Fitting sees nothing
+but text and label; predicting sees nothing but text.
 
 Null texts and texts without a letter are `und` with score 0, and so is every text if there is nothing to learn from.
 Repeated rows get equal predictions. Null or rare labels are never predicted or are learned like any other. Other
@@ -31,7 +32,7 @@ from .common import slices, utf8
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 8
-PER_LANGUAGE = 1500
+PER_LANGUAGE, IN_ALL, LANGUAGES = 1500, 20_000, 200
 WINDOWS_EACH = 4
 STEPS = 500
 BATCH = 256
@@ -175,11 +176,13 @@ def detect(text: Column, model: Model | None) -> Column:
 
 
 def sample_windows(docs: DataFrame, per_language: int = PER_LANGUAGE, each: int = WINDOWS_EACH) -> DataFrame:
-    """(lang, window) of about `per_language` documents of each language, chosen by a hash of doc_id."""
+    """(lang, window) of about `per_language` documents of each language, fewer with very many, chosen by a hash of doc_id."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    share = min(per_language, IN_ALL // max(1, len(counts)))
+    known = docs.sparkSession.createDataFrame([(r["lang"], float(share) / r["n"]) for r in counts], "lang string, share double")
     part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = labelled.join(F.broadcast(counts.limit(10_000)), "lang").filter(part < F.lit(float(per_language)) / F.col("n"))
+    chosen = labelled.join(F.broadcast(known), "lang").filter(part < F.col("share"))
     at = lambda i: F.pmod(F.xxhash64(F.col("doc_id"), i), F.greatest(F.lit(1), F.length("text") - WINDOW + 1)).cast("int") + 1
     cut = F.transform(F.sequence(F.lit(1), F.least(F.lit(each), F.ceil(F.length("text") / WINDOW).cast("int"))), lambda i: F.substring(F.col("text"), at(i), F.lit(WINDOW)))
     return chosen.filter(F.length("text") > 0).select("lang", F.explode(cut).alias("window"))

@@ -10,7 +10,7 @@ import base64
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import durable
@@ -22,20 +22,22 @@ RANGE = 1024
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def load_encoding(path: str):
+def load_encoding(vocabulary: bytes):
+    """An encoder from the lines of a vocabulary file."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line.strip())}
     return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_length(text: Column, vocabulary: str = VOCABULARY) -> Column:
-    """Number of tokens of each whole text; null gives 0."""
+    """Number of tokens of each whole text; null gives 0. The vocabulary file is read on the driver and broadcast (about 1 MB)."""
+    with open(vocabulary, "rb") as f:
+        lines = SparkSession.active().sparkContext.broadcast(f.read())
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = load_encoding(vocabulary).encode_ordinary
+        encode = load_encoding(lines.value).encode_ordinary
         for texts in batches:
             yield pd.Series([len(encode(t)) if t else 0 for t in texts], dtype="int64")
 
@@ -94,7 +96,8 @@ def at_limits(sums: DataFrame, limits: DataFrame) -> DataFrame:
     """The answers for any context limits (column `context_limit`), also such as no document has.
 
     A limit's answer comes from the smallest length that occurs at or above it; limits beyond all lengths cut
-    nothing. Only (limits) x (lengths above) sums are aggregated: both sides are histograms, not documents.
+    nothing. Only (limits) x (lengths above) sums are aggregated: a list of limits by a histogram of lengths, whose rows
+    are at most as many as the longest document has tokens.
     """
     total = sums.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("_all"))
     first = (
