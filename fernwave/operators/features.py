@@ -66,7 +66,14 @@ def bank14(s: sp.Structure) -> dict:
     return out | {"centrality": np.where(reach, s.hops, 0).sum(1) / reach.sum(1)}
 
 
-BANKS = {"bank12": bank12, "bank13": bank13, "bank14": bank14, "bank23": bank23, "bank29": bank29}
+def early6(s: sp.Structure) -> dict:
+    """The small bank of the first circuits, for contact graphs; standardised and squashed by the caller."""
+    e, reach = s.eig(), s.hops >= 0
+    out = {"LST_interf": s.band(sp.interference(*s.eig("logf", 1.0))), "coherent": s.band(sp.coherent(*e)), "q_communic": s.band(sp.q_communicability(*s.eig("adjacency")))}
+    return out | {"classical": s.band(sp.heat_average(*e)), "degree": s.degree, "centrality": np.where(reach, s.hops, 0).sum(1) / reach.sum(1)}
+
+
+BANKS = {"early6": early6, "bank12": bank12, "bank13": bank13, "bank14": bank14, "bank23": bank23, "bank29": bank29}
 _NAMES: dict[str, list[str]] = {}
 
 

@@ -40,9 +40,9 @@ def coherent(w, v, t=None):
     return np.abs(of(w, v, np.exp(-1j * w * (typical_time(w) if t is None else t)))) ** 2
 
 
-def time_average(w, v, t=40.0, steps=64):
-    """Mean over sampled times of the squared propagator."""
-    return sum(coherent(w, v, x) for x in np.linspace(0, t, steps)) / steps
+def time_average(w, v, t=20.0, steps=64):
+    """Mean over `steps` sampled times up to t of the squared propagator; the start itself is not among them."""
+    return sum(coherent(w, v, x) for x in np.linspace(t / steps, t, steps)) / steps
 
 
 def long_time_average(w, v):
@@ -56,7 +56,7 @@ def heat_average(w, v, t=20.0):
 
 
 def heat_sampled(w, v, t=20.0, steps=64):
-    return of(w, v, np.exp(-np.outer(np.linspace(0, t, steps), w)).mean(0))
+    return of(w, v, np.exp(-np.outer(np.linspace(t / steps, t, steps), w)).mean(0))
 
 
 def interference(w, v, t=20.0):
@@ -90,8 +90,13 @@ def q_communicability(w, v, beta=0.5):
     return np.abs(of(w, v, np.exp(1j * beta * w))) ** 2
 
 
-def contrast(w, v):
-    return coherent(w, v) - heat_average(w, v)
+def contrast(w, v, t=20.0):
+    """What the walk keeps for endless times beyond what heat does."""
+    return long_time_average(w, v) - heat_average(w, v, t)
+
+
+def contrast_sampled(w, v, t=20.0, steps=64):
+    return time_average(w, v, t, steps) - heat_sampled(w, v, t, steps)
 
 
 def dephased(w, v, p=0.0, t=20.0):
@@ -99,12 +104,33 @@ def dephased(w, v, p=0.0, t=20.0):
     return (1 - p) * interference(w, v, t) + p * heat_average(w, v, t)
 
 
+#: Time averages are taken in closed form; the sampled ones bear names of their own.
 METRICS: dict[str, Callable] = {
-    "time_avg": time_average, "ita": long_time_average, "interference": interference, "quadrature": quadrature, "coherent": coherent, "classical": heat_average, "classical_sampled": heat_sampled,
-    "contrast": contrast, "gnm": pseudo_inverse, "resistance": resistance, "yukawa": yukawa, "communicability": communicability, "q_communicability": q_communicability, "dephased": dephased,
+    "time_avg": long_time_average, "time_avg_sampled": time_average, "ita": long_time_average, "interference": interference, "quadrature": quadrature, "coherent": coherent, "classical": heat_average, "classical_sampled": heat_sampled,
+    "contrast": contrast, "contrast_sampled": contrast_sampled, "gnm": pseudo_inverse, "resistance": resistance, "yukawa": yukawa, "communicability": communicability, "q_communicability": q_communicability, "dephased": dephased,
 }
 
 
+#: Metrics that belong to the Laplacian, whatever Hamiltonian the others act on.
+OF_LAPLACIAN = ("classical", "classical_sampled", "gnm", "resistance", "yukawa")
+
+
+def metric_matrix(s: Structure, metric: str, kind: str = "laplacian", value: float | None = None, **params) -> np.ndarray:
+    """The N x N matrix of a named metric of a structure; an unknown name is an error.
+
+    The contrast sets the walk of the chosen Hamiltonian against the heat of the Laplacian.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}")
+    if metric in OF_LAPLACIAN:
+        return METRICS[metric](*s.eig(), **params)
+    if metric == "contrast":
+        return long_time_average(*s.eig(kind, value)) - heat_average(*s.eig(), **params)
+    if metric == "contrast_sampled":
+        return time_average(*s.eig(kind, value), **params) - heat_sampled(*s.eig(), **params)
+    return METRICS[metric](*s.eig(kind, value), **params)
+
+
 def register_metric(name: str, function: Callable) -> None:
     METRICS[name] = function
 
@@ -124,8 +150,8 @@ def commute(w, v):
     return ((v**2) * positive_inverse(w)).sum(1)
 
 
-def phase_coherence(w, v):
-    u = of(w, v.astype(complex), np.exp(-1j * w * typical_time(w)))
+def phase_coherence(w, v, t=None):
+    u = of(w, v.astype(complex), np.exp(-1j * w * (typical_time(w) if t is None else t)))
     return np.abs(u.sum(1)) / (np.abs(u).sum(1) + 1e-12)
 
 
@@ -282,15 +308,33 @@ def apply_series(coo: DataFrame, start: DataFrame, coefficients: list[float], up
     return state.select(S, "node_id", F.col("y").alias("x"))
 
 
-def stochastic_pairs(s: Structure, f: Callable, k: int = 40, seed: int = 0) -> np.ndarray:
-    """Estimate of f(L) from random signs and a Chebyshev series, without an eigensystem."""
-    r = int(np.clip(6 * np.sqrt(s.n), 40, 400))
-    xi = np.random.default_rng(seed).choice([-1.0, 1.0], (s.n, r))
+def signs(ids: np.ndarray, probes: int) -> np.ndarray:
+    """(N, probes) of -1 and 1, from the bits of a hash of a node's id: the same wherever they are drawn."""
+    import hashlib
+
+    bits = [int(hashlib.md5(f"{i}:{r}".encode()).hexdigest()[:8], 16) & 1 for i in ids.tolist() for r in range(probes)]
+    return np.array(bits, float).reshape(len(ids), probes) * 2 - 1
+
+
+def series_of(s: Structure, x: np.ndarray, f: Callable, k: int = 40) -> np.ndarray:
+    """f(L) x by a Chebyshev series of k terms on [0, twice the largest degree], without an eigensystem."""
     lap, upper = s.matrix("laplacian"), 2 * max(1.0, s.degree.max(initial=0))
     c = chebyshev(f, upper, k)
-    t0, t1 = xi, 2 / upper * (lap @ xi) - xi
+    t0, t1 = x, 2 / upper * (lap @ x) - x
     y = c[0] * t0 + c[1] * t1
     for a in c[2:]:
         t0, t1 = t1, 2 * (2 / upper * (lap @ t1) - t1) - t0
-        y += a * t1
-    return y @ xi.T / r
+        y = y + a * t1
+    return y
+
+
+def stochastic_pairs(s: Structure, f: Callable, k: int = 40, probes: int | None = None) -> np.ndarray:
+    """Estimate of f(L) from random signs and a Chebyshev series; about six probes for each root of N, 40 to 400."""
+    r = int(np.clip(6 * np.sqrt(s.n), 40, 400)) if probes is None else probes
+    xi = signs(s.ids, r)
+    return series_of(s, xi, f, k) @ xi.T / r
+
+
+def stochastic_rowsum(s: Structure, f: Callable, k: int = 40) -> np.ndarray:
+    """f(L) times ones: f(0), up to the truncation of the series."""
+    return series_of(s, np.ones(s.n), f, k)

@@ -66,10 +66,9 @@ def load_settings(path: str) -> dict:
 
 
 def _matrix(s: spectral.Structure, d: Detector, value, params: dict) -> np.ndarray:
-    w, v = s.eig(d.kind, value)
     if "scale" in params:
-        params = {"t": params["scale"] * spectral.typical_time(w)}
-    return spectral.METRICS[d.metric](w, v, **params)
+        params = {"t": params["scale"] * spectral.typical_time(s.eig(d.kind, value)[0])}
+    return spectral.metric_matrix(s, d.metric, d.kind, value, **params)
 
 
 def _active(s: spectral.Structure, m: np.ndarray, how: str) -> np.ndarray:
