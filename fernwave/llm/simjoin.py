@@ -14,8 +14,9 @@ above 0x7F; fewer words, but not none, are one run). Two documents are linked if
    verified so far tells how likely a pair like that is found at prefixes of this length; when this reaches the target
    recall, shortening stops. It stops at the latest where a pair of exactly the threshold is found with that chance.
 4. Families are compared in blocks of bounded size that are dealt to tasks; counts and spanning links leave a task,
-   never pairs. Families of more than BLOCK documents are parted by set size first, as sets of which one is less than
-   `threshold` of the other cannot be linked.
+   never pairs. Families of more than BLOCK documents are parted first: by set size, as sets of which one is less than
+   `threshold` of the other cannot be linked, and the largest family of the level before from what has joined it, so that
+   what was compared within it is not sent again.
 5. Classes are the connected components of verified links.
 
 Null texts and texts without words have an empty set: each is a class of its own, without links. Repeated rows (an
@@ -195,13 +196,9 @@ def _spanning(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
         root = new
 
 
-def blocks(n):
-    """How many blocks n documents are dealt to: of BLOCK at least; no document is sent to more than some 32, but for vast numbers."""
-    return -(-n // min(4096, max(BLOCK, n // 32)))
-
-
-def _blocks(n):
-    return F.ceil(n / F.least(F.lit(4096), F.greatest(F.lit(BLOCK), F.floor(n / 32))))
+def block_size(total):
+    """Documents of a family in a block: BLOCK at least, and so many that none is sent to more than some 35, but in vast families."""
+    return min(4096, max(BLOCK, total // 32))
 
 
 def shingled(docs: DataFrame, nodes: DataFrame, size: int = SIZE) -> DataFrame:
@@ -218,38 +215,61 @@ def shingled(docs: DataFrame, nodes: DataFrame, size: int = SIZE) -> DataFrame:
     return some.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, shingles binary")
 
 
-def verify(sets: DataFrame, members: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+def verify(sets: DataFrame, members: DataFrame, first: bool, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """(doc_id, root, links, least) for members (node, old, family): a row for each document and block in which it has links.
 
-    Pairs within the same `old` family were compared before and are passed over. `least` is the least similarity of
+    Pairs within the same `old` family were compared before and are passed over; at the `first` level none were. `least` is the least similarity of
     the block's linked pairs. Rows are dealt by their number as sent, copies for several blocks included.
     """
     # Sets whose bands are more than one apart cannot be linked; bands are a little wider than that asks for.
     width = math.log(threshold[1] / threshold[0]) * (1 + 1e-9)
     light = sets.select("doc_id", F.floor(F.log("n_shingles") / width).cast("int").alias("band"))
-    banded = durable(members.join(light, members["node"] == light["doc_id"]).groupBy("node").agg(F.min("old").alias("old"), F.min("family").alias("family"), F.min("band").alias("band")))
-    counts = banded.groupBy("family", "band").agg(F.count(F.lit(1)).alias("n"))
-    # At most some 80 bands. Written before they are joined, so that a join's skewed parts can be split.
-    of = durable(counts.groupBy("family").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("band", "n"))).alias("bands")))
-    others = lambda b: sum((_blocks(F.coalesce(F.try_element_at("bands", b + k), F.lit(0))) for k in (-1, 0, 1)), F.lit(0))
-    apart = F.aggregate(F.map_entries("bands"), F.lit(0).cast("long"), lambda a, e: (a + e["value"] * others(e["key"])).cast("long"))
+    banded = members.join(light, members["node"] == light["doc_id"]).groupBy("node").agg(F.min("old").alias("old"), F.min("family").alias("family"), F.min("band").alias("band"))
+    if first:
+        parted = durable(banded.withColumn("part", 2 * F.col("band")))
+    else:
+        banded = durable(banded)
+        # What is joined with a family's rows is written before, so that a join's skewed parts can be split.
+        olds = banded.groupBy("family", "old").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
+        main = durable(olds.groupBy("family").agg(F.max_by("old", F.struct("n", "old")).alias("main")))
+        parted = durable(banded.join(main, "family", "left").withColumn("part", 2 * F.col("band") + F.coalesce((F.col("old") == F.col("main")).cast("int"), F.lit(0))).drop("main"))
+    counts = parted.groupBy("family", "part").agg(F.count(F.lit(1)).alias("n"))
+    # At most some 160 parts.
+    of = durable(counts.groupBy("family").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("parts")))
+    block = F.least(F.lit(4096), F.greatest(F.lit(BLOCK), F.floor(F.col("total") / 32)))
+
+    def met(part):
+        """How many blocks a document of this part meets."""
+        out = F.lit(0)
+        for step in (-1, 0, 1):
+            for side in (0, 1):
+                n = F.ceil(F.coalesce(F.try_element_at("parts", 2 * (F.floor(part / 2).cast("int") + step) + side), F.lit(0)) / block)
+                out = out + (F.when(part % 2 == 0, n).otherwise(0) if side else n)
+        return out
+
+    apart = F.aggregate(F.map_entries("parts"), F.lit(0).cast("long"), lambda a, e: (a + e["value"] * met(e["key"])).cast("long"))
     n_sent = of.agg(F.sum(F.when(F.col("total") > BLOCK, apart).otherwise(F.col("total")))).first()[0] or 0
     n_deal = pieces(n_sent, ROWS)
-    named = banded.join(of, "family").select(F.col("node").alias("_node"), "old", "family", "band", "total", F.map_entries("bands").alias("bands"))
-    rows = sets.join(named, sets["doc_id"] == named["_node"]).select("doc_id", "shingles", "old", "family", "band", "total", "bands")
+    named = parted.join(of, "family").select(F.col("node").alias("_node"), "old", "family", "part", "total", F.map_entries("parts").alias("parts"))
+    rows = sets.join(named, sets["doc_id"] == named["_node"]).select("doc_id", "shingles", "old", "family", "part", "total", "parts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["deal", "family", "low", "high", "own", "old", "doc_id", "shingles"]
         kinds = [pa.int64()] * 7 + [pa.binary()]
         for batch in batches:
             out = []
-            for doc, data, old, fam, band, total, bands in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n_of = {e["key"]: e["value"] for e in bands} if total > BLOCK else {band: total}
+            for doc, data, old, fam, part, total, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n_of = {e["key"]: e["value"] for e in parts}
+                size = block_size(total)
                 mark = int.from_bytes(hashlib.blake2b(doc.to_bytes(8, "big", signed=True), digest_size=4).digest(), "big")
-                own = (band << 32) + mark % blocks(n_of[band])
-                for b in (band - 1, band, band + 1):
-                    for k in range(blocks(n_of[b]) if b in n_of else 0):
-                        low, high = sorted((own, (b << 32) + k))
+                if total <= BLOCK:
+                    part, n_of = 0, {0: total}
+                own = (part << 32) + mark % -(-n_of[part] // size)
+                # Parts of the same and the next bands; the main one's documents have all met each other.
+                meets = [2 * (part // 2 + step) + side for step in (-1, 0, 1) for side in (0, 1) if not part % 2 or not side] if total > BLOCK else [part]
+                for p in meets:
+                    for k in range(-(-n_of.get(p, 0) // size)):
+                        low, high = sorted((own, (p << 32) + k))
                         deal = int.from_bytes(hashlib.blake2b(b"%d %d %d" % (fam, low, high), digest_size=4).digest(), "big") % n_deal
                         out.append((deal, fam, low, high, own, old, doc, data))
                 if len(out) >= 2000:
@@ -330,7 +350,7 @@ def similarity_classes(docs: DataFrame, size: int = SIZE, threshold: tuple[int,
     families, linked, weakest = None, None, 1.0
     for prefix in range(DEPTH, shortest - 1, -1):
         changed, families = joined_families(families, near.filter(F.col("level") == prefix).select("u", "v"))
-        found = durable(verify(candidates, changed, threshold))
+        found = durable(verify(candidates, changed, linked is None, threshold))
         linked = found if linked is None else linked.unionByName(found)
         least = found.agg(F.min("least")).first()[0]
         weakest = weakest if least is None else min(weakest, least)

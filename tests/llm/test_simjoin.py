@@ -65,6 +65,21 @@ def test_classes_and_links_match_brute_force(spark, monkeypatch, block):
     assert got == brute(rows)
 
 
+def test_a_large_family_is_joined_level_by_level(spark, monkeypatch):
+    """Documents that drift apart step by step, in a family of many blocks, over several set sizes."""
+    monkeypatch.setattr(simjoin, "BLOCK", 8)
+    g = random.Random(5)
+    base = [f"v{i}" for i in range(150)]
+    rows = []
+    for i in range(150):
+        t = list(base)
+        for _ in range(g.randint(0, 6)):
+            t[g.randrange(len(t))] = f"n{g.randrange(10**6)}"
+        rows.append((i, " ".join(t[: g.randint(100, 150)])))
+    got = sorted(tuple(r) for r in simjoin.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows)
+
+
 def test_empty_table_and_repeated_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simjoin.similarity_classes(empty).count() == 0
