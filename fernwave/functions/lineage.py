@@ -4,12 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); in local mode one is made where none is set."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="spark-checkpoints-")
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the folder of spark.checkpoint.dir; one is made only where none is set."""
+    """Checkpoint into the shared folder."""
     context = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -111,6 +111,18 @@ def graph_distance(nodes: DataFrame, edges: DataFrame, most: int | None = None)
     return nodes.select(S, "node_id").groupBy(S).cogroup(edges.select(F.col(S).alias("_of"), "i", "j").groupBy("_of")).applyInPandas(run, f"{S} string, i long, j long, d int")
 
 
+def distance_histogram(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(structure_id, d, pairs): pairs of nodes by their hops; each structure's are counted in its task."""
+
+    def run(key: tuple, ns: pd.DataFrame, es: pd.DataFrame) -> pd.DataFrame:
+        ids = np.sort(ns["node_id"].to_numpy())
+        d = hop_matrix(np.searchsorted(ids, es["i"]), np.searchsorted(ids, es["j"]), len(ids))
+        d, n = np.unique(d[d >= 0], return_counts=True)
+        return pd.DataFrame({S: key[0], "d": d.astype(np.int32), "pairs": n})
+
+    return nodes.select(S, "node_id").groupBy(S).cogroup(edges.select(F.col(S).alias("_of"), "i", "j").groupBy("_of")).applyInPandas(run, f"{S} string, d int, pairs long")
+
+
 def two_hops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(structure_id, i, j) within two hops, the node itself included: one self-join of the edges."""
     b = edges.select(S, F.col("i").alias("j"), F.col("j").alias("k"))
@@ -139,8 +151,8 @@ def smooth(scores: DataFrame, nodes: DataFrame, edges: DataFrame, rounds: int =
 
 def burial_weight(nodes: DataFrame, edges: DataFrame, gamma: float = 1.0) -> DataFrame:
     """Weight 1 on the surface (least degree) down to 0 in the core; 1 everywhere if all degrees are equal."""
-    w = Window.partitionBy(S)
-    d = degrees(nodes, edges).withColumn("lo", F.min("degree").over(w)).withColumn("hi", F.max("degree").over(w))
+    d = degrees(nodes, edges)
+    d = d.join(d.groupBy(S).agg(F.min("degree").alias("lo"), F.max("degree").alias("hi")), S)
     depth = F.when(F.col("hi") > F.col("lo"), (F.col("degree") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
     return d.select(S, "node_id", F.pow(1.0 - depth, F.lit(gamma)).alias("weight"))
 

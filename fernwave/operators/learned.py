@@ -46,6 +46,71 @@ def ridge(x: DataFrame, cols: list[str], penalty: float = 1.0) -> dict[str, floa
     return dict(zip(cols, solve(gram(x, cols).collect(), cols, penalty).tolist(), strict=True))
 
 
+def structure_sums(x: DataFrame, cols: list[str]) -> DataFrame:
+    """(structure_id, a, b, v): each structure's sums of products of ones (0), labels (1) and channels (2, 3, ...), a <= b."""
+
+    def run(key, pdf):
+        u = np.column_stack([np.ones(len(pdf)), pdf["y01"], pdf[cols]]).astype(float)
+        g = u.T @ u
+        a, b = np.triu_indices(len(g))
+        return pd.DataFrame({S: key[0], "a": a, "b": b, "v": g[a, b]})
+
+    return x.select(S, "y01", *[quoted(c) for c in cols]).groupBy(S).applyInPandas(run, f"{S} string, a int, b int, v double")
+
+
+def solved(sums: DataFrame, n_cols: int, penalty: float) -> DataFrame:
+    """(structure_id, c): ridge coefficients of centred labels from sums like those of `structure_sums`."""
+
+    def run(key, pdf):
+        g = np.zeros((n_cols + 2, n_cols + 2))
+        g[pdf["a"], pdf["b"]] = g[pdf["b"], pdf["a"]] = pdf["v"]
+        moment = g[1, 2:] - g[0, 1] / max(g[0, 0], 1.0) * g[0, 2:]
+        return pd.DataFrame({S: [key[0]], "c": [np.linalg.solve(g[2:, 2:] + penalty * np.eye(n_cols), moment).tolist()]})
+
+    return sums.groupBy(S).applyInPandas(run, f"{S} string, c array<double>")
+
+
+def others(sums: DataFrame) -> DataFrame:
+    """Sums over all structures but each one: the total less its own."""
+    total = sums.groupBy("a", "b").agg(F.sum("v").alias("all"))
+    return sums.join(F.broadcast(total), ["a", "b"]).select(S, "a", "b", (F.col("all") - F.col("v")).alias("v"))  # a row for each pair of channels
+
+
+def applied(x: DataFrame, cols: list[str], fitted: DataFrame) -> DataFrame:
+    """(structure_id, node_id, y01, score): channels times their structure's coefficients."""
+    score = sum((quoted(c) * F.col("c")[k] for k, c in enumerate(cols)), F.lit(0.0))
+    return x.join(fitted, S).select(S, "node_id", "y01", score.alias("score"))
+
+
+def ridge_transfer(x: DataFrame, cols: list[str], penalty: float = 1.0) -> DataFrame:
+    """(structure_id, node_id, y01, score): each structure scored by a ridge model of all the others. Only sums are moved."""
+    return applied(x, cols, solved(others(structure_sums(x, cols)), len(cols), penalty))
+
+
+def operator_fits(x: DataFrame, cols: list[str], penalty: float = 1.0) -> DataFrame:
+    """(structure_id, c): each structure's own ridge operator."""
+    return solved(structure_sums(x, cols), len(cols), penalty)
+
+
+def operator_agreement(fits: DataFrame) -> DataFrame:
+    """(structure_id, other, cosine) for pairs of structures' operators, the smaller name first."""
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v))
+    unit = fits.select(S, F.transform("c", lambda v: v / (norm(F.col("c")) + 1e-12)).alias("u"))
+    other = unit.select(F.col(S).alias("other"), F.col("u").alias("w"))
+    dot = F.aggregate(F.zip_with("u", "w", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+    return unit.join(other, F.col(S) < F.col("other")).select(S, "other", dot.alias("cosine"))
+
+
+def most_divergent(fits: DataFrame, cols: list[str], top: int = 5) -> DataFrame:
+    """(structure_id, other, cosine, channel, gap): the pair that agrees least (ties by name), and the channels that part it most."""
+    pair = operator_agreement(fits).orderBy("cosine", S, "other").limit(1)
+    norm = F.sqrt(F.aggregate("c", F.lit(0.0), lambda a, v: a + v * v)) + 1e-9
+    unit = fits.select(F.col(S).alias("_s"), F.transform("c", lambda v: v / norm).alias("u"))
+    both = pair.join(unit, F.col(S) == F.col("_s")).select(S, "other", "cosine", "u").join(unit.select(F.col("_s").alias("_o"), F.col("u").alias("w")), F.col("other") == F.col("_o"))
+    rows = F.array(*[F.struct(F.lit(c).alias("channel"), F.abs(F.col("u")[k] - F.col("w")[k]).alias("gap")) for k, c in enumerate(cols)])
+    return both.select(S, "other", "cosine", F.explode(rows).alias("r")).select(S, "other", "cosine", "r.*").orderBy(F.desc("gap"), "channel").limit(top)
+
+
 def linear(coefficients: dict[str, float]) -> Column:
     out = F.lit(0.0)
     for c, v in coefficients.items():
@@ -105,6 +170,12 @@ def transfer_audit(auc: DataFrame) -> DataFrame:
     return own.join(sign, ["fold", "channel"]).select(F.col("fold").alias(S), "channel", F.when(F.col("up"), F.col("auc")).otherwise(1 - F.col("auc")).alias("transfer"))
 
 
+def type_means(transfer: DataFrame, types: DataFrame) -> DataFrame:
+    """(type, transfer, channels): the mean over a type's channels (channel, type) of their mean over structures."""
+    per = transfer.groupBy("channel").agg(F.avg("transfer").alias("m")).join(types, "channel", "left")
+    return per.groupBy(F.coalesce("type", F.lit("?")).alias("type")).agg(F.avg("m").alias("transfer"), F.count(F.lit(1)).alias("channels"))
+
+
 def stumps(x: DataFrame, cols: list[str], quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
     """(k, channel, threshold, sign): thresholds at exact quantiles, with both signs."""
     one = x.agg(*[F.percentile(quoted(c), F.array(*[F.lit(q) for q in quantiles])).alias(c) for c in cols])
@@ -118,14 +189,26 @@ def votes(x: DataFrame, cols: list[str], pool: DataFrame) -> DataFrame:
 
 
 def qubo(x: DataFrame, cols: list[str], pool: DataFrame, penalty: float = 0.04) -> DataFrame:
-    """(a, b, q) for all a, b: quadratic form of choosing stumps, with labels -1 and 1."""
-    h = votes(x, cols, pool)
-    k = pool.agg(F.count(F.lit(1)).cast("double").alias("kk"))
-    other = h.select(S, "node_id", F.col("k").alias("b"), F.col("h").alias("hb"))
-    pairs = h.join(other, [S, "node_id"]).groupBy(F.col("k").alias("a"), "b").agg(F.sum(F.col("h") * F.col("hb")).alias("hh"), F.sum(F.col("h") * (2.0 * F.col("y01") - 1.0)).alias("hy"))
-    d = pairs.crossJoin(F.broadcast(k))  # one row
-    diagonal = F.col("hh") / (F.col("kk") * F.col("kk")) - 2.0 / F.col("kk") * F.col("hy") + penalty
-    return d.select("a", "b", F.when(F.col("a") == F.col("b"), diagonal).otherwise(2.0 / (F.col("kk") * F.col("kk")) * F.col("hh")).alias("q"))
+    """(a, b, q) for all a, b: quadratic form of choosing stumps, with labels -1 and 1.
+
+    The pool is a few hundred rows. Tasks sum the products of all votes over their rows; a task sends K * K sums.
+    """
+    stumps_ = pool.select("k", "channel", "threshold", "sign").toPandas().sort_values("k")
+    k, of = stumps_["k"].to_numpy(), [cols.index(c) for c in stumps_["channel"]]
+    threshold, sign, n = stumps_["threshold"].to_numpy(float), stumps_["sign"].to_numpy(float), len(stumps_)
+
+    def run(batches):
+        g = np.zeros((n + 1, n))
+        for pdf in batches:
+            h = np.where(pdf[cols].to_numpy(float)[:, of] >= threshold, sign, -sign)
+            g[:n] += h.T @ h
+            g[n] += h.T @ (2.0 * pdf["y01"].to_numpy(float) - 1.0)
+        a, b = np.divmod(np.arange(n * n), n)
+        yield pd.DataFrame({"a": k[a], "b": k[b], "hh": g[:n].ravel(), "hy": g[n][a]})
+
+    sums = x.select("y01", *[quoted(c) for c in cols]).mapInPandas(run, "a int, b int, hh double, hy double").groupBy("a", "b").agg(F.sum("hh").alias("hh"), F.sum("hy").alias("hy"))
+    diagonal = F.col("hh") / float(n * n) - 2.0 / n * F.col("hy") + penalty
+    return sums.select("a", "b", F.when(F.col("a") == F.col("b"), diagonal).otherwise(2.0 / (n * n) * F.col("hh")).alias("q"))
 
 
 def anneal(q: DataFrame, restarts: int = 8, steps: int = 4000, seed: int = 0) -> DataFrame:
@@ -204,11 +287,15 @@ def logistic(train, y, test, rounds: int = 600, rate: float = 0.3):
 
 
 def kernel_logistic(train, y, test, rounds: int = 400, rate: float = 0.5, penalty: float = 1e-3):
-    k = rbf(train, train, 1.0 / train.shape[1])
-    a = np.zeros(len(y))
+    """Gradient descent on the kernel expansion, classes weighted alike, with an intercept."""
+    gamma = 1.0 / train.shape[1]
+    k, a, b = rbf(train, train, gamma), np.zeros(len(y)), 0.0
+    weight = np.where(y > 0.5, max(1.0, (1 - y).sum()) / max(1.0, y.sum()), 1.0)
     for _ in range(rounds):
-        a -= rate * ((1 / (1 + np.exp(-np.clip(k @ a, -30, 30))) - y) / len(y) + penalty * a)
-    return rbf(test, train, 1.0 / train.shape[1]) @ a
+        g = weight * (1 / (1 + np.exp(-np.clip(k @ a + b, -30, 30))) - y)
+        a -= rate * (k @ g) / len(y) + rate * penalty * a
+        b -= rate * g.mean()
+    return 1 / (1 + np.exp(-np.clip(rbf(test, train, gamma) @ a + b, -30, 30)))
 
 
 def boosted_trees(train: DataFrame, test: DataFrame, cols: list[str], trees: int = 200) -> DataFrame:

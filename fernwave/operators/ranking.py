@@ -93,3 +93,20 @@ def rank_percent(values: DataFrame, col: str, *by: str) -> DataFrame:
 def fuse_percent(a: DataFrame, b: DataFrame) -> DataFrame:
     x = rank_percent(a.select(S, "node_id", F.col("score").alias("sa")), "sa").join(rank_percent(b.select(S, "node_id", F.col("score").alias("sb")), "sb"), [S, "node_id"])
     return x.select(S, "node_id", (F.col("sa_pct") + F.col("sb_pct")).alias("score"))
+
+
+def blend(scores: list[DataFrame]) -> DataFrame:
+    """(structure_id, node_id, score): the mean of several scores' rank percentages."""
+    out = None
+    for k, x in enumerate(scores):
+        one = rank_percent(x.select(S, "node_id", F.col("score").alias(f"s{k}")), f"s{k}").select(S, "node_id", f"s{k}_pct")
+        out = one if out is None else out.join(one, [S, "node_id"])
+    return out.select(S, "node_id", (sum((F.col(f"s{k}_pct") for k in range(len(scores))), F.lit(0.0)) / len(scores)).alias("score"))
+
+
+def adaptive(scores: DataFrame, nodes: DataFrame, always: tuple[str, ...], with_active: tuple[str, ...]) -> DataFrame:
+    """(structure_id, detector, decisiveness): the most decisive of a pool of detectors (ties by name); the second part of
+    the pool is open to structures with active nodes only."""
+    has = nodes.filter("is_active").select(S).distinct().withColumn("_has", F.lit(True))
+    open_ = scores.join(has, S, "left").filter(F.col("detector").isin(*always) | (F.col("_has") & F.col("detector").isin(*with_active))).drop("_has")
+    return route(open_).select(S, "detector", "decisiveness")

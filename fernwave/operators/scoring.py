@@ -2,34 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import erfc
+from ..functions.ranks import running_sums
 from .graph import S
 
 
-def tie_ranks(x: DataFrame, *by: str) -> DataFrame:
-    """Adds `rank` (mean rank of equal scores, from 1) and `ties` (how many are equal)."""
-    order, equal = Window.partitionBy(S, *by).orderBy("score"), Window.partitionBy(S, *by, "score")
-    x = x.withColumn("ties", F.count(F.lit(1)).over(equal))
-    return x.withColumn("rank", F.rank().over(order) + (F.col("ties") - 1) / 2.0)
+def by_score(x: DataFrame, *by: str) -> DataFrame:
+    """(structure_id, by, score, n1, n0, below, lower): positives and negatives of each score, and all and negatives below it.
+
+    Rows are counted by score first; only the distinct scores are put in order, in ranges over all tasks.
+    """
+    counts = x.groupBy(S, *by, F.col("score").cast("double").alias("score")).agg(F.sum("y01").cast("double").alias("n1"), F.sum(1 - F.col("y01")).cast("double").alias("n0"))
+    return running_sums(counts, [S, *by], [F.col("score")], {"below": F.col("n1") + F.col("n0"), "lower": F.col("n0")})
 
 
 def rank_statistics(x: DataFrame, *by: str) -> DataFrame:
     """AUC, Mann-Whitney U, z with tie and continuity correction, and one-sided p; null where a class is empty."""
-    r = tie_ranks(x, *by).groupBy(S, *by).agg(
-        F.sum("y01").cast("double").alias("n1"),
-        F.sum(1 - F.col("y01")).cast("double").alias("n0"),
-        F.sum(F.when(F.col("y01") == 1, F.col("rank")).otherwise(0.0)).alias("rs"),
-        F.sum(F.col("ties") * F.col("ties") - 1.0).alias("t"),  # sums to t^3 - t over groups of ties
+    ties = F.col("n1") + F.col("n0")
+    r = by_score(x, *by).groupBy(S, *by).agg(
+        F.sum("n1").alias("n1"),
+        F.sum("n0").alias("n0"),
+        F.sum(F.col("n1") * (F.col("below") + (ties + 1) / 2.0)).alias("rs"),  # equal scores share their mean rank
+        F.sum(ties * ties * ties - ties).alias("t"),
     )
     n = F.col("n1") + F.col("n0")
     u = F.col("rs") - F.col("n1") * (F.col("n1") + 1) / 2.0
     both = (F.col("n1") > 0) & (F.col("n0") > 0)
     var = F.col("n1") * F.col("n0") / 12.0 * (n + 1 - F.col("t") / (n * (n - 1)))
     z = F.when(var > 0, (u - F.col("n1") * F.col("n0") / 2.0 - 0.5) / F.sqrt(var))
-    out = r.select(S, *by, F.when(both, u).alias("u"), F.when(both, u / (F.col("n1") * F.col("n0"))).alias("auc"), F.when(both, z).alias("z"))
+    out = r.select(S, *by, F.when(both, u).alias("u"), F.when(both, u / (F.col("n1") * F.col("n0"))).alias("auc"), F.when(both, z).alias("z"), "n1", "n0", (F.col("t") > 0).alias("tied"))
     return out.withColumn("p", 0.5 * erfc(F.col("z") / F.sqrt(F.lit(2.0))))
 
 
@@ -41,18 +47,24 @@ def hits(ranked: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
     """For each k: whether the top k hold a positive, how many, and how many times more than by chance."""
     out = []
     n, pos = F.count(F.lit(1)), F.sum("y01")
-    for k in ks:
+    for k in ks:  # a list that is shorter than k has none of its columns' values
         top = F.sum(F.when(F.col("pos") <= k, F.col("y01")).otherwise(0))
-        out += [(top > 0).cast("int").alias(f"hit_{k}"), top.alias(f"n_hits_{k}"), F.when(pos > 0, F.round(top / F.lit(float(k)) / (pos / n), 3)).alias(f"enrichment_{k}")]
+        out += [F.when(n >= k, (top > 0).cast("int")).alias(f"hit_{k}"), F.when(n >= k, top).alias(f"n_hits_{k}"), F.when((n >= k) & (pos > 0), F.round(top / F.lit(float(k)) / (pos / n), 3)).alias(f"enrichment_{k}")]
     return ranked.groupBy(S).agg(*out)
 
 
-def bootstrap_auc(x: DataFrame, replicates: int = 200, seed: int = 0) -> DataFrame:
+def uniform(*parts: Column) -> Column:
+    """A number between 0 and 1 from a hash of the parts: the same wherever and whenever it is drawn."""
+    return (F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+
+
+def bootstrap_auc(x: DataFrame, replicates: int = 2000, seed: int = 0) -> DataFrame:
     """(structure_id, ci_low, ci_high): each class resampled with replacement, by Poisson weights of hashed draws.
 
-    Replicates are rows that are spread over tasks; a weight stands for how often a row is drawn.
+    Replicates are rows that are spread over tasks; a weight stands for how often a row is drawn. Weights are summed by
+    score before scores are put in order.
     """
-    u = (F.pmod(F.xxhash64("node_id", "replicate", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    u = uniform(F.col("node_id"), F.col("replicate"), F.lit(seed))
     # Poisson(1) by its cumulative distribution: values above 7 have probability 1e-5.
     cdf, p, w = 0.0, 0.36787944117144233, F.lit(7)
     steps = []
@@ -63,11 +75,44 @@ def bootstrap_auc(x: DataFrame, replicates: int = 200, seed: int = 0) -> DataFra
     for k, c in reversed(steps):
         w = F.when(u < c, k).otherwise(w)
     many = x.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", w.cast("double")).filter("w > 0")
-    order = Window.partitionBy(S, "replicate").orderBy("score")
-    negative = F.when(F.col("y01") == 0, F.col("w")).otherwise(0.0)
-    upto = F.sum(negative).over(order)  # equal scores included
-    equal = F.sum(negative).over(Window.partitionBy(S, "replicate", "score"))
-    y = many.withColumn("score", F.col("score").cast("double")).withColumn("win", F.when(F.col("y01") == 1, F.col("w") * (upto - equal / 2.0)).otherwise(0.0))
-    pos, neg = F.sum(F.when(F.col("y01") == 1, F.col("w")).otherwise(0.0)), F.sum(F.when(F.col("y01") == 0, F.col("w")).otherwise(0.0))
-    auc = y.groupBy(S, "replicate").agg(F.when((pos > 0) & (neg > 0), F.sum("win") / (pos * neg)).alias("auc"))
+    drawn = many.groupBy(S, "replicate", F.col("score").cast("double").alias("score")).agg(F.sum(F.col("w") * F.col("y01")).alias("n1"), F.sum(F.col("w") * (1 - F.col("y01"))).alias("n0"))
+    ranked = running_sums(drawn, [S, "replicate"], [F.col("score")], {"lower": F.col("n0")})
+    both = F.sum("n1") * F.sum("n0")
+    auc = ranked.groupBy(S, "replicate").agg(F.when(both > 0, F.sum(F.col("n1") * (F.col("lower") + F.col("n0") / 2.0)) / both).alias("auc"))
     return auc.groupBy(S).agg(F.percentile("auc", 0.025).alias("ci_low"), F.percentile("auc", 0.975).alias("ci_high"))
+
+
+#: With so few of one class and no ties, p is exact.
+FEW = 8
+
+
+def exact_tail(u: float, n1: int, n0: int) -> float:
+    """Chance of a U of at least u when n1 and n0 scores without ties are in random order."""
+    small, large = sorted((n1, n0))
+    ways = np.ones(1)
+    for i in range(1, small + 1):  # Gaussian binomial: times (1 - q^(large + i)), over (1 - q^i)
+        more = np.zeros(len(ways) + large + i)
+        more[: len(ways)] += ways
+        more[large + i :] -= ways
+        for k in range(i):
+            more[k::i] = np.cumsum(more[k::i])
+        ways = more[: small * large + 1] if len(more) > small * large + 1 else more
+    return float(ways[int(np.ceil(u)) :].sum() / ways.sum())
+
+
+def significance(x: DataFrame, *by: str, replicates: int = 2000) -> DataFrame:
+    """(structure_id, auc, ci_low, ci_high, p): p is exact for few untied scores of a class, else by the normal distribution."""
+
+    @F.pandas_udf("double")
+    def exact(u: pd.Series, n1: pd.Series, n0: pd.Series) -> pd.Series:
+        return pd.Series([exact_tail(a, int(b), int(c)) if a == a and min(b, c) > 0 else None for a, b, c in zip(u, n1, n0, strict=True)], dtype="float64")
+
+    r = rank_statistics(x, *by)
+    few = (F.least("n1", "n0") <= FEW) & ~F.col("tied") & F.col("u").isNotNull()
+    u, n1, n0 = (F.when(few, F.col(c)) for c in ("u", "n1", "n0"))
+    p = F.when(few, exact(u, n1, n0)).otherwise(F.col("p"))
+    stats = r.select(S, *by, "auc", p.alias("p"))
+    keyed = x.select(F.concat_ws("\x1f", S, *by).alias(S), "node_id", "score", "y01")
+    part = F.split(S, "\x1f")
+    ci = bootstrap_auc(keyed, replicates).select(part[0].alias(S), *[part[k + 1].alias(c) for k, c in enumerate(by)], "ci_low", "ci_high")
+    return stats.join(ci, [S, *by], "left")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut_lineage
@@ -34,7 +34,8 @@ def query(sql: str | None = None, name: str | None = None):
 
 NODES = """
 nodes AS (SELECT vec_id AS node_id, 100.0::DOUBLE * CAST(embedding[1] AS DOUBLE) AS x, 100.0::DOUBLE * CAST(embedding[2] AS DOUBLE) AS y,
-  100.0::DOUBLE * CAST(embedding[3] AS DOUBLE) AS z, CAST(label = 0 AS INTEGER) AS y01, vec_id % 50 = 0 AS is_active, label FROM embeddings)"""
+  100.0::DOUBLE * CAST(embedding[3] AS DOUBLE) AS z, CAST(label = 0 AS INTEGER) AS y01, vec_id % 50 = 0 AS is_active, label AS lab,
+  CAST(label AS VARCHAR) || CASE WHEN vec_id >= 10000 THEN '.' || (vec_id // 10000) ELSE '' END AS label FROM embeddings)"""
 EDGES = (
     NODES
     + """,
@@ -130,7 +131,7 @@ def ham_gauge(spark, sf_dir):
 
 @query(with_(REACH, "SELECT d, count(*) AS pairs FROM gdist GROUP BY d"))
 def graph_distance_hist(spark, sf_dir):
-    return graph.graph_distance(*structures(spark, sf_dir)).groupBy("d").agg(F.count(F.lit(1)).alias("pairs"))
+    return graph.distance_histogram(*structures(spark, sf_dir)).groupBy("d").agg(F.sum("pairs").alias("pairs"))
 
 
 @query(with_(REACH, "SELECT i AS node_id, round(avg(d::DOUBLE), 6) AS centrality FROM gdist GROUP BY i"))
@@ -174,13 +175,13 @@ def plateau_score(spark, sf_dir):
     return graph.plateau_score(*points(spark, sf_dir)).select("node_id", F.round("plateau", 6).alias("plateau"))
 
 
-@query(with_(EDGES, "SELECT a.label::BIGINT AS a, b.label::BIGINT AS b, count(*) AS contacts FROM edges JOIN nodes a ON a.node_id = i JOIN nodes b ON b.node_id = j WHERE a.label <> b.label GROUP BY 1, 2"))
+@query(with_(EDGES, "SELECT a.lab::BIGINT AS a, b.lab::BIGINT AS b, count(*) AS contacts FROM edges JOIN nodes a ON a.node_id = i JOIN nodes b ON b.node_id = j WHERE a.lab <> b.lab GROUP BY 1, 2"))
 def cluster_rollup(spark, sf_dir):
     n, e = points(spark, sf_dir)
     return graph.cluster_rollup(e, n.select(S, "node_id", F.col("label").cast("long").alias("cluster_id"))).drop(S)
 
 
-@query(with_(NODES, "SELECT node_id, s AS score FROM nodes JOIN (SELECT label, round(avg(x), 6) AS s FROM nodes GROUP BY label) USING (label)"))
+@query(with_(NODES, "SELECT node_id, s AS score FROM nodes JOIN (SELECT lab, round(avg(x), 6) AS s FROM nodes GROUP BY lab) USING (lab)"))
 def cluster_project(spark, sf_dir):
     n = embedding_nodes(spark, sf_dir)
     c = n.select(S, "node_id", F.col("label").alias("cluster_id"))
@@ -188,7 +189,7 @@ def cluster_project(spark, sf_dir):
     return graph.cluster_project(means, c).drop(S)
 
 
-@query(with_(NODES, "SELECT label::BIGINT AS cluster_id, max(CAST(is_active AS INTEGER)) AS y01, count(*) AS size FROM nodes GROUP BY 1"))
+@query(with_(NODES, "SELECT lab::BIGINT AS cluster_id, max(CAST(is_active AS INTEGER)) AS y01, count(*) AS size FROM nodes GROUP BY 1"))
 def cluster_labels(spark, sf_dir):
     n = embedding_nodes(spark, sf_dir).withColumn("y01", F.col("is_active").cast("int"))
     return graph.cluster_labels(n, n.select(S, "node_id", F.col("label").cast("long").alias("cluster_id"))).drop(S)
@@ -247,14 +248,14 @@ def hit_list_top5(spark, sf_dir):
 
 DETECTORS = (
     NODES
-    + """, det AS (SELECT node_id, 'x' AS detector, x AS score FROM nodes UNION ALL SELECT node_id, 'y', y FROM nodes WHERE node_id % 7 <> 0 UNION ALL SELECT node_id, 'active_z', z FROM nodes),
-rk AS (SELECT node_id, detector, row_number() OVER (PARTITION BY detector ORDER BY score DESC, node_id) - 1 AS r FROM det),
-full_rk AS (SELECT n.node_id, d.detector, coalesce(rk.r, (SELECT count(*) FROM nodes))::DOUBLE AS r FROM nodes n CROSS JOIN (SELECT DISTINCT detector FROM det) d LEFT JOIN rk ON rk.node_id = n.node_id AND rk.detector = d.detector)"""
+    + """, det AS (SELECT label, node_id, 'x' AS detector, x AS score FROM nodes UNION ALL SELECT label, node_id, 'y', y FROM nodes WHERE node_id % 7 <> 0 UNION ALL SELECT label, node_id, 'active_z', z FROM nodes),
+rk AS (SELECT label, node_id, detector, row_number() OVER (PARTITION BY label, detector ORDER BY score DESC, node_id) - 1 AS r FROM det),
+full_rk AS (SELECT n.node_id, d.detector, coalesce(rk.r, n.size)::DOUBLE AS r FROM (SELECT *, count(*) OVER (PARTITION BY label) AS size FROM nodes) n JOIN (SELECT DISTINCT label, detector FROM det) d ON d.label = n.label LEFT JOIN rk ON rk.node_id = n.node_id AND rk.detector = d.detector)"""
 )
 
 
 def _detectors(spark, sf_dir):
-    n = embedding_nodes(spark, sf_dir)
+    n = embedding_nodes(spark, sf_dir, by_label=True)
     rows = [n.filter(keep).select(S, "node_id", F.lit(name).alias("detector"), F.col(c).alias("score")) for name, c, keep in (("x", "x", "true"), ("y", "y", "node_id % 7 <> 0"), ("active_z", "z", "true"))]
     return n, rows[0].unionByName(rows[1]).unionByName(rows[2])
 
@@ -262,8 +263,7 @@ def _detectors(spark, sf_dir):
 def _consensus(mode: str):
     def run(spark, sf_dir):
         n, d = _detectors(spark, sf_dir)
-        d = d.withColumn(S, F.col("detector"))  # each detector ranks on its own
-        r = ranking.finalize(d.drop("detector")).select(F.lit("all").alias("_all"), F.col(S).alias("detector"), "node_id", "pos").withColumnRenamed("_all", S)
+        r = experiments.orders(d, n.withColumn("is_active", F.lit(False)))
         return ranking.consensus(r, n, mode).select("node_id", (F.round("score", 6) + 0.0).alias("score"))
 
     return run
@@ -272,30 +272,42 @@ def _consensus(mode: str):
 for _mode, _sql in (("min", "-min(r)"), ("mean", "-avg(r)"), ("median", "-quantile_cont(r, 0.5)"), ("rrf", "sum(1.0::DOUBLE / (60.0::DOUBLE + r))")):
     query(with_(DETECTORS, f"SELECT node_id, round({_sql}, 6) + 0.0 AS score FROM full_rk GROUP BY node_id"), f"consensus_{_mode}")(_consensus(_mode))
 
+KURTOSIS = DETECTORS + ", k AS (SELECT label, detector, round(kurtosis_pop(score) + 3.0, 6) AS decisiveness FROM det GROUP BY 1, 2), best AS (SELECT label, detector, decisiveness, row_number() OVER (PARTITION BY label ORDER BY decisiveness DESC, detector) AS r FROM k {where})"
 
-@query(with_(DETECTORS, "SELECT detector, round(kurtosis_pop(score) + 3.0, 6) AS decisiveness FROM det GROUP BY detector"))
+
+@query(with_(KURTOSIS.format(where=""), "SELECT CAST(label AS VARCHAR) AS structure_id, detector, decisiveness FROM k"))
 def decisiveness(spark, sf_dir):
-    return ranking.decisiveness(_detectors(spark, sf_dir)[1], "detector").select("detector", F.round("decisiveness", 6).alias("decisiveness"))
+    return ranking.decisiveness(_detectors(spark, sf_dir)[1], "detector").select(S, "detector", F.round("decisiveness", 6).alias("decisiveness"))
 
 
-@query(
-    with_(
-        DETECTORS,
-        """, k AS (SELECT detector, round(kurtosis_pop(score) + 3.0, 6) AS decisiveness FROM det GROUP BY detector)
-SELECT detector, decisiveness, CASE WHEN detector LIKE 'gnm%' OR detector LIKE '%active%' THEN 'proximal' ELSE 'distal' END AS regime FROM k ORDER BY decisiveness DESC, detector LIMIT 1""",
-    )
-)
+@query(with_(KURTOSIS.format(where=""), "SELECT CAST(label AS VARCHAR) AS structure_id, detector, decisiveness, CASE WHEN detector LIKE 'gnm%' OR detector LIKE '%active%' THEN 'proximal' ELSE 'distal' END AS regime FROM best WHERE r = 1"))
 def route_detector(spark, sf_dir):
-    return ranking.route(_detectors(spark, sf_dir)[1]).select("detector", F.round("decisiveness", 6).alias("decisiveness"), "regime")
+    return ranking.route(_detectors(spark, sf_dir)[1]).select(S, "detector", F.round("decisiveness", 6).alias("decisiveness"), "regime")
 
 
-@query(with_(NODES, ", n AS (SELECT count(*) - 1 AS m FROM nodes) SELECT node_id, round((row_number() OVER (ORDER BY x, node_id) - 1)::DOUBLE / m + (row_number() OVER (ORDER BY y, node_id) - 1)::DOUBLE / m, 6) AS score FROM nodes, n"))
+@query(with_(KURTOSIS.format(where="WHERE detector <> 'active_z' OR label IN (SELECT label FROM nodes WHERE is_active)"), "SELECT CAST(label AS VARCHAR) AS structure_id, detector, decisiveness FROM best WHERE r = 1"))
+def adaptive_pool(spark, sf_dir):
+    """The most decisive detector of each structure, of a pool that active nodes widen."""
+    n, d = _detectors(spark, sf_dir)
+    return ranking.adaptive(d, n, ("x", "y"), ("active_z",)).withColumn("decisiveness", F.round("decisiveness", 6))
+
+
+_PCT = "(row_number() OVER (PARTITION BY label ORDER BY {c}, node_id) - 1)::DOUBLE / greatest(1, count(*) OVER (PARTITION BY label) - 1)"
+
+
+@query(with_(NODES, f"SELECT node_id, round({_PCT.format(c='x')} + {_PCT.format(c='y')}, 6) AS score FROM nodes"))
 def fusion_rankpct(spark, sf_dir):
-    n = embedding_nodes(spark, sf_dir)
+    n = embedding_nodes(spark, sf_dir, by_label=True)
     one = lambda c: n.select(S, "node_id", F.col(c).alias("score"))
     return ranking.fuse_percent(one("x"), one("y")).select("node_id", F.round("score", 6).alias("score"))
 
 
+@query(with_(NODES, f"SELECT node_id, round(({_PCT.format(c='x')} + {_PCT.format(c='y')} + {_PCT.format(c='z')}) / 3, 6) AS score FROM nodes"))
+def blend_rankpct(spark, sf_dir):
+    n = embedding_nodes(spark, sf_dir, by_label=True)
+    return ranking.blend([n.select(S, "node_id", F.col(c).alias("score")) for c in "xyz"]).select("node_id", F.round("score", 6).alias("score"))
+
+
 # Scoring: the length of documents against their labels
 
 DOCS = "x AS (SELECT n_chars AS score, quality AS y01 FROM documents JOIN labels USING (doc_id))"
@@ -329,9 +341,45 @@ def hit_enrichment(spark, sf_dir):
     return scoring.hits(r.withColumn("y01", (F.col("node_id") % 3 == 0).cast("int")), (5,))
 
 
-@query()
+def _poisson_sql(u: str) -> str:
+    """The number of times that a row is drawn, by the cumulative Poisson distribution with mean 1."""
+    cdf, p, out = 0.0, 0.36787944117144233, "CASE"
+    for k in range(7):
+        cdf += p
+        p /= k + 1
+        out += f" WHEN {u} < {cdf!r}::DOUBLE THEN {k}"
+    return out + " ELSE 7 END"
+
+
+def bootstrap_sql(rows: str, replicates: int = 2000, seed: int = 0) -> str:
+    """Tables ending in `ci` (structure_id, ci_low, ci_high), from `rows`, a table (structure_id, node_id, score, y01)."""
+    u = f"((('0x' || substr(md5(node_id || ':' || q || ':{seed}'), 1, 8))::BIGINT)::DOUBLE + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
+    return f""", dw AS (SELECT structure_id, q, score, y01, {_poisson_sql(u)} AS w FROM {rows}, range(1, {replicates + 1}) t(q)),
+ds AS (SELECT structure_id, q, score, sum(w * y01)::DOUBLE AS n1, sum(w * (1 - y01))::DOUBLE AS n0 FROM dw WHERE w > 0 GROUP BY ALL),
+dr AS (SELECT *, coalesce(sum(n0) OVER (PARTITION BY structure_id, q ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lower FROM ds),
+da AS (SELECT structure_id, q, CASE WHEN sum(n1) * sum(n0) > 0 THEN sum(n1 * (lower + n0 / 2)) / (sum(n1) * sum(n0)) END AS auc FROM dr GROUP BY 1, 2),
+ci AS (SELECT structure_id, quantile_cont(auc, 0.025) AS ci_low, quantile_cont(auc, 0.975) AS ci_high FROM da GROUP BY 1)"""
+
+
+@query(with_("x AS (SELECT 'all' AS structure_id, doc_id AS node_id, n_chars::DOUBLE AS score, quality AS y01 FROM documents JOIN labels USING (doc_id))" + bootstrap_sql("x"), "SELECT structure_id, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM ci"))
 def bootstrap_ci(spark, sf_dir):
-    return scoring.bootstrap_auc(_documents(spark, sf_dir), 200)
+    return scoring.bootstrap_auc(_documents(spark, sf_dir)).select(S, F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"))
+
+
+# Few positives and no ties: p by counting pairs of places, as every structure's two first nodes are its positives.
+_FEW = """, f AS (SELECT CAST(label AS VARCHAR) AS structure_id, node_id, x AS score, CAST(row_number() OVER (PARTITION BY label ORDER BY node_id) <= 2 AS INTEGER) AS y01 FROM nodes),
+fr AS (SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY score) AS rk FROM f),
+fu AS (SELECT structure_id, sum(rk) FILTER (WHERE y01 = 1) AS rs, sum(y01)::DOUBLE AS n1, sum(1 - y01)::DOUBLE AS n0 FROM fr GROUP BY 1),
+fp AS (SELECT a.structure_id, avg(CASE WHEN a.rk + b.rk >= u.rs THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p FROM fr a JOIN fr b ON a.structure_id = b.structure_id AND a.rk < b.rk JOIN fu u ON u.structure_id = a.structure_id GROUP BY 1)"""
+
+
+@query(with_(NODES + _FEW + bootstrap_sql("f"), "SELECT structure_id, round((rs - n1 * (n1 + 1) / 2) / (n1 * n0), 6) AS auc, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(p, 6) AS p FROM fu JOIN fp USING (structure_id) JOIN ci USING (structure_id)"))
+def significance(spark, sf_dir):
+    """AUC, its bootstrap interval, and an exact p."""
+    n = embedding_nodes(spark, sf_dir, by_label=True)
+    first = F.row_number().over(Window.partitionBy(S).orderBy("node_id")) <= 2
+    x = n.select(S, "node_id", F.col("x").alias("score"), first.cast("int").alias("y01"))
+    return scoring.significance(x).select(S, *[F.round(c, 6).alias(c) for c in ("auc", "ci_low", "ci_high", "p")])
 
 
 # Channels
@@ -484,13 +532,13 @@ def transfer_audit(spark, sf_dir):
 # Spectra, by what must hold for them
 
 
-@query(with_(DEGREE, "SELECT round(sum(degree), 3)::DOUBLE AS trace, round(sum(degree * degree + degree), 3)::DOUBLE AS square FROM deg"))
+@query(with_(KDEG, "SELECT CAST(label AS VARCHAR) AS structure_id, round(sum(degree), 3)::DOUBLE AS trace, round(sum(degree * degree + degree), 3)::DOUBLE AS square FROM deg GROUP BY label"))
 def eig_traces(spark, sf_dir):
     def run(s):
         w, _ = s.eig()
         return {"trace": [w.sum()], "square": [(w**2).sum()]}
 
-    return spectral.per_structure(*points(spark, sf_dir), run, "trace double, square double").select(F.round("trace", 3).alias("trace"), F.round("square", 3).alias("square"))
+    return spectral.per_structure(*structures(spark, sf_dir), run, "trace double, square double").select(S, F.round("trace", 3).alias("trace"), F.round("square", 3).alias("square"))
 
 
 COMPONENTS = REACH + ", comp AS (SELECT n.label, g.i AS node_id, min(g.j) AS c, count(*) AS size FROM gdist g JOIN nodes n ON n.node_id = g.i GROUP BY 1, 2)"

@@ -15,14 +15,16 @@ from ..operators.graph import S
 AMINO = tuple("ALA ARG ASN ASP CYS GLN GLU GLY HIS ILE LEU LYS MET PHE PRO SER THR TRP TYR VAL MSE SEC PYL SEP TPO PTR CSO HYP MLY KCX".split())
 # Solvent, ions and buffer molecules, which are never a ligand.
 SOLVENT = ("HOH", "WAT", "DOD")
-IONS = tuple("MG MN ZN CA NA K CL FE CU NI CO CD SO4 PO4 GOL EDO PEG ACT DMS".split())
-# Cofactors, which mark an active site and are no ligand of their own.
-COFACTORS = tuple("GDP GTP GNP GSP GCP ADP ATP ANP ACP AGS NAD NAP FAD FMN SAM SAH HEM COA".split())
+IONS = tuple("MG MN ZN CA NA K CL FE CU NI CO CD SO4 PO4 NO3 CO3 FMT GOL EDO PEG ACT DMS".split())
+# Cofactors, which mark an active site and are no ligand of their own; the last line are analogues of
+# transition states.
+COFACTORS = tuple("GDP GTP GNP GSP GCP ADP ATP ANP ACP AGS NAD NAP FAD FMN SAM SAH HEM COA".split()) + tuple("VO4 BEF ALF MGF AF3 POP PPV".split())
 
 
 def read_atoms(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Atoms of the first model of every file; the structure is named by the file, without its ending."""
-    files = spark.read.text(paths, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.\w+)?$", 1).alias(S), F.col("value"))
+    """Atoms of the first model of every file; the structure is named by a folder structure_id=..., else by the file, without its ending."""
+    folder, name = (F.regexp_extract(F.input_file_name(), p, 1) for p in (rf"/{S}=([^/]+)/", r"([^/]+?)(\.\w+)?$"))
+    files = spark.read.text(paths, wholetext=True).select(F.when(folder != "", folder).otherwise(name).alias(S), F.col("value"))
     return parse_atoms(files.select(S, F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")))
 
 
@@ -39,6 +41,41 @@ def parse_atoms(lines: DataFrame) -> DataFrame:
     )
 
 
+def format_atoms(atoms: DataFrame) -> DataFrame:
+    """(structure_id, line_no, line): atoms in fixed columns, as `parse_atoms` reads them."""
+    right = lambda c, n: F.lpad(c.cast("string"), n, " ")
+    number = lambda c, n, digits: F.lpad(F.format_string(f"%.{digits}f", c), n, " ")
+    parts = [
+        F.rpad("record", 6, " "), right(F.col("serial"), 5), F.lit(" "), F.rpad(F.concat(F.lit(" "), F.col("atom")), 4, " "), F.rpad("altloc", 1, " "), right(F.col("resname"), 3), F.lit(" "),
+        F.rpad("chain", 1, " "), right(F.col("resseq"), 4), F.rpad("icode", 1, " "), F.lit("   "), *[number(F.col(c), 8, 3) for c in "xyz"], number(F.col("occupancy"), 6, 2), number(F.col("bfactor"), 6, 2),
+    ]
+    return atoms.select(S, "line_no", F.concat(*parts).alias("line"))
+
+
+def write_structures(lines: DataFrame, path: str) -> None:
+    """A text file for each structure of (structure_id, line_no, line), in the folder `path`/structure_id=...; a structure is one row."""
+    rows = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    whole = lines.groupBy(S).agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("value"))
+    whole.write.mode("overwrite").partitionBy(S).text(path)
+
+
+def required(found: DataFrame, wanted: DataFrame, message: str) -> DataFrame:
+    """`found`, or an error that names the first of the wanted structures (structure_id) for which it has no row."""
+    lacking = wanted.select(S).distinct().join(found.select(S).distinct(), S, "left_anti")
+    failed = F.raise_error(F.concat(F.lit(message + " in "), F.col(S)))
+    return found.unionByName(lacking.select(*[failed.cast(f.dataType).alias(f.name) for f in found.schema.fields]))
+
+
+def load_apo(atoms: DataFrame, chain: str | None = "largest", domains: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """The nodes of every structure; one without any is an error."""
+    return required(load_nodes(atoms, chain, domains), atoms, f"no CA nodes (chain {chain})")
+
+
+def load_ligand(atoms: DataFrame, code: str | None = None) -> DataFrame:
+    """The ligand of every structure; one without any is an error."""
+    return required(choose_ligand(atoms, code), atoms, "no ligand")
+
+
 def best_altloc(atoms: DataFrame) -> DataFrame:
     """One position for each atom of a residue: the highest occupancy, then the lowest serial."""
     w = Window.partitionBy(S, "chain", "resseq", "icode", "resname", "atom").orderBy(F.desc("occupancy"), "serial", "line_no")
@@ -93,15 +130,22 @@ def label_nodes(nodes: DataFrame, pocket_residues: DataFrame) -> DataFrame:
     return nodes.join(hit, [S, "resseq", "icode"], "left").withColumn("y01", F.coalesce("_hit", F.lit(0))).drop("_hit")
 
 
-def active_site(nodes: DataFrame, raw: DataFrame, near: float = 6.0) -> DataFrame:
-    """(structure_id, node_id) near an atom of the first cofactor of the raw file."""
-    co = raw.filter((F.col("record") == "HETATM") & F.col("resname").isin(*COFACTORS))
-    first = co.groupBy(S).agg(F.min_by("resname", "line_no").alias("resname"))
-    atoms = co.join(F.broadcast(first), [S, "resname"], "left_semi").select(S, F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"))
+def cofactor_atoms(raw: DataFrame, codes: tuple[str, ...] = COFACTORS) -> DataFrame:
+    return raw.filter((F.col("record") == "HETATM") & F.col("resname").isin(*codes))
+
+
+def active_site(nodes: DataFrame, raw: DataFrame, near: float = 6.0, codes: tuple[str, ...] = COFACTORS) -> DataFrame:
+    """(structure_id, node_id) near an atom of any cofactor of the raw file; cofactors have tens of atoms."""
+    atoms = cofactor_atoms(raw, codes).select(S, F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"))
     d2 = F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2) + F.pow(F.col("z") - F.col("cz"), 2)
     return nodes.join(atoms, S).filter(d2 <= near * near).select(S, "node_id").distinct()
 
 
+def first_cofactor(raw: DataFrame, codes: tuple[str, ...] = COFACTORS) -> DataFrame:
+    """(structure_id, cofactor): the code that comes first in the raw file."""
+    return cofactor_atoms(raw, codes).groupBy(S).agg(F.min_by("resname", "line_no").alias("cofactor"))
+
+
 def bfactor_lines(atoms: DataFrame, nodes: DataFrame, scores: DataFrame) -> DataFrame:
     """(structure_id, line_no, line) with columns 61-66 set to each residue's score, scaled to 0-100; 0 where it has none."""
     w = Window.partitionBy(S)
@@ -132,3 +176,22 @@ def resolve_active(nodes: DataFrame, spec: DataFrame) -> DataFrame:
     s = spec.select(F.col(S).alias("_s"), F.col("chain").alias("_c"), F.col("resseq").alias("_r"))
     hit = (nodes[S] == s["_s"]) & (nodes["resseq"] == s["_r"]) & (s["_c"].isNull() | (nodes["chain"] == s["_c"]))
     return nodes.join(s, hit, "left_semi").select(S, "node_id")
+
+
+def all_targets(targets: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+    """Targets (name, apo, holo, ...) with the extra ones, if there are any; columns that one side lacks are null."""
+    return targets if extra is None else targets.unionByName(extra, allowMissingColumns=True)
+
+
+def labelled_targets(targets: DataFrame, labelled: bool = True) -> DataFrame:
+    """The targets with a holo structure, to learn and score on; or those without one, to predict."""
+    has = F.col("holo").isNotNull() & (F.col("holo") != "")
+    return targets.filter(has if labelled else ~has)
+
+
+def named_targets(targets: DataFrame, names: list[str]) -> DataFrame:
+    """The targets whose name starts with one of the given ones; all if none are given."""
+    keep = F.lit(not names)
+    for n in names:
+        keep = keep | F.col("name").startswith(n)
+    return targets.filter(keep)
