@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut_lineage
 from .graph import S
 from .scoring import rank_statistics
 
@@ -21,13 +22,26 @@ def quoted(c: str) -> Column:
 
 
 def gram(x: DataFrame, cols: list[str], y: str = "y01") -> DataFrame:
-    """(a, b, v): sums of products of channels (a <= b), and (a, "label", v): with the centred label. One pass, one row a task."""
-    mean = x.agg(F.avg(y).alias("_mean"))
-    d = x.crossJoin(F.broadcast(mean))  # one row
-    pairs = [(a, b, quoted(a) * quoted(b)) for k, a in enumerate(cols) for b in cols[k:]] + [(a, "label", quoted(a) * (F.col(y) - F.col("_mean"))) for a in cols]
-    one = d.agg(*[F.sum(v).alias(f"_{k}") for k, (_, _, v) in enumerate(pairs)])
-    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{k}").alias("v")) for k, (a, b, _) in enumerate(pairs)])
-    return one.select(F.explode(rows).alias("r")).select("r.*")
+    """(a, b, v): sums of products of channels (a <= b in their order), and (a, "label", v): with the centred label.
+
+    One pass: tasks sum the products of ones, labels and channels over their rows, and each sends one row a product.
+    """
+
+    def run(batches):
+        g = np.zeros((len(cols) + 2, len(cols) + 2))
+        for pdf in batches:
+            u = np.column_stack([np.ones(len(pdf)), pdf.to_numpy(float)])
+            g += u.T @ u
+        a, b = np.triu_indices(len(g))
+        yield pd.DataFrame({"i": a, "j": b, "v": g[a, b]})
+
+    sums = cut_lineage(x.select(F.col(y).cast("double"), *[quoted(c).cast("double") for c in cols]).mapInPandas(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")))
+    ones = F.broadcast(sums.filter("i = 0 AND j > 1").select(F.col("j").alias("_k"), F.col("v").alias("_sum")))  # a row for each channel
+    mean = F.broadcast(sums.agg((F.max(F.when(F.expr("i = 0 AND j = 1"), F.col("v"))) / F.greatest(F.lit(1.0), F.max(F.when(F.expr("i = 0 AND j = 0"), F.col("v"))))).alias("_mean")))
+    names = F.array(*[F.lit(c) for c in cols])
+    pairs = sums.filter("i > 1").select(F.get(names, F.col("i") - 2).alias("a"), F.get(names, F.col("j") - 2).alias("b"), "v")
+    labels = sums.filter("i = 1 AND j > 1").join(ones, F.col("j") == F.col("_k")).crossJoin(mean)
+    return pairs.unionByName(labels.select(F.get(names, F.col("j") - 2).alias("a"), F.lit("label").alias("b"), (F.col("v") - F.col("_mean") * F.col("_sum")).alias("v")))
 
 
 def solve(gram_rows: list, cols: list[str], ridge: float) -> np.ndarray:
@@ -50,12 +64,13 @@ def structure_sums(x: DataFrame, cols: list[str]) -> DataFrame:
     """(structure_id, a, b, v): each structure's sums of products of ones (0), labels (1) and channels (2, 3, ...), a <= b."""
 
     def run(key, pdf):
-        u = np.column_stack([np.ones(len(pdf)), pdf["y01"], pdf[cols]]).astype(float)
+        u = np.column_stack([np.ones(len(pdf)), pdf.drop(columns=S).to_numpy(float)])
         g = u.T @ u
         a, b = np.triu_indices(len(g))
         return pd.DataFrame({S: key[0], "a": a, "b": b, "v": g[a, b]})
 
-    return x.select(S, "y01", *[quoted(c) for c in cols]).groupBy(S).applyInPandas(run, f"{S} string, a int, b int, v double")
+    named = [quoted(c).alias(f"c{k}") for k, c in enumerate(cols)]
+    return x.select(S, "y01", *named).groupBy(S).applyInPandas(run, f"{S} string, a int, b int, v double")
 
 
 def solved(sums: DataFrame, n_cols: int, penalty: float) -> DataFrame:

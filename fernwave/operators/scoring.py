@@ -22,7 +22,12 @@ def by_score(x: DataFrame, *by: str) -> DataFrame:
 
 
 def rank_statistics(x: DataFrame, *by: str) -> DataFrame:
-    """AUC, Mann-Whitney U, z with tie and continuity correction, and one-sided p; null where a class is empty."""
+    """AUC, Mann-Whitney U, z with tie and continuity correction, and one-sided p; null where a class is empty.
+
+    Columns of `by` must not bear the results' names.
+    """
+    if set(by) & {"u", "auc", "z", "p", "n1", "n0", "tied"}:
+        raise ValueError(f"columns {by} clash with results")
     ties = F.col("n1") + F.col("n0")
     r = by_score(x, *by).groupBy(S, *by).agg(
         F.sum("n1").alias("n1"),

@@ -663,36 +663,6 @@ def resonance_overlap(spark, sf_dir):
     return spectral.per_structure(*structures(spark, sf_dir), run, "total double").select(S, (F.round("total", 5) + 0.0).alias("total"))
 
 
-@query()
-def dephasing_curve(spark, sf_dir):
-    """AUC of the banded metric as phases are lost."""
-    n, e = structures(spark, sf_dir)
-    ps = (0.0, 0.25, 0.5, 0.75, 1.0)
-
-    def run(s):
-        k = len(ps)
-        return {"node_id": list(s.ids) * k, "p": [p for p in ps for _ in s.ids], "score": [x for p in ps for x in s.band(spectral.dephased(*s.eig("logf", 1.0), p))]}
-
-    x = spectral.per_structure(n, e, run, "node_id long, p double, score double").withColumn("y01", (F.col("node_id") % 3 == 0).cast("int"))
-    return scoring.roc_auc(x, "p").select(S, "p", F.round("auc", 4).alias("auc"))
-
-
-@query()
-def coordinate_noise(spark, sf_dir):
-    """Mean and spread of the AUC of degrees under jitter of the coordinates: a row for each node, width and repeat."""
-    n = embedding_nodes(spark, sf_dir, by_label=True)
-    many = n.withColumn("sigma", F.explode(F.array(*[F.lit(s) for s in (0.5, 1.0, 1.5)]))).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(8))))
-
-    def draw(axis: str):
-        u = lambda k: (F.pmod(F.xxhash64("node_id", "sigma", "rep", F.lit(axis + k)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-        return F.col(axis) + F.col("sigma") * F.sqrt(-2.0 * F.log(u("a"))) * F.cos(2 * 3.141592653589793 * u("b"))
-
-    moved = many.select(F.concat_ws("|", S, F.col("sigma").cast("string"), F.col("rep").cast("string")).alias(S), "node_id", *[draw(c).alias(c) for c in CH])
-    d = graph.degrees(moved, graph.contact_edges(moved, 20.0)).withColumn("y01", (F.col("node_id") % 3 == 0).cast("int")).withColumnRenamed("degree", "score")
-    part = F.split(S, r"\|")
-    return scoring.roc_auc(d).groupBy(part[0].alias("structure"), part[1].cast("double").alias("sigma")).agg(F.round(F.avg("auc"), 4).alias("mean_auc"), F.round(F.stddev_pop("auc"), 4).alias("std_auc"))
-
-
 @query()
 def coarse_retention(spark, sf_dir):
     """Each structure cut into a third of its nodes' number of clusters by eigenvectors: sizes and contacts kept."""
@@ -747,7 +717,15 @@ def _loo(score, bank: str = "bank12"):
     return run
 
 
-query(None, "ridge_transfer")(_loo(learned.ridge_score))
+@query()
+def ridge_transfer(spark, sf_dir):
+    """Ridge models of the twelve spectral channels, each structure scored by the others' sums."""
+    n, e = structures(spark, sf_dir)
+    cols = features.channel_names("bank12")
+    x = features.tanh_squash(features.feature_bank(n, e, "bank12"), cols).join(n.select(S, "node_id", (F.col("node_id") % 3 == 0).cast("int").alias("y01")), [S, "node_id"])
+    return scoring.roc_auc(learned.ridge_transfer(cut_lineage(x), cols)).select(S, F.round("auc", 3).alias("auc"))
+
+
 query(None, "kernel_ridge")(_loo(learned.kernel_ridge))
 query(None, "logistic_transfer")(_loo(learned.logistic))
 query(None, "kernel_logistic")(_loo(learned.kernel_logistic))
@@ -832,19 +810,7 @@ def operator_agreement(spark, sf_dir):
 def spectral_preservation(spark, sf_dir):
     """How near the low eigenvalues of the coarse graph come to those of the fine one, in units of its first."""
     n, e = structures(spark, sf_dir)
-    c = coarse_clusters(n, e, 3)
-    rolled = graph.cluster_rollup(e, c)
-    fine = spectral.per_structure(n, e, lambda s: {"k": np.arange(6), "w": s.eig()[0][1:7] / max(s.eig()[0][1], 1e-9)}, "k long, w double")
-
-    def run(key, pdf):
-        a, inverse = np.unique(np.concatenate([pdf["a"], pdf["b"]]), return_inverse=True)
-        m = np.zeros((len(a), len(a)))
-        m[inverse[: len(pdf)], inverse[len(pdf) :]] = pdf["contacts"]
-        w = np.linalg.eigvalsh(np.diag(m.sum(1)) - m)[1:7]
-        return pd.DataFrame({S: key[0], "k": np.arange(len(w)), "cw": w / max(w[0], 1e-9)})
-
-    coarse = rolled.groupBy(S).applyInPandas(run, f"{S} string, k long, cw double")
-    return fine.join(coarse, [S, "k"]).groupBy(S).agg(F.round(F.avg(F.abs(F.col("cw") - F.col("w")) / F.col("w")), 4).alias("mean_error"))
+    return experiments.preservation(n, e, cut_lineage(coarse_clusters(n, e, 3))).select(S, F.round("mean_error", 4).alias("mean_error"))
 
 
 @query()

@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut_lineage
-from ..operators import features, learned, ranking, scoring, spectral
+from ..operators import features, graph, learned, ranking, scoring, spectral
 from ..operators.graph import S
 
 
@@ -50,6 +51,19 @@ GRID = (
 )
 CONSENSUS = ("LST_logf_interf", "LST_logf_coherent", "A_active_zabs", "Q_communic_band")
 BALLAST = ("coherent", "communic", "interf_T40")
+PHASE = ("interf_T10", "interf_T20", "quadrature", "phase_coh", "gauge_coh", "gauge_interf")
+#: Hit-list variants: the detector of the first, and the pool of the adaptive one.
+PRECISION = "Q_communic_band"
+POOL, ACTIVE_POOL = ("LST_logf_interf", "LST_logf_coherent"), ("A_active_zabs", "A_gnm_zabs")
+
+
+def curated(channels: list[str]) -> list[str]:
+    return [c for c in channels if c not in BALLAST]
+
+
+def amplitude(channels: list[str]) -> list[str]:
+    """Curated channels that hold no phase."""
+    return [c for c in curated(channels) if c not in PHASE]
 
 
 def merged(base: dict, over: dict) -> dict:
@@ -152,3 +166,93 @@ def submission(nodes: DataFrame, edges: DataFrame, fold: str, lean: int = 20, tr
     ranked = ranking.finalize(fused, nodes.filter("is_active"))
     out = ranked.withColumnRenamed("score", "fused").join(routed.select(S, "node_id", "detector", "regime", F.col("score").alias("routed")), [S, "node_id"])
     return out.join(boosted.select(S, "node_id", F.col("score").alias("boosted")), [S, "node_id"])
+
+
+def predict_variants(nodes: DataFrame, edges: DataFrame, top: int = 5) -> DataFrame:
+    """(structure_id, variant, pos, node_id, score): hit lists by precision, of the most decisive of the pool, and of the
+    consensus by best and by reciprocal ranks."""
+    wanted = {PRECISION, *POOL, *ACTIVE_POOL, *CONSENSUS}
+    ranked = cut_lineage(orders(detector_scores(nodes, edges, tuple(d for d in GRID if d.name in wanted)), nodes))
+    lists = {"precision": ranked.filter(F.col("detector") == PRECISION)}
+    best = ranking.adaptive(ranked.select(S, "detector", "node_id", "score"), nodes, POOL, ACTIVE_POOL)
+    lists["adaptive"] = ranked.join(best.select(S, "detector"), [S, "detector"], "left_semi")
+    members = ranked.filter(F.col("detector").isin(*CONSENSUS))
+    for mode, name in (("min", "consensus"), ("rrf", "consensus_rrf")):
+        lists[name] = orders(ranking.consensus(members, nodes, mode).withColumn("detector", F.lit(name)), nodes)
+    out = None
+    for name, rows in lists.items():
+        one = rows.filter(F.col("pos") <= top).select(S, F.lit(name).alias("variant"), "pos", "node_id", "score")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def low_modes(w: np.ndarray, k: int = 6) -> np.ndarray:
+    """The first k non-zero eigenvalues, in units of the first."""
+    w = w[w > spectral.TINY][:k]
+    return w / w[0] if len(w) else w
+
+
+def preservation(nodes: DataFrame, edges: DataFrame, clusters: DataFrame, k: int = 6) -> DataFrame:
+    """(structure_id, mean_error): relative error of the coarse graph's low eigenvalues; null where one has none."""
+
+    def run(key: tuple, fine: pd.DataFrame, coarse: pd.DataFrame) -> pd.DataFrame:
+        def laplacian(i, j, v, n):
+            m = np.zeros((n, n))
+            m[i, j] = v
+            return np.diag(m.sum(1)) - m
+
+        ids, at = np.unique(np.concatenate([fine["i"], fine["j"]]), return_inverse=True)
+        own, of = np.unique(np.concatenate([coarse["a"], coarse["b"]]), return_inverse=True)
+        f = low_modes(np.linalg.eigvalsh(laplacian(at[: len(fine)], at[len(fine) :], 1.0, len(ids))), k) if len(ids) else np.zeros(0)
+        c = low_modes(np.linalg.eigvalsh(laplacian(of[: len(coarse)], of[len(coarse) :], coarse["contacts"].to_numpy(float), len(own))), k) if len(own) else np.zeros(0)
+        m = min(len(f), len(c))
+        return pd.DataFrame({S: key[0], "mean_error": [float(np.mean(np.abs(c[:m] - f[:m]) / (f[:m] + 1e-9))) if m else None]})
+
+    rolled = graph.cluster_rollup(edges, clusters).select(F.col(S).alias("_of"), "a", "b", "contacts")
+    return edges.groupBy(S).cogroup(rolled.groupBy("_of")).applyInPandas(run, f"{S} string, mean_error double")
+
+
+def _detector_auc(nodes: DataFrame, edges: DataFrame, d_min: int) -> DataFrame:
+    """(structure_id, node_id, score) of the interference detector, and its AUC by structure."""
+    return spectral.band_scores(nodes, edges, "interference", "logf", 1.0, d_min)
+
+
+def retention(nodes: DataFrame, edges: DataFrame, cluster, ratios: tuple[int, ...] = (2, 3, 5)) -> DataFrame:
+    """(structure_id, ratio, clusters, auc_full, auc_super, auc_nodes, retention, mean_error, cheaper).
+
+    `cluster(nodes, edges, ratio)` gives (structure_id, node_id, cluster_id). A cluster is positive if it holds a positive node.
+    """
+    labels = nodes.select(S, "node_id", "y01")
+    full = scoring.roc_auc(_detector_auc(nodes, edges, 3).join(labels, [S, "node_id"])).select(S, F.col("auc").alias("auc_full"))
+    size = nodes.groupBy(S).agg(F.count(F.lit(1)).alias("n"))
+    out = None
+    for ratio in ratios:
+        c = cut_lineage(cluster(nodes, edges, ratio))
+        super_nodes = graph.cluster_labels(labels, c).select(S, F.col("cluster_id").alias("node_id"), "y01", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+        links = graph.cluster_rollup(edges, c).select(S, F.col("a").alias("i"), F.col("b").alias("j"))
+        scores = cut_lineage(_detector_auc(super_nodes, links, 1))
+        coarse = scoring.roc_auc(scores.join(super_nodes.select(S, "node_id", "y01"), [S, "node_id"])).select(S, F.col("auc").alias("auc_super"))
+        down = graph.cluster_project(scores.select(S, F.col("node_id").alias("cluster_id"), "score"), c)
+        fine = scoring.roc_auc(down.join(labels, [S, "node_id"])).select(S, F.col("auc").alias("auc_nodes"))
+        m = c.groupBy(S).agg(F.countDistinct("cluster_id").alias("clusters"))
+        one = full.join(coarse, S).join(fine, S).join(preservation(nodes, edges, c), S).join(m, S).join(size, S)
+        kept = F.col("auc_nodes") / F.greatest(F.col("auc_full"), F.lit(1e-9))
+        one = one.select(S, F.lit(ratio).alias("ratio"), "clusters", *[F.round(x, 4).alias(x) for x in ("auc_full", "auc_super", "auc_nodes")], F.round(kept, 4).alias("retention"), F.round("mean_error", 4).alias("mean_error"), F.round(F.pow(F.col("n") / F.col("clusters"), 3), 0).alias("cheaper"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def jitter(nodes: DataFrame, cutoff: float = 8.0, widths: tuple[float, ...] = (0.5, 1.0, 1.5), draws: int = 8) -> DataFrame:
+    """(structure_id, sigma, mean_auc, std_auc): the interference detector on graphs of coordinates with normal noise."""
+    many = nodes.withColumn("sigma", F.explode(F.array(*[F.lit(s) for s in widths]))).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+
+    def drawn(axis: str):
+        u = lambda k: scoring.uniform(F.col("node_id"), F.col("sigma"), F.col("rep"), F.lit(axis + k))
+        return F.col(axis) + F.col("sigma") * F.sqrt(-2.0 * F.log(u("a"))) * F.cos(2 * np.pi * u("b"))
+
+    key = F.concat_ws("\x1f", S, F.col("sigma").cast("string"), F.col("rep").cast("string")).alias(S)
+    moved = cut_lineage(many.select(key, "node_id", "y01", *[drawn(c).alias(c) for c in "xyz"]))
+    scores = _detector_auc(moved, graph.contact_edges(moved, cutoff), 3)
+    auc = scoring.roc_auc(scores.join(moved.select(S, "node_id", "y01"), [S, "node_id"]))
+    part = F.split(S, "\x1f")
+    return auc.groupBy(part[0].alias(S), part[1].cast("double").alias("sigma")).agg(F.round(F.avg("auc"), 4).alias("mean_auc"), F.round(F.stddev_pop("auc"), 4).alias("std_auc"))

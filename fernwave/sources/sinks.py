@@ -38,3 +38,9 @@ def submission_json(hits: DataFrame, stats: DataFrame, by: str = S) -> DataFrame
     rows = hits.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("pos", *[c for c in hits.columns if c not in (by, "pos")]))).alias("hits"))
     both = stats.join(rows, by, "left")
     return both.select(by, F.to_json(F.struct(*[c for c in both.columns])).alias("json"))
+
+
+def curve_json(curve: DataFrame, by: str = S) -> DataFrame:
+    """(structure_id, json): a structure's AUC by level of noise (level, auc), as one document."""
+    rows = curve.groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("level", "auc")))).alias("dephasing"))
+    return rows.select(by, F.to_json(F.struct(by, "dephasing")).alias("json"))
