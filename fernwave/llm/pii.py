@@ -1,7 +1,8 @@
 """Personal data: base patterns, high-recall candidates, and boosted trees that choose among the latter.
 
 DataFrame functions only. The base patterns of four kinds (KINDS) are exact rules; their spans always stay. Wider
-patterns propose candidate spans: addresses with spaced or spelt-out signs, and runs of digits and separators. Trees
+patterns propose candidate spans, which may overlap: mail addresses with spaced or spelt-out signs, four numbers between
+dots of such kinds, and runs of digits and separators. Trees
 score each candidate by its format and context. They are fitted by gradient boosting to candidates that touch no base
 span, as only those can be added. The positives are sound base spans rewritten, in their own context, so that no base
 rule matches them any more (REWRITTEN: signs spelt out or spaced, '+' or country code gone, card groups set apart). The
@@ -9,7 +10,6 @@ negatives are the documents' own candidates, less those for which format and con
 neither. Counts of each combination of features (at most MOST_COMBINATIONS, checked) are all that the driver sees. A
 threshold is calibrated on the documents kept out of the fit, so that at least PRECISION of what it selects there is
 right by these labels. Trees become CASE expressions. A candidate that is selected and overlaps no base span is added.
-IP addresses have no wider form among the candidates, so none is added.
 
 Spans are (kind, start, end) in code points, end exclusive. A null text is an empty one. Texts without '@', '(at)',
 '[at]' or a digit are passed over at once. The patterns are written so that their cost is linear in the text and their
@@ -32,7 +32,7 @@ ROUNDS, RATE, PRECISION = 40, 0.3, 0.99
 MOST_COMBINATIONS = 200_000
 SPAN = "struct<start:int,end:int,text:string>"
 
-_L, _X = r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9-]"
+_L, _X, _DOT = r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9-]", r"(?:\.|\[\.\]|\(dot\)|\[dot\])"
 #: The contract's patterns, written with possessive and lazy loops over single characters in place of loops over
 #: groups; what they match is the same. \G lets a match begin where the last one ended.
 BASE = {
@@ -42,13 +42,16 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 CANDIDATE = {
-    "email": rf"(?:(?<!{_L})|\G){_L}++[\x20]?(?:@|\(at\)|\[at\])[\x20]?{_X}++(?:[\x20]?(?:\.|\(dot\)|\[dot\])[\x20]?{_X}{{1,63}}+){{0,8}}",
+    # A domain name has at most 127 labels.
+    "email": rf"(?:(?<!{_L})|\G){_L}++[\x20]?(?:@|\(at\)|\[at\])[\x20]?{_X}++(?:[\x20]?{_DOT}[\x20]?{_X}++){{0,126}}",
+    "ip": rf"(?<![0-9])[0-9]{{1,3}}+(?:[\x20]?{_DOT}[\x20]?[0-9]{{1,3}}+){{3}}(?![0-9])",
     "number": r"\+?[0-9][0-9\x20().-]{5,}[0-9]",
 }
 CONTEXT = r"(?i)(?:mail|contact|tel|phone|call|fax|mobile|card|visa|account|ip|host|addr)[a-z]*\W{0,3}\z"
 #: For each kind, what becomes of a sound base span: regular expressions with their replacements, applied in order.
 REWRITTEN = {
     "email": [[("@", " (at) "), (r"\.(?=[^.]*\z)", " (dot) ")], [("@", "[at]"), (r"\.(?=[^.]*\z)", "[dot]")], [("@", " @ ")], [("@", " (at) ")]],
+    "ip": [[(r"\.", "[.]")], [(r"\.", " . ")], [(r"\.", "(dot)")]],
     "card": [[("[^0-9]", ""), ("([0-9]{4})(?=[0-9])", "$1  ")]],
     "phone": [[(r"^\+", "")], [(r"^\+[0-9]{1,3}[\x20.-]", "0")]],
 }
@@ -92,10 +95,15 @@ def octets(text: Column) -> Column:
     return F.forall(F.split(text, r"\.", -1), lambda p: (F.length(part(p)) <= 3) & (F.coalesce(part(p).try_cast("int"), F.lit(0)) <= 255))
 
 
+def dotted(text: Column) -> Column:
+    """An address of numbers with plain dots."""
+    return F.regexp_replace(text, rf"[\x20]?{_DOT}[\x20]?", ".")
+
+
 def sound(kind: str, text: Column) -> Column:
     n = F.length(digits(text))
     if kind == "ip":
-        return octets(text)
+        return octets(dotted(text))
     if kind == "card":
         return F.when((n >= 13) & (n <= 19), luhn(digits(text))).otherwise(F.lit(False))
     if kind == "phone":
@@ -114,8 +122,10 @@ def candidates(text: Column) -> Column:
     none = F.array().cast(f"array<{SPAN}>")
     signed = F.contains(text, F.lit("@")) | F.contains(text, F.lit("(at)")) | F.contains(text, F.lit("[at]"))
     address = F.when(signed, matches(text, CANDIDATE["email"])).otherwise(none)
-    number = F.when(text.rlike("[0-9]"), matches(text, CANDIDATE["number"])).otherwise(none)
-    return F.concat(address, number)
+    digit = text.rlike("[0-9]")
+    number = F.when(digit, matches(text, CANDIDATE["number"])).otherwise(none)
+    parts = F.when(digit & text.rlike(rf"[0-9][\x20]?{_DOT}[\x20]?[0-9]"), matches(text, CANDIDATE["ip"])).otherwise(none)
+    return F.concat(address, parts, number)
 
 
 def kind_of(text: Column) -> Column:
@@ -123,7 +133,7 @@ def kind_of(text: Column) -> Column:
     n = F.length(digits(text))
     return (
         F.when(text.rlike(r"@|\(at\)|\[at\]"), 0)
-        .when(text.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+\z"), 1)
+        .when(text.rlike(rf"^{CANDIDATE['ip']}\z"), 1)
         .when((n >= 13) & ~text.startswith("+"), 2)
         .otherwise(3)
     )
@@ -154,7 +164,7 @@ def described(t: Column, before: Column, after: Column) -> Column:
         count(r"\x20()\-", 8),
         before.rlike(r"\w\z"),
         after.rlike(r"\w"),
-        F.when(kind_of(t) == 1, octets(t)).otherwise(F.lit(False)),
+        F.when(kind_of(t) == 1, octets(dotted(t))).otherwise(F.lit(False)),
         before.rlike(CONTEXT),
         count("@", 2),
         t.rlike(r"(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z]{2,12}\z"),
@@ -190,7 +200,7 @@ def rewritten(text: Column, base: Column) -> Column:
 
     def good(kind: str) -> Callable[[Column], Column]:
         def whole(r: Column) -> Column:
-            fits = r["t"].rlike(rf"^(?:{CANDIDATE['email' if kind == 'email' else 'number']})\z") & sound(kind, r["t"]) & (kind_of(r["t"]) == KINDS.index(kind))
+            fits = r["t"].rlike(rf"^(?:{CANDIDATE.get(kind, CANDIDATE['number'])})\z") & sound(kind, r["t"]) & (kind_of(r["t"]) == KINDS.index(kind))
             for k in KINDS:
                 fits = fits & (F.size(base_spans(r["t"], k)) == 0)
             return fits
@@ -204,9 +214,10 @@ def rewritten(text: Column, base: Column) -> Column:
 def telling(f: Column) -> Column:
     """Whether a candidate that no base rule matches may well be personal data: it is no negative."""
     address = (f["kind"] == 0) & (f["domain"] == 1)
+    numbers = (f["kind"] == 1) & (f["octets"] == 1)
     card = (f["kind"] == 2) & (f["luhn"] == 1)
     phone = (f["kind"] == 3) & f["digits"].between(9, 15) & (f["context"] == 1)
-    return address | card | phone
+    return address | numbers | card | phone
 
 
 @dataclass

@@ -119,4 +119,48 @@ SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html,
 FROM pages WINDOW w AS (PARTITION BY coalesce(html, ''))
 """
 
-ORACLES = {"op4_chat_roundtrip": OP4, "op6_decontamination": OP6, "op7_warc_archive": OP7}
+OP3 = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT k, doc_id, i, b[i:i + 49] AS s FROM d, unnest(generate_series(1, octet_length(b) - 49)) AS u(i)),
+f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+hit AS (SELECT k, i FROM w JOIN f USING (s) WHERE f.least < w.doc_id OR (w.doc_id IS NULL AND f.least IS NOT NULL)),
+e AS (SELECT k, i, i > coalesce(lag(i) OVER (PARTITION BY k ORDER BY i) + 50, 0) AS new FROM hit),
+g AS (SELECT k, i, sum(CAST(new AS INTEGER)) OVER (PARTITION BY k ORDER BY i) AS run FROM e),
+r AS (SELECT k, run, min(i) AS a, max(i) + 50 AS z FROM g GROUP BY k, run),
+kept AS (SELECT k, a AS upto, coalesce(lag(z) OVER (PARTITION BY k ORDER BY a), 1) AS since FROM (SELECT k, a, z FROM r UNION ALL SELECT k, octet_length(b) + 1, NULL FROM d)),
+h AS (SELECT k, string_agg(CASE WHEN upto > since THEN hex(b[since:upto - 1]) ELSE '' END, '' ORDER BY since, upto) AS kept FROM kept JOIN d USING (k) GROUP BY k),
+n AS (SELECT k, sum(z - a) AS n_removed, count(*) AS n_spans FROM r GROUP BY k)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN h USING (k) LEFT JOIN n USING (k)
+"""
+
+OP8 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, w[i:i + 4] AS g FROM d, unnest(generate_series(1, greatest(1, len(w) - 4))) AS u(i) WHERE len(w) > 0
+), sets AS (
+  SELECT doc_id, md5(string_agg(array_to_string(g, ' '), chr(10) ORDER BY array_to_string(g, ' '))) AS key, count(*) AS n FROM s GROUP BY doc_id
+), reps AS (
+  SELECT key, min(doc_id) AS rep, count(*) AS n_copies, any_value(n) AS n FROM sets GROUP BY key
+), rs AS (
+  SELECT s.doc_id, s.g FROM s JOIN reps ON rep = s.doc_id
+), rare AS (
+  SELECT rs.doc_id, rs.g FROM rs JOIN (SELECT g FROM rs GROUP BY g HAVING count(*) > 1) USING (g)
+), links AS (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM rare x JOIN rare y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2) p
+  JOIN reps q ON q.rep = p.a JOIN reps r ON r.rep = p.b WHERE 5 * shared >= 4 * (q.n + r.n - shared)
+), ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT a AS node, a AS root FROM ways UNION SELECT e.b, reach.root FROM reach JOIN ways e ON e.a = reach.node
+), cls AS (
+  SELECT node, min(root) AS root FROM reach GROUP BY node
+), deg AS (
+  SELECT a AS node, count(*) AS n_links FROM ways GROUP BY a
+)
+SELECT d.doc_id, coalesce(cls.root, reps.rep, d.doc_id) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_copies, 1)::BIGINT AS n_copies
+FROM d LEFT JOIN sets USING (doc_id) LEFT JOIN reps ON reps.key = sets.key LEFT JOIN cls ON cls.node = reps.rep LEFT JOIN deg ON deg.node = reps.rep
+"""
+
+ORACLES = {"op3_substring_dedup": OP3, "op8_jaccard_join": OP8, "op4_chat_roundtrip": OP4, "op6_decontamination": OP6, "op7_warc_archive": OP7}
