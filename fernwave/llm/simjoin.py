@@ -9,10 +9,11 @@ above 0x7F; fewer words, but not none, are one run). Two documents are linked if
    candidates at the level of their longest common prefix: the rows that share a prefix of some length lie side by side,
    so links between neighbours of that level or a deeper one hold them together. The tries are sorted by range over all
    tasks, so a prefix that very many documents share is spread like any other.
-3. Prefixes are shortened level by level, from DEPTH on. Candidates that hang together form families, in which all pairs
-   that were not compared at an earlier level are compared exactly. After each level the least similarity of the pairs
+3. Prefixes are shortened step by step, from DEPTH on. Candidates that hang together form families, in which all pairs
+   that were not compared at an earlier step are compared exactly. After each step the least similarity of the pairs
    verified so far tells how likely a pair like that is found at prefixes of this length; when this reaches the target
-   recall, shortening stops. It stops at the latest where a pair of exactly the threshold is found with that chance.
+   recall, shortening stops, else the prefix is cut to the length that reaches it. It stops at the latest where a pair of
+   exactly the threshold is found with that chance.
 4. Families are compared in blocks of bounded size that are dealt to tasks; counts and spanning links leave a task,
    never pairs. Families of more than BLOCK documents are parted first: by set size, as sets of which one is less than
    `threshold` of the other cannot be linked, and the largest family of the level before from what has joined it, so that
@@ -52,10 +53,10 @@ def chance(similarity: float, prefix: int, trees: int = TREES) -> float:
     return 1 - (1 - similarity**prefix) ** trees
 
 
-def shortest_prefix(recall: float = RECALL, trees: int = TREES, depth: int = DEPTH, threshold: tuple[int, int] = THRESHOLD) -> int:
-    """The longest prefix at which even a pair of exactly the threshold is found often enough: none shorter is needed."""
+def longest_prefix(similarity: float, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
+    """The longest prefix at which a pair of this similarity is found often enough."""
     d = depth
-    while d > 1 and chance(threshold[0] / threshold[1], d, trees) < recall:
+    while d > 1 and chance(similarity, d, trees) < recall:
         d -= 1
     return d
 
@@ -228,7 +229,6 @@ def verify(sets: DataFrame, members: DataFrame, first: bool, threshold: tuple[in
     if first:
         parted = durable(banded.withColumn("part", 2 * F.col("band")))
     else:
-        banded = durable(banded)
         # What is joined with a family's rows is written before, so that a join's skewed parts can be split.
         olds = banded.groupBy("family", "old").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
         main = durable(olds.groupBy("family").agg(F.max_by("old", F.struct("n", "old")).alias("main")))
@@ -237,18 +237,8 @@ def verify(sets: DataFrame, members: DataFrame, first: bool, threshold: tuple[in
     # At most some 160 parts.
     of = durable(counts.groupBy("family").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("parts")))
     block = F.least(F.lit(4096), F.greatest(F.lit(BLOCK), F.floor(F.col("total") / 32)))
-
-    def met(part):
-        """How many blocks a document of this part meets."""
-        out = F.lit(0)
-        for step in (-1, 0, 1):
-            for side in (0, 1):
-                n = F.ceil(F.coalesce(F.try_element_at("parts", 2 * (F.floor(part / 2).cast("int") + step) + side), F.lit(0)) / block)
-                out = out + (F.when(part % 2 == 0, n).otherwise(0) if side else n)
-        return out
-
-    apart = F.aggregate(F.map_entries("parts"), F.lit(0).cast("long"), lambda a, e: (a + e["value"] * met(e["key"])).cast("long"))
-    n_sent = of.agg(F.sum(F.when(F.col("total") > BLOCK, apart).otherwise(F.col("total")))).first()[0] or 0
+    most = F.when(F.col("total") > BLOCK, F.col("total") * (F.ceil(F.col("total") / block) + 3)).otherwise(F.col("total"))  # rows sent, or a few more
+    n_sent = of.agg(F.sum(most)).first()[0] or 0
     n_deal = pieces(n_sent, ROWS)
     named = parted.join(of, "family").select(F.col("node").alias("_node"), "old", "family", "part", "total", F.map_entries("parts").alias("parts"))
     rows = sets.join(named, sets["doc_id"] == named["_node"]).select("doc_id", "shingles", "old", "family", "part", "total", "parts")
@@ -343,19 +333,18 @@ def similarity_classes(docs: DataFrame, size: int = SIZE, threshold: tuple[int,
     copies = durable(sets.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies")))
     reps = copies.filter("rep IS NOT NULL").select(F.col("rep").alias("_rep"), F.col("set_key").alias("_key"))
     signed = sets.join(reps, (sets["set_key"] == reps["_key"]) & (sets["doc_id"] == reps["_rep"]), "left_semi")
-    shortest = shortest_prefix(recall, threshold=threshold)
+    shortest = longest_prefix(threshold[0] / threshold[1], recall)
     near = durable(neighbours(forest(signed), shortest))
     nodes = near.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     candidates = durable(shingled(docs, nodes, size))
-    families, linked, weakest = None, None, 1.0
-    for prefix in range(DEPTH, shortest - 1, -1):
-        changed, families = joined_families(families, near.filter(F.col("level") == prefix).select("u", "v"))
+    families, linked, weakest, before, prefix = None, None, 1.0, DEPTH + 1, DEPTH
+    while prefix < before:
+        changed, families = joined_families(families, near.filter(F.col("level").between(prefix, before - 1)).select("u", "v"))
         found = durable(verify(candidates, changed, linked is None, threshold))
         linked = found if linked is None else linked.unionByName(found)
         least = found.agg(F.min("least")).first()[0]
         weakest = weakest if least is None else min(weakest, least)
-        if chance(weakest, prefix) >= recall:
-            break
+        before, prefix = prefix, min(prefix, longest_prefix(weakest, recall))
     roots = components(linked.select(F.col("doc_id").alias("u"), F.col("root").alias("v")))
     counts = linked.groupBy("doc_id").agg(F.sum("links").alias("n_links"))
     classes = (

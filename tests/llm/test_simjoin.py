@@ -89,7 +89,7 @@ def test_empty_table_and_repeated_rows(spark):
 
 
 def test_prefix_is_long_as_recall_allows():
-    d = simjoin.shortest_prefix()
+    d = simjoin.longest_prefix(0.8)
     assert simjoin.chance(0.8, d) >= simjoin.RECALL > simjoin.chance(0.8, d + 1)
 
 
