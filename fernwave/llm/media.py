@@ -3,10 +3,12 @@
 A payload is stored as 8-bit grey samples, FRAME of them (24 x 24) to a frame, FPS frames a second. Frames are lossless
 JPEG (ITU T.81 process 14: SOF3, predictor 1, Huffman-coded differences), each one on its own, so that every frame is
 an intra frame and its samples come back exactly. The AVI holds one video stream, a `movi` list of `00dc` chunks and
-an `idx1` index; readers find frames through the index only.
+an `idx1` index; readers find frames through the index only. Videos from elsewhere may hold baseline frames (SOF0: DCT,
+8 bits, one or three components, restart intervals), of which the first component, the luma, is decoded; every such
+frame must bring its own Huffman tables.
 
 Shots are cut where the histogram of a frame differs from the last one's by more than is usual lately: above the mean
-of the last RECENT differences in this video by SIGMA standard deviations, and above LEAST samples. All arithmetic on
+of the last RECENT differences in this video by SIGMA standard deviations, and above LEAST of FRAME samples. All arithmetic on
 differences is on integers, so equal videos give equal cuts wherever they are processed.
 
 A null text is an empty payload, and an empty payload is one frame of padding. A null media value gives nulls, and no
@@ -17,6 +19,7 @@ columns are not read. Rows are handled in runs of a few MB, so that one very lon
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -169,14 +172,167 @@ def parse_head(jpeg: bytes) -> tuple[int, int, int, np.ndarray, int]:
     raise ValueError("JPEG frame without a scan")
 
 
+def _zigzag() -> np.ndarray:
+    """Places (row * 8 + column) of a block's coefficients in the order they are coded."""
+    order = sorted(((i, j) for i in range(8) for j in range(8)), key=lambda p: (sum(p), p[0] if sum(p) % 2 else p[1]))
+    return np.array([8 * i + j for i, j in order])
+
+
+ZIGZAG = _zigzag()
+#: Rows are the cosines of the eight frequencies.
+COSINES = np.cos(np.outer(np.arange(8), 2 * np.arange(8) + 1) * np.pi / 16) * np.sqrt(np.where(np.arange(8) == 0, 1, 2) / 8)[:, None]
+
+
+def _segments(jpeg: bytes):
+    """(marker, body, what follows) of a JPEG's marker segments up to its first scan."""
+    if jpeg[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG frame")
+    at = 2
+    while at + 4 <= len(jpeg):
+        if jpeg[at] != 0xFF:
+            raise ValueError("JPEG frame without a marker where one is due")
+        size = struct.unpack_from(">H", jpeg, at + 2)[0]
+        yield jpeg[at + 1], jpeg[at + 4 : at + 2 + size], at + 2 + size
+        if jpeg[at + 1] == 0xDA:
+            return
+        at += 2 + size
+    raise ValueError("JPEG frame without a scan")
+
+
+def _huffman(body: bytes) -> dict[int, dict[tuple[int, int], int]]:
+    """Tables of a DHT segment: by class and number, from (length, code) to symbol."""
+    out, at = {}, 0
+    while at < len(body):
+        counts, k, code, table = body[at + 1 : at + 17], at + 17, 0, {}
+        for length, count in enumerate(counts, 1):
+            for _ in range(count):
+                table[length, code] = body[k]
+                code, k = code + 1, k + 1
+            code <<= 1
+        out[body[at]] = table
+        at = k
+    return out
+
+
+def _coefficients(data: bytes, plan: list[tuple[int, dict, dict]], last: dict[int, int], n: int) -> list[list[np.ndarray]]:
+    """The blocks of n minimum coded units of one restart interval, by place in the plan of (component, DC table, AC table)."""
+    data = data.replace(b"\xff\x00", b"\xff")
+    value, have, at = 0, 0, 0
+
+    def bits(k: int) -> int:
+        nonlocal value, have, at
+        while have < k:
+            value, have, at = (value << 8) | (data[at] if at < len(data) else 0), have + 8, at + 1
+        have -= k
+        got, value = value >> have, value & ((1 << have) - 1)
+        return got
+
+    def symbol(table: dict) -> int:
+        code = 0
+        for length in range(1, 17):
+            code = (code << 1) | bits(1)
+            if (length, code) in table:
+                return table[length, code]
+        raise ValueError("damaged JPEG scan")
+
+    def signed(k: int) -> int:
+        v = bits(k) if k else 0
+        return v if not k or v >> (k - 1) else v - (1 << k) + 1
+
+    out: list[list[np.ndarray]] = [[] for _ in plan]
+    for _ in range(n):
+        if at > len(data) + 8:
+            raise ValueError("JPEG scan ends too soon")
+        for slot, (component, dc, ac) in enumerate(plan):
+            block = np.zeros(64)
+            last[component] += signed(symbol(dc))
+            block[0], k = last[component], 1
+            while k < 64:
+                run, size = divmod(symbol(ac), 16)
+                if not size and run != 15:
+                    break
+                k += run
+                if size and k < 64:
+                    block[ZIGZAG[k]] = signed(size)
+                k += 1
+            out[slot].append(block)
+    return out
+
+
+def decode_baseline(jpeg: bytes) -> np.ndarray:
+    """Luma samples (height, width) of a baseline DCT frame."""
+    quant, tables, parts, every = {}, {}, [], 0
+    for marker, body, after in _segments(jpeg):
+        if marker == 0xDB:
+            at = 0
+            while at < len(body):
+                if body[at] >> 4:
+                    raise ValueError("only 8-bit quantisation tables are read")
+                quant[body[at]] = np.frombuffer(body, np.uint8, 64, at + 1).astype(float)
+                at += 65
+        elif marker == 0xC0:
+            precision, h, w, count = struct.unpack_from(">BHHB", body)
+            if precision != 8 or count not in (1, 3) or not h or not w:
+                raise ValueError("only 8-bit frames of one or three components are read")
+            parts = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(count)]
+        elif 0xC0 < marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            raise ValueError("neither a lossless nor a baseline JPEG frame")
+        elif marker == 0xC4:
+            tables |= _huffman(body)
+        elif marker == 0xDD:
+            every = struct.unpack(">H", body)[0]
+        elif marker == 0xDA:
+            if not parts or body[0] != len(parts):
+                raise ValueError("only scans of all components are read")
+            use = {body[1 + 2 * k]: body[2 + 2 * k] for k in range(body[0])}
+            start = after
+    if len(parts) == 1:
+        parts = [(parts[0][0], 1, 1, parts[0][3])]
+    wide, high = max(p[1] for p in parts), max(p[2] for p in parts)
+    across, down = -(-w // (8 * wide)), -(-h // (8 * high))
+    try:
+        plan = [(c, tables[use[c] >> 4], tables[0x10 | use[c] & 15]) for c, ph, pv, _ in parts for _ in range(ph * pv)]
+    except KeyError:
+        raise ValueError("JPEG frame without its Huffman tables") from None
+    pieces, at = [], start
+    for m in re.finditer(b"\xff[\xd0-\xd9]", jpeg[start:]):
+        pieces.append(jpeg[at : start + m.start()])
+        at = start + m.end()
+        if m.group()[1] >= 0xD8:
+            break
+    total, blocks = across * down, [[] for _ in plan]
+    for k, piece in enumerate(pieces):
+        n = min(every, total - k * every) if every else total
+        for own, more in zip(blocks, _coefficients(piece, plan, dict.fromkeys(use, 0), n), strict=True):
+            own += more
+    if len(blocks[0]) < total:
+        raise ValueError("JPEG scan ends too soon")
+    _, ph, pv, q = parts[0]
+    scale = np.zeros(64)
+    scale[ZIGZAG] = quant[q]
+    f = np.stack([np.stack(b) for b in blocks[: ph * pv]], 1) * scale
+    pixels = np.clip(np.round(COSINES.T @ f.reshape(-1, 8, 8) @ COSINES + 128), 0, 255)
+    grid = pixels.reshape(down, across, pv, ph, 8, 8).transpose(0, 2, 4, 1, 3, 5)
+    luma = grid.reshape(down * pv * 8, across * ph * 8)
+    # Where other components are sampled more densely, the luma is spread to the frame's size.
+    luma = luma.repeat(high // pv, 0).repeat(wide // ph, 1)
+    return luma[:h, :w].astype(np.uint8)
+
+
+def is_lossless(jpeg: bytes) -> bool:
+    return jpeg.startswith(JPEG_HEAD) or any(marker == 0xC3 for marker, _, _ in _segments(jpeg))
+
+
 def decode_frames(jpegs: list[bytes]) -> np.ndarray:
-    """Samples (n, height, width) of lossless frames that share one header; all frames advance together."""
+    """Samples (n, height, width) of frames of one size; lossless frames that share one header advance together."""
     if not jpegs:
         return np.zeros((0, SIDE, SIDE), np.uint8)
+    if not is_lossless(jpegs[0]):
+        return np.stack([decode_frames([j])[0] if is_lossless(j) else decode_baseline(j) for j in jpegs])
     h, w, skip, table, bits = parse_head(jpegs[0])
     head = jpegs[0][:skip]
     if not all(j.startswith(head) for j in jpegs):
-        return np.concatenate([decode_frames([j]) for j in jpegs])
+        return np.concatenate([decode_frames([j]) for j in jpegs])  # of one size, or a ValueError
     scans = [j[skip:-2] for j in jpegs]
     size = np.fromiter(map(len, scans), np.int64, len(scans))
     data = np.frombuffer(b"".join(scans), np.uint8)
@@ -222,7 +378,8 @@ def shot_starts(samples: np.ndarray, video: np.ndarray) -> np.ndarray:
     total, squares = s[np.arange(n)] - s[low], q[np.arange(n)] - q[low]
     above = m * d - total
     usual = (above <= 0) | (above**2 <= SIGMA**2 * (m * squares - total**2))
-    return first | ((d >= LEAST) & ((m == 0) | ~usual))
+    least = LEAST * (samples[0].size) // FRAME
+    return first | ((d >= least) & ((m == 0) | ~usual))
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,6 +415,17 @@ def _decoded(media: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return samples, count, shot_starts(samples, np.repeat(np.arange(len(count)), count))
 
 
+def _cuts(media: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Each video's number of frames, and where shots begin; videos may differ in size."""
+    try:
+        _, count, cuts = _decoded(media)
+        return count, cuts
+    except ValueError:
+        # Videos of several sizes; a damaged one raises its own error here.
+        each = [_decoded([m]) for m in media]
+        return np.concatenate([e[1] for e in each]), np.concatenate([e[2] for e in each])
+
+
 def _runs(column: pa.Array) -> Iterator[tuple[int, list[bytes | None]]]:
     start, got, size = 0, [], 0
     for i, m in enumerate(column):
@@ -309,7 +477,7 @@ def clips(media: DataFrame) -> DataFrame:
         for b in batches:
             for start, part in _runs(b.column(1)):
                 have = [i for i, m in enumerate(part) if m is not None]
-                _, count, cuts = _decoded([part[i] for i in have])
+                count, cuts = _cuts([part[i] for i in have])
                 begins, ends = np.flatnonzero(cuts), np.append(np.flatnonzero(cuts)[1:], len(cuts))
                 at = np.cumsum(count) - count
                 video = np.searchsorted(at, begins, "right") - 1 if len(begins) else np.zeros(0, np.int64)

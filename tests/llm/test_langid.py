@@ -47,3 +47,26 @@ def test_accepted_keeps_columns_and_clean_rows(spark):
     out = langid.accepted(docs)
     assert out.columns == docs.columns
     assert sorted(r.doc_id for r in out.collect()) == list(range(300))
+
+
+def test_tables_of_pairs_respond_like_the_filters():
+    import numpy as np
+
+    g = np.random.default_rng(0)
+    x = g.integers(0, 256, (70, langid.WINDOW)).astype(np.uint8)
+    tables = {w: g.normal(0, 1, (w, 256, langid.FILTERS)).astype(np.float32) for w in langid.WIDTHS}
+    model = langid.Model(["a", "b", "c"], tables, g.normal(0, 1, (langid.FILTERS * len(langid.WIDTHS), 3)).astype(np.float32), g.normal(0, 1, 3).astype(np.float32))
+    plain = np.zeros((70, len(langid.WIDTHS), langid.FILTERS))
+    for n, w in enumerate(langid.WIDTHS):  # a convolution over one-hot bytes, place by place
+        plain[:, n] = np.max([sum(tables[w][j][x[:, p + j]] for j in range(w)) for p in range(langid.WINDOW - w + 1)], axis=0)
+    want = langid.softmax(np.maximum(plain.reshape(70, -1), 0) @ model.out + model.bias)
+    assert np.allclose(langid.Predictor(model).probabilities(x), want, atol=1e-4)
+    assert np.allclose(langid.respond(model, x), plain.reshape(70, -1), atol=1e-4)
+
+
+def test_the_sample_is_bounded_and_frequent_labels_come_first(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    monkeypatch.setattr(langid, "IN_ALL", 40)
+    rows = [(i, "word " * 5, "zz" if i % 10 == 0 else "yy" if i % 3 else "xx", None, None, None) for i in range(900)]
+    got = langid.sample_windows(spark.createDataFrame(rows, SCHEMA)).groupBy("lang").count().collect()
+    assert {r.lang for r in got} == {"xx", "yy"} and sum(r["count"] for r in got) < 90
