@@ -5,6 +5,9 @@ A table is (structure_id, node_id, y01, channels...). Folds leave one structure
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -328,6 +331,24 @@ def boosted_trees(train: DataFrame, test: DataFrame, cols: list[str], trees: int
     return model.transform(put.transform(flat(test))).select(S, "node_id", "y01", F.col("prediction").alias("score"))
 
 
+def boosted_transfer(x: DataFrame, cols: list[str], trees: int = 200, lean: int | None = None, at_once: int = 4) -> DataFrame:
+    """(structure_id, node_id, y01, score): each fold's structures scored by trees of all other folds, some folds at a time.
+
+    A fold is a group of structures, named by what comes before a '.' in their names. With `lean`, the trees of a fold see
+    only so many channels, those that tell labels best in the others.
+    """
+    fold = F.substring_index(S, ".", 1)
+    names = [r.fold for r in x.select(fold.alias("fold")).distinct().orderBy("fold").collect()]  # groups, not structures
+
+    def one(name: str) -> DataFrame:
+        train = x.filter(fold != name)
+        chosen = [r.channel for r in lean_top(channel_auc(train, cols), lean).collect()] if lean else cols
+        return boosted_trees(train, x.filter(fold == name), chosen, trees)
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, names))
+
+
 # Primitives of symbolic trees, as column functions
 
 

@@ -733,9 +733,8 @@ query(None, "kernel_logistic")(_loo(learned.kernel_logistic))
 
 @query()
 def gbt_transfer(spark, sf_dir):
-    """Boosted trees trained on all structures but one, tested on that one."""
-    x = _channels(spark, sf_dir)
-    out = learned.boosted_trees(x.filter("structure_id <> '0'"), x.filter("structure_id = '0'"), CH, 20)
+    """Boosted trees trained on all structures but one, tested on that one, for every structure."""
+    out = learned.boosted_transfer(cut_lineage(_channels(spark, sf_dir)), CH)
     return scoring.roc_auc(out).select(S, F.round("auc", 4).alias("auc"))
 
 
@@ -775,8 +774,8 @@ def detector_leaderboard(spark, sf_dir):
 
 @query()
 def submission_hits(spark, sf_dir):
-    """Routed detector, boosted trees of the other structures, and their fusion: the top five of one structure."""
-    out = experiments.submission(*_thirds(spark, sf_dir), fold="0", trees=20)
+    """Routed detector, boosted trees of the other structures, and their fusion: the top five of every structure."""
+    out = experiments.submission(*_thirds(spark, sf_dir))
     return out.filter("pos <= 5").select(S, "node_id", "detector", "regime", "pos", *[F.round(c, 5).alias(c) for c in ("routed", "boosted", "fused")])
 
 

@@ -147,21 +147,18 @@ def leaderboard(nodes: DataFrame, edges: DataFrame, grid: tuple[Detector, ...] =
     return stats.join(top, [S, "exp"])
 
 
-def submission(nodes: DataFrame, edges: DataFrame, fold: str, lean: int = 20, trees: int = 200) -> DataFrame:
-    """(structure_id, node_id, detector, regime, routed, boosted, fused, pos): the routed detector and boosted trees of one structure.
+def submission(nodes: DataFrame, edges: DataFrame, lean: int = 20, trees: int = 200) -> DataFrame:
+    """(structure_id, node_id, detector, regime, routed, boosted, fused, pos): the routed detector and boosted trees of every structure.
 
-    The trees learn from all other structures, on the channels that transfer best there; the fused score is the sum of
-    both scores' rank percentages.
+    A structure's trees learn from the other folds, on the channels that transfer best there; the fused score is the sum
+    of both scores' rank percentages.
     """
     routed_scores = cut_lineage(detector_scores(nodes, edges, tuple(d for d in GRID if d.name in CONSENSUS)))
-    best = ranking.route(routed_scores)
-    routed = routed_scores.join(best, [S, "detector"]).filter(F.col(S) == fold)
-    cols = [c for c in features.channel_names("bank23") if c not in BALLAST]
+    routed = routed_scores.join(ranking.route(routed_scores), [S, "detector"])
+    cols = curated(features.channel_names("bank23"))
     bank = features.zscore(features.feature_bank(nodes, edges, "bank23"), cols).join(nodes.select(S, "node_id", "y01"), [S, "node_id"])
     bank = cut_lineage(bank.select(S, "node_id", "y01", *[f"`{c}`" for c in cols]))
-    train = bank.filter(F.col(S) != fold)
-    chosen = [r.channel for r in learned.lean_top(learned.channel_auc(train, cols), lean).collect()]
-    boosted = learned.boosted_trees(train, bank.filter(F.col(S) == fold), chosen, trees)
+    boosted = cut_lineage(learned.boosted_transfer(bank, cols, trees, lean))
     fused = ranking.fuse_percent(routed.select(S, "node_id", "score"), boosted.select(S, "node_id", "score"))
     ranked = ranking.finalize(fused, nodes.filter("is_active"))
     out = ranked.withColumnRenamed("score", "fused").join(routed.select(S, "node_id", "detector", "regime", F.col("score").alias("routed")), [S, "node_id"])

@@ -68,3 +68,40 @@ def test_hits_and_enrichment(spark):
     r = spark.createDataFrame([("s", i, int(i in (2, 9)), i + 1) for i in range(20)], "structure_id string, node_id long, y01 int, pos int")
     x = scoring.hits(r).first()
     assert (x.hit_5, x.n_hits_5, x.enrichment_5, x.n_hits_10, x.enrichment_10) == (1, 1, 2.0, 2, 2.0)
+
+
+def test_running_sums_over_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from fernwave.functions.ranks import row_numbers, running_sums
+
+    g = random.Random(3)
+    rows = [(k, g.randint(0, 30), g.random(), i) for i, k in enumerate([None, "a", "a", "b"] * 100)]
+    df = spark.createDataFrame(rows, "g string, v int, s double, id int")
+    got = {r.id: (r.below, r.rows) for r in running_sums(df, ["g"], [F.col("s"), F.col("id")], {"below": F.col("v"), "rows": F.lit(1)}).collect()}
+    for k, v, s, i in rows:
+        before = [r for r in rows if r[0] == k and (r[2], r[3]) < (s, i)]
+        assert got[i] == (sum(r[1] for r in before), len(before))
+    numbers = sorted(r.n for r in row_numbers(df.filter("g = 'b'"), ["g"], [F.desc("id")], "n").collect())
+    assert numbers == list(range(100))
+
+
+def test_p_is_exact_for_few_and_normal_for_many(spark):
+    import itertools
+
+    few = [("few", i, s, int(i < 3)) for i, s in enumerate([0.1, 0.7, 0.9, 0.2, 0.3, 0.5, 0.8])]
+    tied = [("tied", i, s, int(i < 3)) for i, s in enumerate([0.1, 0.7, 0.9, 0.1, 0.3, 0.5, 0.8])]
+    df = spark.createDataFrame(few + tied, "structure_id string, node_id long, score double, y01 int")
+    got = {r.structure_id: r for r in scoring.significance(df, replicates=20).collect()}
+    u = sum(a > b for a in (0.1, 0.7, 0.9) for b in (0.2, 0.3, 0.5, 0.8))
+    every = [sum(r) - 6 for r in itertools.combinations(range(1, 8), 3)]
+    assert math.isclose(got["few"].p, sum(x >= u for x in every) / len(every)) and got["few"].ci_low is not None
+    assert math.isclose(got["tied"].p, {r.structure_id: r.p for r in scoring.rank_statistics(df).collect()}["tied"])
+    with pytest.raises(ValueError):
+        scoring.rank_statistics(df.withColumn("p", df["score"]), "p")
+
+
+def test_lists_shorter_than_k_have_no_hits_of_k(spark):
+    r = spark.createDataFrame([("s", i, int(i == 1), i + 1) for i in range(6)], "structure_id string, node_id long, y01 int, pos int")
+    x = scoring.hits(r).first()
+    assert (x.hit_5, x.n_hits_5, x.hit_10, x.n_hits_10, x.enrichment_10) == (1, 1, None, None, None)

@@ -65,7 +65,7 @@ def test_series_come_near_the_eigensystem():
 
 
 def test_banks_have_their_channels():
-    assert {b: len(features.channel_names(b)) for b in features.BANKS} == {"bank12": 12, "bank13": 13, "bank14": 14, "bank23": 23, "bank29": 29}
+    assert {b: len(features.channel_names(b)) for b in features.BANKS} == {"early6": 6, "bank12": 12, "bank13": 13, "bank14": 14, "bank23": 23, "bank29": 29}
 
 
 def test_circuits_keep_probability_and_approach_the_exact_walk():
@@ -108,3 +108,28 @@ def test_sparse_law_and_annealing(spark):
     w = np.zeros(12)
     w[best.chosen] = 1
     assert np.isclose(w @ m @ w, best.energy) and best.energy <= 0
+
+
+def test_contrast_sets_endless_times_against_heat_of_the_laplacian():
+    s = structure(4)
+    e, f = s.eig(), s.eig("logf", 1.0)
+    assert np.allclose(spectral.metric_matrix(s, "contrast", "logf", 1.0), spectral.long_time_average(*f) - spectral.heat_average(*e))
+    assert np.allclose(spectral.metric_matrix(s, "yukawa", "logf", 1.0), spectral.yukawa(*e))
+    with pytest.raises(ValueError):
+        spectral.metric_matrix(s, "nothing")
+
+
+def test_sampled_averages_leave_out_the_start():
+    s = structure(5)
+    w, v = s.eig()
+    times = [20 * k / 64 for k in range(1, 65)]
+    assert np.allclose(spectral.time_average(w, v), np.mean([np.abs((v * np.exp(-1j * w * t)) @ v.T) ** 2 for t in times], 0))
+    assert np.allclose(spectral.heat_sampled(w, v), np.mean([(v * np.exp(-w * t)) @ v.T for t in times], 0))
+
+
+def test_stochastic_estimates_come_near():
+    s = structure(6)
+    f = lambda x: 1 / (x + 0.5)
+    want = spectral.of(*s.eig(), f(s.eig()[0]))
+    assert np.corrcoef(spectral.stochastic_pairs(s, f, 40, 4000).ravel(), want.ravel())[0, 1] > 0.99
+    assert np.allclose(spectral.stochastic_rowsum(s, f, 80), 2.0, atol=1e-3)

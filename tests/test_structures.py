@@ -61,3 +61,35 @@ def test_files_as_a_stream(spark, files, tmp_path):
     q.awaitTermination(120)
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted(r.pos for r in rows) == [1, 2] and {r.structure_id for r in rows} == {"one"}
+
+
+def test_structures_without_nodes_or_ligand_are_an_error(spark, files):
+    atoms = structures.read_atoms(spark, str(files))
+    assert structures.load_apo(atoms).count() == 4 and structures.load_ligand(atoms).count() == 1
+    with pytest.raises(Exception, match="no CA nodes"):
+        structures.load_apo(atoms, "Z").collect()
+    with pytest.raises(Exception, match="no ligand"):
+        structures.load_ligand(atoms.filter("resname NOT IN ('LIG', 'DG')")).collect()
+
+
+def test_active_sites_take_atoms_of_every_cofactor(spark, files):
+    atoms = structures.read_atoms(spark, str(files))
+    more = spark.createDataFrame([("one", 99, "HETATM", 99, "V", "", "VO4", "A", 99, "", 13.0, 0.0, 0.0, 1.0, 0.0, "")], atoms.schema)
+    nodes = structures.load_nodes(atoms)
+    assert sorted(r.node_id for r in structures.active_site(nodes, atoms.unionByName(more)).collect()) == [0, 1, 2, 3]
+    assert structures.first_cofactor(atoms.unionByName(more)).first().cofactor == "GDP"
+
+
+def test_lines_survive_writing_and_reading(spark, files, tmp_path):
+    atoms = structures.read_atoms(spark, str(files))
+    structures.write_structures(structures.format_atoms(atoms), str(tmp_path / "w"))
+    again = structures.read_atoms(spark, str(tmp_path / "w/*"))
+    keep = ["structure_id", "record", "serial", "atom", "altloc", "resname", "chain", "resseq", "icode", "x", "y", "z", "occupancy"]
+    assert sorted(map(tuple, again.select(*keep).collect())) == sorted(map(tuple, atoms.select(*keep).collect()))
+
+
+def test_targets(spark):
+    t = spark.createDataFrame([("A_1", "a", "h"), ("B_1", "b", None)], "name string, apo string, holo string")
+    every = structures.all_targets(t, spark.createDataFrame([("C_1", "c")], "name string, apo string"))
+    assert [sorted(r.name for r in structures.labelled_targets(every, k).collect()) for k in (True, False)] == [["A_1"], ["B_1", "C_1"]]
+    assert sorted(r.name for r in structures.named_targets(every, ["B", "C"]).collect()) == ["B_1", "C_1"] and structures.named_targets(every, []).count() == 3
