@@ -7,12 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, pieces
 
 MOST_ROUNDS = 60
+#: Edges to a task between rounds, and the least number of tasks.
+EACH, LEAST = 1 << 19, 8
 #: Edges that a task contracts at once.
 CHUNK = 1 << 20
 
@@ -56,21 +58,21 @@ def forest(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "u long, v long")
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One contraction of edges (u, v): all of a node's larger (or not larger) neighbours move to its least one."""
-    if large:
-        near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+def small_star(edges: DataFrame) -> DataFrame:
+    """All of a node's smaller neighbours, and the node itself, move to the least of them. Edges are (larger, smaller)."""
+    least = F.min("v").over(Window.partitionBy("u"))
+    moved = edges.select("u", "v", least.alias("m")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+    return moved.select("e.u", "e.v").filter("u <> v").distinct()
+
+
+def large_star(edges: DataFrame, tasks: int) -> DataFrame:
+    """All of a node's larger neighbours move to the least of its neighbours and itself."""
+    near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     # Sums up in the tasks first, so a node with very many neighbours costs its task one row for each other task.
     # It is written before it is joined: then both sides of the join are plain shuffles, whose skewed parts can be split.
-    least = durable(near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")))
-    joined = near.join(least, near["u"] == least["w"])
-    moved = joined.filter(F.col("v") > F.col("u")) if large else joined.filter(F.col("v") != F.col("m"))
-    out = moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
-    if not large:
-        out = out.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
-    return out.filter(F.col("u") != F.col("v")).distinct()
+    least = durable(near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")).coalesce(tasks))
+    moved = near.join(least, near["u"] == least["w"]).filter(F.col("v") > F.col("u"))
+    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
 def settled(edges: DataFrame) -> bool:
@@ -84,12 +86,16 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that each node of edges (u, v) is connected with; roots themselves included.
 
     Every round is checkpointed, so plans stay short and a lost executor repeats one round at most. Tasks contract what
-    they hold first, so mostly one round is left; rounds go on until nothing is left to move.
+    they hold first, so mostly one round is left; rounds go on until nothing is left to move. There are as many tasks as
+    the number of edges asks for.
     """
-    e = durable(forest(edges.select("u", "v").filter(F.col("u") != F.col("v"))).distinct())
+    e = durable(forest(edges.select("u", "v").filter("u <> v")).distinct())
+    tasks = pieces(e.count(), EACH, LEAST)
+    e = e.coalesce(tasks)
     for _ in range(MOST_ROUNDS):
-        e = durable(_star(_star(e, False), True))
+        e = durable(small_star(e).coalesce(tasks))
+        e = durable(large_star(e, tasks).coalesce(tasks))
         if settled(e):
             roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.coalesce(tasks))
     raise RuntimeError("components did not settle")

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, pieces
-from .components import components
+from .components import EACH, LEAST, components
 from .shingles import SIZE, shingle_sets
 
 THRESHOLD = (4, 5)
@@ -150,6 +150,7 @@ def neighbours(tries: DataFrame, shortest: int) -> DataFrame:
 
     seen = dealt.mapInArrow(link, "u long, v long, level int, part int, side int, head binary")
     out = durable(seen.groupBy("u", "v", "part", "side", "head").agg(F.max("level").alias("level")))
+    out = out.coalesce(pieces(out.count(), EACH, LEAST))
     # The ends of ranges: two rows of each task.
     order = Window.orderBy("part", "side")
     ends = out.filter("part IS NOT NULL").select("u", "head", "side", F.lag("u").over(order).alias("v"), F.lag("head").over(order).alias("before"))
@@ -216,7 +217,7 @@ def shingled(docs: DataFrame, nodes: DataFrame, size: int = SIZE) -> DataFrame:
     return some.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, shingles binary")
 
 
-def verify(sets: DataFrame, members: DataFrame, first: bool, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+def verify(sets: DataFrame, members: DataFrame, first: bool, tasks: int, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """(doc_id, root, links, least) for members (node, old, family): a row for each document and block in which it has links.
 
     Pairs within the same `old` family were compared before and are passed over; at the `first` level none were. `least` is the least similarity of
@@ -227,15 +228,15 @@ def verify(sets: DataFrame, members: DataFrame, first: bool, threshold: tuple[in
     light = sets.select("doc_id", F.floor(F.log("n_shingles") / width).cast("int").alias("band"))
     banded = members.join(light, members["node"] == light["doc_id"]).groupBy("node").agg(F.min("old").alias("old"), F.min("family").alias("family"), F.min("band").alias("band"))
     if first:
-        parted = durable(banded.withColumn("part", 2 * F.col("band")))
+        parted = durable(banded.withColumn("part", 2 * F.col("band")).coalesce(tasks))
     else:
         # What is joined with a family's rows is written before, so that a join's skewed parts can be split.
         olds = banded.groupBy("family", "old").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
-        main = durable(olds.groupBy("family").agg(F.max_by("old", F.struct("n", "old")).alias("main")))
-        parted = durable(banded.join(main, "family", "left").withColumn("part", 2 * F.col("band") + F.coalesce((F.col("old") == F.col("main")).cast("int"), F.lit(0))).drop("main"))
+        main = durable(olds.groupBy("family").agg(F.max_by("old", F.struct("n", "old")).alias("main")).coalesce(tasks))
+        parted = durable(banded.join(main, "family", "left").withColumn("part", 2 * F.col("band") + F.coalesce((F.col("old") == F.col("main")).cast("int"), F.lit(0))).drop("main").coalesce(tasks))
     counts = parted.groupBy("family", "part").agg(F.count(F.lit(1)).alias("n"))
     # At most some 160 parts.
-    of = durable(counts.groupBy("family").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("parts")))
+    of = durable(counts.groupBy("family").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("parts")).coalesce(tasks))
     block = F.least(F.lit(4096), F.greatest(F.lit(BLOCK), F.floor(F.col("total") / 32)))
     most = F.when(F.col("total") > BLOCK, F.col("total") * (F.ceil(F.col("total") / block) + 3)).otherwise(F.col("total"))  # rows sent, or a few more
     n_sent = of.agg(F.sum(most)).first()[0] or 0
@@ -306,7 +307,7 @@ def verify(sets: DataFrame, members: DataFrame, first: bool, threshold: tuple[in
     return cut_rows.groupBy("deal").applyInArrow(check, "doc_id long, root long, links long, least double")
 
 
-def joined_families(families: DataFrame | None, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+def joined_families(families: DataFrame | None, links: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
     """(changed, all): families (node, family) after links (u, v) have joined some; changed ones with the `old` family of each node."""
     if families is None:
         changed = components(links).select("node", F.col("node").alias("old"), F.col("root").alias("family"))
@@ -318,7 +319,7 @@ def joined_families(families: DataFrame | None, links: DataFrame) -> tuple[DataF
     # A family's name is its least node, so a name that is no node of a family stands for a document without one.
     alone = moves.join(families, F.col("_from") == F.col("node"), "left_anti").select(F.col("_from").alias("node"), F.col("_from").alias("family"))
     every = families.unionByName(alone).join(moves, F.col("family") == F.col("_from"), "left")
-    placed = durable(every.select("node", F.col("family").alias("old"), F.coalesce("_to", "family").alias("family"), F.col("_to").isNotNull().alias("moved")))
+    placed = durable(every.select("node", F.col("family").alias("old"), F.coalesce("_to", "family").alias("family"), F.col("_to").isNotNull().alias("moved")).coalesce(tasks))
     return placed.filter("moved").drop("moved"), placed.select("node", "family")
 
 
@@ -337,10 +338,11 @@ def similarity_classes(docs: DataFrame, size: int = SIZE, threshold: tuple[int,
     near = durable(neighbours(forest(signed), shortest))
     nodes = near.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     candidates = durable(shingled(docs, nodes, size))
+    tasks = pieces(candidates.count(), EACH, LEAST)  # for tables of a row or a few for each candidate
     families, linked, weakest, before, prefix = None, None, 1.0, DEPTH + 1, DEPTH
     while prefix < before:
-        changed, families = joined_families(families, near.filter(F.col("level").between(prefix, before - 1)).select("u", "v"))
-        found = durable(verify(candidates, changed, linked is None, threshold))
+        changed, families = joined_families(families, near.filter(F.col("level").between(prefix, before - 1)).select("u", "v"), tasks)
+        found = durable(verify(candidates, changed, linked is None, tasks, threshold))
         linked = found if linked is None else linked.unionByName(found)
         least = found.agg(F.min("least")).first()[0]
         weakest = weakest if least is None else min(weakest, least)

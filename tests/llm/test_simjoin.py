@@ -128,7 +128,7 @@ def test_neighbours_have_the_longest_prefix_of_any_tree(spark):
 def test_prefixes_are_shortened_only_as_far_as_the_pairs_ask_for(spark, monkeypatch):
     asked = []
     joined = simjoin.joined_families
-    monkeypatch.setattr(simjoin, "joined_families", lambda f, links: asked.append(1) or joined(f, links))
+    monkeypatch.setattr(simjoin, "joined_families", lambda f, links, tasks: asked.append(1) or joined(f, links, tasks))
     words = [f"w{i}" for i in range(400)]
     alike = [(i, " ".join([*words, f"end{i}"])) for i in range(6)]
     assert {r.class_id for r in simjoin.similarity_classes(spark.createDataFrame(alike, "doc_id long, text string")).collect()} == {0}
