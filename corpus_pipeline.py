@@ -41,9 +41,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Rows are numbered and written once: doc_id may be null or repeated. Their columns stand apart, so no name clashes.
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = durable(docs.select("doc_id", "text", "source", row, F.monotonically_increasing_id().alias("no")))
+    rows = durable(docs.select(row, F.monotonically_increasing_id().alias("no")))
     added = ["size", "source_size", "target", "taken"]
-    taken = mixing.mix(rows.select("doc_id", "text", "source", "no"), key="no").select(F.col("no").alias("of"), *added)
+    taken = mixing.mix(rows.select("row.doc_id", "row.text", "row.source", "no"), key="no").select(F.col("no").alias("of"), *added)
     kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in added]
     return rows.select("row", "no").join(taken, F.col("no") == F.col("of")).select(*kept, *added)
 
