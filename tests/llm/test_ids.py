@@ -59,7 +59,8 @@ def test_empty_tables_stay_empty(spark):
 
 
 def test_nulls_and_very_long_texts_pass_every_stage(spark):
-    long = "lorem ipsum dolor " * 40_000
+    long = " ".join(f"wort{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40)) + " "
+    long *= 3000
     docs = spark.createDataFrame([(1, long, "en", "s", None), (2, long + "x", "en", "s", None), (3, None, None, None, None), (None, A, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     benchmark = spark.createDataFrame([(None, None), (1, "")], "item_id long, text string")
     one = p.language_id(spark, docs, "")
