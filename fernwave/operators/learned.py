@@ -331,7 +331,7 @@ def boosted_trees(train: DataFrame, test: DataFrame, cols: list[str], trees: int
     return model.transform(put.transform(flat(test))).select(S, "node_id", "y01", F.col("prediction").alias("score"))
 
 
-def boosted_transfer(x: DataFrame, cols: list[str], trees: int = 200, lean: int | None = None, at_once: int = 4) -> DataFrame:
+def boosted_transfer(x: DataFrame, cols: list[str], trees: int = 200, lean: int | None = None, at_once: int = 8) -> DataFrame:
     """(structure_id, node_id, y01, score): each fold's structures scored by trees of all other folds, some folds at a time.
 
     A fold is a group of structures, named by what comes before a '.' in their names. With `lean`, the trees of a fold see

@@ -606,7 +606,7 @@ def band_complement(spark, sf_dir):
 
 
 def _node_channel(f, schema: str, cols: list[str]):
-    return lambda spark, sf_dir: spectral.per_structure(*structures(spark, sf_dir), f, schema).select("node_id", *[F.round(c, 5).alias(c) for c in cols])
+    return lambda spark, sf_dir: spectral.per_structure(*structures(spark, sf_dir), f, schema).select("node_id", *[(F.round(c, 5) + 0.0).alias(c) for c in cols])
 
 
 query(None, "band_interference")(_node_channel(lambda s: {"node_id": s.ids, "score": s.band(spectral.interference(*s.eig("logf", 1.0)))}, "node_id long, score double", ["score"]))
@@ -827,4 +827,4 @@ def routed_hits(spark, sf_dir):
     best = ranking.route(scores)
     chosen = scores.join(best, [S, "detector"])
     ranked = ranking.finalize(chosen, n.filter("is_active"))
-    return ranked.filter("pos <= 5").select(S, "detector", "regime", "node_id", "pos", F.round("score", 6).alias("score"))
+    return ranked.filter("pos <= 5").select(S, "detector", "regime", "node_id", "pos", (F.round("score", 6) + 0.0).alias("score"))

@@ -16,7 +16,7 @@ from ..functions.lineage import cut_lineage
 from ..operators import features, graph, spectral
 from ..operators.graph import S
 from ..sources.points import embedding_nodes
-from .catalogue import COMPONENTS, KDEG, KNN, NODES, REACH, query, structures, with_
+from .catalogue import KDEG, KNN, NODES, REACH, SQL, query, structures, with_
 
 PATH = (
     NODES
@@ -392,6 +392,11 @@ query(with_(_GNM + ", rs AS (SELECT m.i, m.j, 2 * m.v - a.v - b.v AS v FROM gi m
     _per_node(structures, lambda s: {"node_id": s.ids, "score": s.band(spectral.resistance(*s.eig()))}, ["score"])
 )
 
+# Queries of the catalogue that this SQL says as well
+SQL["band_interference"], SQL["band_quadrature"] = SQL["knn_interference"], SQL["knn_quadrature"]
+_HEAT, _HLAST = exponentials("lap", 20.0, 16)
+SQL["heat_commute_mass"] = with_(_GNM + _HEAT, f"SELECT e.i AS node_id, round(e.h, 5) + 0.0 AS hks, round(g.v, 5) + 0.0 AS commute, round(-ln(greatest(e.h, 1e-12)) / 20, 5) + 0.0 AS eff_mass FROM {_HLAST} e JOIN gi g ON g.i = e.i AND g.j = e.j WHERE e.i = e.j")
+
 # Chebyshev series: SQL makes the same coefficients and walks the same recurrence.
 K, POINTS = 12, 200
 _SERIES = LAPLACIAN + f""", up AS (SELECT label, 2.0::DOUBLE * max(degree) AS b FROM kd JOIN nodes USING (node_id) GROUP BY label),

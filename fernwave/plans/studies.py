@@ -15,7 +15,7 @@ from ..operators.graph import S
 from ..sources import sinks
 from ..sources.points import embedding_nodes
 from . import experiments
-from .catalogue import AUCS, CH, NODES, VOTES, _aucs, _channels, _inverse_normal_sql, _thirds, _z, coarse_clusters, query, structures, with_
+from .catalogue import AUCS, CH, NODES, SQL, VOTES, _aucs, _channels, _inverse_normal_sql, _thirds, _z, coarse_clusters, query, structures, with_
 from .spectra import _GNM, BANK12, LOGF_LAP, PATH, _per_node, exponentials, paths
 
 # Ridge operators on three channels; SQL solves the 3 x 3 systems by Cramer's rule.
@@ -331,12 +331,8 @@ ho AS (SELECT det.label, detector, node_id, score, row_number() OVER (PARTITION
 )
 
 
-@query(with_(_ROUTED, "SELECT CAST(label AS VARCHAR) AS structure_id, detector, CASE WHEN detector LIKE 'gnm%' OR detector LIKE '%active%' THEN 'proximal' ELSE 'distal' END AS regime, node_id, CAST(pos AS INTEGER) AS pos, round(score, 6) + 0.0 AS score FROM ho WHERE pos <= 5"))
-def routed_answer(spark, sf_dir):
-    """The flagship with its SQL: the more decisive of two detectors, and the top five of each structure."""
-    from .catalogue import routed_hits
-
-    return routed_hits(spark, sf_dir).withColumn("score", F.col("score") + 0.0)
+# The flagship: the more decisive of two detectors, and the top five of each structure.
+SQL["routed_hits"] = with_(_ROUTED, "SELECT CAST(label AS VARCHAR) AS structure_id, detector, CASE WHEN detector LIKE 'gnm%' OR detector LIKE '%active%' THEN 'proximal' ELSE 'distal' END AS regime, node_id, CAST(pos AS INTEGER) AS pos, round(score, 6) + 0.0 AS score FROM ho WHERE pos <= 5")
 
 
 @query()
