@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, media, mixing, pii, simjoin, substrings, token_counts, warc
+from . import chat, decontam, fim, importance, langid, media, mixing, pii, rules, simjoin, substrings, token_counts, warc
 from .common import table
 
 
@@ -53,6 +53,19 @@ def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(table(spark, sf_dir, "documents")))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.transform(table(spark, sf_dir, "documents")))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return rules.verdicts(table(spark, sf_dir, "documents")).select(*base, "n_lines", "n_lettered", "n_shouted", "failed", "policy")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -66,6 +79,9 @@ QUERIES = {
         op8_jaccard_join,
         op9_personal_data,
         op10_length_histogram,
+        op11_fill_in_middle,
+        op12_quality_rules,
+        op13_importance_resampling,
     )
 }
 
@@ -163,4 +179,64 @@ SELECT d.doc_id, coalesce(cls.root, reps.rep, d.doc_id) AS class_id, coalesce(n_
 FROM d LEFT JOIN sets USING (doc_id) LEFT JOIN reps ON reps.key = sets.key LEFT JOIN cls ON cls.node = reps.rep LEFT JOIN deg ON deg.node = reps.rep
 """
 
-ORACLES = {"op3_substring_dedup": OP3, "op8_jaccard_join": OP8, "op4_chat_roundtrip": OP4, "op6_decontamination": OP6, "op7_warc_archive": OP7}
+OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+      WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d
+), c AS (SELECT *, len(u)::BIGINT AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b FROM u),
+p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+), t AS (SELECT k, i, w[i:i + 2] AS g FROM d, unnest(generate_series(1, len(w) - 2)) AS u(i)),
+often AS (SELECT k, g FROM t GROUP BY k, g HAVING count(*) > 1),
+r AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT t.k, unnest([i, i + 1, i + 2]) AS p FROM t JOIN often ON often.k = t.k AND often.g = t.g) GROUP BY k),
+m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines,
+    len(list_filter(w, lambda x: regexp_matches(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]')))::BIGINT AS n_lettered,
+    len(list_filter(w, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]')))::BIGINT AS n_shouted
+  FROM d LEFT JOIN r USING (k)
+), f AS (
+  SELECT *, CAST(n_words < 50 AS BIGINT) + 2 * CAST(100 * n_repeat_words > 50 * n_words AS BIGINT) + 4 * CAST(10 * n_symbols > n_words AS BIGINT) + 8 * CAST(2 * n_shouted > n_words AS BIGINT)
+    + 16 * CAST(5 * n_lettered < 4 * n_words AS BIGINT) + 32 * CAST(word_chars < 2 * n_words AS BIGINT) + 64 * CAST(word_chars > 20 * n_words AS BIGINT) + 128 * CAST(2 * n_dup_lines > n_lines AS BIGINT) AS failed FROM m
+)
+SELECT *, failed & 3 <> 0 AS base_failed, failed & 255 = 0 AS kept, 'prose-2' AS policy FROM f
+"""
+
+# The checksum is computed for distinct words only, with a table of 256 values from a recursion.
+OP13 = r"""
+WITH RECURSIVE bits AS (
+  SELECT v, 0 AS k, v::BIGINT AS c FROM range(256) t(v)
+  UNION ALL SELECT v, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE k < 8
+), tab AS (SELECT list(c ORDER BY v) AS tab FROM bits WHERE k = 8),
+d AS (SELECT row_number() OVER () AS no, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+dw AS (SELECT no, unnest(w) AS w FROM d), bw AS (SELECT unnest(w) AS w FROM b),
+hashed AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(w))), lambda i: ('0x' || hex(w)[2 * i + 1:2 * i + 2])::BIGINT)), lambda c, x: xor(c // 256, tab[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT w FROM dw UNION SELECT w FROM bw), tab
+), s AS (SELECT bucket, count(*) AS n FROM dw JOIN hashed USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM bw JOIN hashed USING (w) GROUP BY bucket),
+g AS (
+  SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM s)::DOUBLE + 10000) / ((s.n + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM t), 0)::DOUBLE + 10000))))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket)
+), q AS (SELECT no, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM dw JOIN hashed USING (w) JOIN g USING (bucket) GROUP BY no),
+x AS (
+  SELECT no, doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN q USING (no)
+), r AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) END AS place, 10 * count(*) FILTER (WHERE n_features >= 20) OVER () // 100 AS wanted FROM x)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= wanted THEN place END AS rank FROM r
+"""
+
+ORACLES = {"op11_fill_in_middle": OP11, "op12_quality_rules": OP12, "op13_importance_resampling": OP13, "op3_substring_dedup": OP3, "op8_jaccard_join": OP8, "op4_chat_roundtrip": OP4, "op6_decontamination": OP6, "op7_warc_archive": OP7}
