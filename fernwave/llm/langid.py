@@ -7,9 +7,9 @@ window (max pooling, then ReLU) feeds a softmax over the languages; a document's
 windows', weighted by their bytes.
 
 The network is fitted to windows of a bounded sample of labelled rows: about PER_LANGUAGE documents of each language,
-and IN_ALL of all together, chosen by a hash of doc_id, with up to WINDOWS_EACH windows of each. The LANGUAGES most
-frequent labels (ties by name) are learned; documents of others get the most likely one of these. Fitting sees nothing
-but text and label; predicting sees nothing but text.
+and IN_ALL at most of all together, chosen by a hash of doc_id and text, with up to WINDOWS_EACH windows of each. Every
+label is learned as long as IN_ALL allows a document of each; beyond that the most frequent ones are (ties by name).
+Fitting sees nothing but text and label; predicting sees nothing but text.
 
 Null texts and texts without a letter are `und` with score 0, and so is every text if there is nothing to learn from.
 Repeated rows get equal predictions. Null or rare labels are never predicted or are learned like any other. Other
@@ -32,7 +32,7 @@ from .common import slices, utf8
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 8
-PER_LANGUAGE, IN_ALL, LANGUAGES = 1500, 20_000, 200
+PER_LANGUAGE, IN_ALL = 1500, 20_000
 WINDOWS_EACH = 4
 STEPS = 500
 BATCH = 256
@@ -175,17 +175,26 @@ def detect(text: Column, model: Model | None) -> Column:
     return apply(text, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
 
 
-def sample_windows(docs: DataFrame, per_language: int = PER_LANGUAGE, each: int = WINDOWS_EACH) -> DataFrame:
-    """(lang, window) of about `per_language` documents of each language, fewer with very many, chosen by a hash of doc_id."""
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    share = min(per_language, IN_ALL // max(1, len(counts)))
-    known = docs.sparkSession.createDataFrame([(r["lang"], float(share) / r["n"]) for r in counts], "lang string, share double")
-    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = labelled.join(F.broadcast(known), "lang").filter(part < F.col("share"))
-    at = lambda i: F.pmod(F.xxhash64(F.col("doc_id"), i), F.greatest(F.lit(1), F.length("text") - WINDOW + 1)).cast("int") + 1
+def sample_windows(docs: DataFrame, per_language: int = PER_LANGUAGE, each: int = WINDOWS_EACH, in_all: int | None = None) -> DataFrame:
+    """(lang, window) of about `per_language` documents of each language, fewer with very many, and of `in_all` at most.
+
+    Documents are chosen by a hash of doc_id and text; rows that repeat both count once, so neither null nor repeated ids
+    nor a text that fills the table can make the draw empty or large. At least one document of each language is drawn.
+    """
+    in_all = IN_ALL if in_all is None else in_all
+    key = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("sample"))
+    part = F.shiftrightunsigned(key, 12) / float(1 << 52)
+    labelled = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", key.alias("key"), part.alias("part"))
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("key").alias("n"), F.min("part").alias("least")).orderBy(F.desc("n"), "lang").limit(in_all).collect()
+    share = min(per_language, in_all // max(1, len(counts)))
+    upto = [(r["lang"], max(float(share) / max(1, r["n"]), r["least"])) for r in counts]
+    known = docs.sparkSession.createDataFrame(upto, "lang string, upto double")
+    near = labelled.join(F.broadcast(known), "lang").filter(F.col("part") <= F.col("upto"))  # a row for each language
+    once = near.groupBy("lang", "key").agg(F.any_value("text").alias("text"), F.min(F.col("part") / F.greatest(F.col("upto"), F.col("part"))).alias("place"))
+    chosen = once.orderBy("place", "lang", "key").limit(in_all)
+    at = lambda i: F.pmod(F.xxhash64(F.col("key"), i), F.greatest(F.lit(1), F.length("text") - WINDOW + 1)).cast("int") + 1
     cut = F.transform(F.sequence(F.lit(1), F.least(F.lit(each), F.ceil(F.length("text") / WINDOW).cast("int"))), lambda i: F.substring(F.col("text"), at(i), F.lit(WINDOW)))
-    return chosen.filter(F.length("text") > 0).select("lang", F.explode(cut).alias("window"))
+    return chosen.select("lang", F.explode(cut).alias("window"))
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, steps: int = STEPS) -> Model | None:
@@ -219,8 +228,11 @@ LEAST_SCORE = 0.3
 
 
 def accepted(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The documents in which a language is recognised, with all their columns."""
+    """The documents in which a language is recognised, with all their columns; where there is nothing to learn from, all
+    that hold a letter."""
     model = fit(docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id"))))
+    if model is None:
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     seen = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), detect(F.col("text"), model).alias("_p"))
     good = seen.filter((F.col("_p.lang_pred") != UNKNOWN) & (F.col("_p.score") >= least))
     return good.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

@@ -64,9 +64,27 @@ def test_tables_of_pairs_respond_like_the_filters():
     assert np.allclose(langid.respond(model, x), plain.reshape(70, -1), atol=1e-4)
 
 
-def test_the_sample_is_bounded_and_frequent_labels_come_first(spark, monkeypatch):
-    monkeypatch.setattr(langid, "LANGUAGES", 2)
-    monkeypatch.setattr(langid, "IN_ALL", 40)
-    rows = [(i, "word " * 5, "zz" if i % 10 == 0 else "yy" if i % 3 else "xx", None, None, None) for i in range(900)]
-    got = langid.sample_windows(spark.createDataFrame(rows, SCHEMA)).groupBy("lang").count().collect()
-    assert {r.lang for r in got} == {"xx", "yy"} and sum(r["count"] for r in got) < 90
+def test_the_sample_is_bounded_and_holds_every_label_that_it_can(spark, monkeypatch):
+    rows = [(i, f"word {i} " * 5, "zz" if i % 10 == 0 else "yy" if i % 3 else "xx", None, None, None) for i in range(900)] + [(1000, "seldom", "rare", None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    drawn = lambda **how: {r.lang: r["count"] for r in langid.sample_windows(docs, each=1, **how).groupBy("lang").count().collect()}
+    got = drawn(in_all=40)
+    assert set(got) == {"xx", "yy", "zz", "rare"} and sum(got.values()) <= 40 and got["rare"] == 1
+    assert set(drawn(in_all=2)) <= {"xx", "yy"} and sum(drawn(in_all=2).values()) <= 2  # the most frequent
+    many = drawn(per_language=60)
+    assert all(30 < many[k] < 90 for k in ("xx", "yy", "zz"))
+
+
+def test_null_equal_and_copied_rows_leave_a_bounded_draw(spark, monkeypatch):
+    """Neither ids that say nothing nor a text that fills the table empty the draw or blow it up; no lettered document goes."""
+    monkeypatch.setattr(langid, "IN_ALL", 60)
+    rows = corpus(300)
+    for ids in (lambda i: None, lambda i: 7, lambda i: 1):
+        docs = spark.createDataFrame([(ids(r[0]), *r[1:]) for r in rows] + [(ids(0), "...", "aa", None, None, None)], SCHEMA)
+        drawn = langid.sample_windows(docs.select("doc_id", "text", "lang"), each=1).groupBy("lang").count().collect()
+        assert sum(r["count"] for r in drawn) <= 60 and {r.lang for r in drawn if r["count"] > 5} == set(LETTERS)
+        assert langid.accepted(docs).count() == 300
+    copies = spark.createDataFrame([(7, "ka to ni ra mo", "aa", None, None, None)] * 500 + rows[:100], SCHEMA)
+    drawn = langid.sample_windows(copies, each=1).collect()
+    assert len(drawn) <= 60 and {r.lang for r in drawn} == set(LETTERS)
+    assert langid.accepted(copies).count() == 600
