@@ -129,7 +129,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFram
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans) for every row of docs."""
     windows = benchmark_windows(benchmark, n)
     # Rows with the same doc_id and another text are judged each by its own.
-    seen = scanned(docs.select("doc_id", "text", F.xxhash64("text").alias("_text")), windows, ["doc_id", "_text"])
+    seen = scanned(docs.select("doc_id", "text", F.sha2("text", 256).alias("_text")), windows, ["doc_id", "_text"])
     hit = F.when(F.col("length").isNotNull(), F.struct("at", "length"))
     grouped = seen.groupBy("doc_id", "_text").agg(
         F.max("n_words").alias("n_words"),
@@ -152,6 +152,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFram
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
     # By text, not by doc_id: rows with a null or repeated doc_id are judged each by its own.
-    key = F.xxhash64("text")
+    key = F.sha2(F.col("text"), 256)
     bad = contamination(docs.select(key.alias("doc_id"), "text"), benchmark, n).filter("contaminated").select(F.col("doc_id").alias("_bad"))
     return docs.join(bad, key == F.col("_bad"), "left_anti")

@@ -366,8 +366,9 @@ def similarity_classes(docs: DataFrame, size: int = SIZE, threshold: tuple[int,
 def one_a_class(docs: DataFrame, **how) -> DataFrame:
     """One document of each class, with all its columns: the least by (doc_id, hash of text), a null doc_id last.
 
-    Rows are told apart by (doc_id, text), as one 64-bit hash, so neither null nor repeated doc_ids lose a text of
-    their own; rows equal in both are one document, of which the least row stays. Documents without words are never
+    Rows are told apart by (doc_id, text), so neither null nor repeated doc_ids lose a text of their own; rows equal in
+    both are one document, of which the least row stays. They are named by a 64-bit hash; should two of them share one,
+    as their SHA-256 tells, both stay. Documents without words are never
     linked: with a null doc_id each row is one of its own. Columns must be sortable.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
@@ -375,11 +376,14 @@ def one_a_class(docs: DataFrame, **how) -> DataFrame:
     rest = docs.filter(~own)
     key = F.xxhash64("doc_id", F.col("text").isNull(), "text")
     # Sums up in the tasks first, so that a row repeated very often costs its task one row for each other task.
-    rows = rest.groupBy(key.alias("_key")).agg(F.min(F.struct(*columns)).alias("_row"))
+    digest = F.sha2("text", 256)
+    rows = rest.groupBy(key.alias("_key"), digest.alias("_digest")).agg(F.min(F.struct(*columns)).alias("_row"))
     keyed = rest.select(key.alias("doc_id"), "text")
     classes = similarity_classes(keyed, **how).select(F.col("doc_id").alias("_of"), "class_id").distinct()
-    names = rest.select(key.alias("_name"), "doc_id", F.xxhash64("text").alias("_text")).distinct()
+    names = rest.select(key.alias("_name"), "doc_id", digest.alias("_text")).distinct()
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("_text"), F.col("_name"))
     stay = names.join(classes, F.col("_name") == F.col("_of")).groupBy("class_id").agg(F.min(order).alias("least")).select(F.col("least._name").alias("_stay"))
+    shared = names.groupBy(F.col("_name").alias("_stay")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_stay")
+    stay = stay.unionByName(shared)
     kept = rows.join(stay, F.col("_key") == F.col("_stay"), "left_semi").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
     return kept.unionByName(docs.filter(own))

@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import durable, shared_dir
 
 LEAST = 1000
 DATE = "1970-01-01T00:00:00Z"
@@ -57,7 +57,8 @@ def write_archive(pages: DataFrame, path: str, least: int = LEAST) -> None:
     keyed.groupBy("digest").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
     light = keyed.withColumn("sha1", F.sha1("payload")).select("page_id", "url", "digest", "n_bytes", "sha1")
     newest = light.filter(F.col("n_bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("response_id"))
-    joined = light.join(newest, "digest", "left")
+    # Written first: what it is joined with can then be split where very many pages share a payload.
+    joined = light.join(durable(newest), "digest", "left")
     revisit = F.col("response_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_id"))
     joined.select(F.when(revisit, _header("revisit")).otherwise(_header("response")).alias("header"), "digest").write.parquet(f"{path}/records")
 
