@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +17,32 @@ LOW = 0.02425
 E = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
 
 
+#: Scores are told apart by so many digits, and from zero by this: beyond that lies the noise of linear algebra.
+DIGITS, NOISE = 9, 1e-14
+
+
+def significant(x: Column, digits: int = DIGITS) -> Column:
+    """x to so many significant digits, so that what is equal in exact arithmetic is equal wherever it was computed."""
+    x = x.cast("double")
+    scale = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(F.abs(x))))
+    finite = ~F.isnan(x) & (F.abs(x) != float("inf"))
+    return F.when(F.abs(x) <= NOISE, 0.0).when(finite, F.rint(x * scale) / scale).otherwise(x)
+
+
+def significant_array(x: np.ndarray, digits: int = DIGITS) -> np.ndarray:
+    """The same for an array."""
+    x = np.asarray(x, float)
+    plain = np.isfinite(x) & (np.abs(x) > NOISE)
+    scale = 10.0 ** (digits - 1 - np.floor(np.log10(np.abs(np.where(plain, x, 1.0)))))
+    return np.where(plain, np.rint(np.where(plain, x, 0.0) * scale) / scale, np.where(np.abs(x) <= NOISE, 0.0, x))
+
+
+def significant_sql(x: str, digits: int = DIGITS) -> str:
+    """The same in SQL."""
+    scale = f"pow(10.0::DOUBLE, {digits - 1} - floor(log10(abs({x}))))"
+    return f"CASE WHEN abs({x}) <= {NOISE!r}::DOUBLE THEN 0.0 WHEN isfinite({x}) THEN round_even({x} * {scale}, 0) / {scale} ELSE {x} END"
+
+
 def _poly(coefficients, x: Column) -> Column:
     out = F.lit(coefficients[0])
     for c in coefficients[1:]:

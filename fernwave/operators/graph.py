@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut_lineage
+from ..functions.ranks import row_numbers
+
 S = "structure_id"
 
 
@@ -30,15 +36,87 @@ def contact_edges(nodes: DataFrame, cutoff: float = 8.0) -> DataFrame:
     return a.join(b, [S, "cx", "cy", "cz"]).filter((F.col("a_node_id") != F.col("b_node_id")) & (_squared() <= cutoff * cutoff)).select(S, F.col("a_node_id").alias("i"), F.col("b_node_id").alias("j"))
 
 
-def knn_edges(nodes: DataFrame, k: int = 10) -> DataFrame:
-    """Each node with its k nearest (ties: smaller id), made symmetric. Structures are bounded, so pairs are joined within them."""
-    a, b = _sides(nodes)
-    order = Window.partitionBy(S, "a_node_id").orderBy("d2", "b_node_id")
-    near = a.join(b, S).filter("a_node_id <> b_node_id").withColumn("d2", _squared()).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
-    one = near.select(S, F.col("a_node_id").alias("i"), F.col("b_node_id").alias("j"))
+def knn_edges(nodes: DataFrame, k: int = 10, bounded: bool = True) -> DataFrame:
+    """Each node with its k nearest (ties: smaller id), made symmetric.
+
+    Bounded structures (thousands of nodes) are joined with themselves; others are searched by cells.
+    """
+    if bounded:
+        a, b = _sides(nodes)
+        order = Window.partitionBy(S, "a_node_id").orderBy("d2", "b_node_id")
+        near = a.join(b, S).filter("a_node_id <> b_node_id").withColumn("d2", _squared()).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
+        one = near.select(S, F.col("a_node_id").alias("i"), F.col("b_node_id").alias("j"))
+    else:
+        one = nearest(nodes, k).select(S, "i", "j")
     return one.unionByName(one.select(S, F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
 
 
+#: The finest cells are a structure's extent over two to this power.
+FINEST = 20
+
+
+def _at(level: Column, axis: str) -> Column:
+    """The cell of a level along an axis, from the finest one's."""
+    return F.call_function("shiftright", F.col(f"c{axis}"), F.lit(FINEST) - level)
+
+
+def celled(nodes: DataFrame) -> DataFrame:
+    """(structure_id, node_id, x, y, z, span, cx, cy, cz): each node's finest cell; the coarser ones are its shifts."""
+    ends = [f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo_", F.min), ("hi_", F.max))]
+    box = nodes.groupBy(S).agg(*ends)
+    span = F.greatest(*[F.col(f"hi_{c}") - F.col(f"lo_{c}") for c in "xyz"])
+    box = box.select(F.col(S).alias("_of"), *[f"lo_{c}" for c in "xyz"], F.when(span > 0, span).otherwise(1.0).alias("span"))
+    cell = lambda c: F.least(F.floor((F.col(c) - F.col(f"lo_{c}")) / F.col("span") * float(1 << FINEST)), F.lit((1 << FINEST) - 1)).cast("int").alias(f"c{c}")
+    return nodes.join(box, F.col(S) == F.col("_of")).select(S, "node_id", "x", "y", "z", "span", *[cell(c) for c in "xyz"])
+
+
+def own_levels(points: DataFrame, least: int) -> DataFrame:
+    """(structure_id, node_id, level): the finest level at which the node's cell holds so many nodes, or the whole at 0."""
+    level = F.col("level")
+    key = [S, "level", *[f"k{c}" for c in "xyz"]]
+    every = points.select(S, "node_id", *[f"c{c}" for c in "xyz"], F.explode(F.sequence(F.lit(0), F.lit(FINEST))).alias("level")).select(S, "node_id", "level", *[_at(level, c).alias(f"k{c}") for c in "xyz"])
+    full = every.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= least) | (level == 0))
+    return every.join(full, key, "left_semi").groupBy(S, "node_id").agg(F.max("level").alias("level"))
+
+
+def looked_at(queries: DataFrame, points: DataFrame) -> DataFrame:
+    """Pairs of each query (with its level) and the points of the 27 cells around it: an equi-join on cells."""
+    around = F.array(*[F.struct(*[F.lit(d).alias(f"d{c}") for c, d in zip("xyz", (u, v, w), strict=True)]) for u in (-1, 0, 1) for v in (-1, 0, 1) for w in (-1, 0, 1)])
+    level = F.col("level")
+    a = queries.select(S, "level", "span", *[F.col(c).alias(f"a_{c}") for c in ("node_id", "x", "y", "z")], *[f"c{c}" for c in "xyz"], F.explode(around).alias("o"))
+    a = a.select(S, "level", "span", *[f"a_{c}" for c in ("node_id", "x", "y", "z")], *[(_at(level, c) + F.col(f"o.d{c}")).alias(f"k{c}") for c in "xyz"])
+    used = sorted(r.level for r in queries.select("level").distinct().collect())  # at most FINEST + 1
+    b = points.select(S, *[F.col(c).alias(f"b_{c}") for c in ("node_id", "x", "y", "z")], *[f"c{c}" for c in "xyz"], F.explode(F.array(*[F.lit(v) for v in used])).alias("level"))
+    b = b.select(S, "level", *[f"b_{c}" for c in ("node_id", "x", "y", "z")], *[_at(level, c).alias(f"k{c}") for c in "xyz"])
+    return a.join(b, [S, "level", *[f"k{c}" for c in "xyz"]]).filter("a_node_id <> b_node_id")
+
+
+def nearest(nodes: DataFrame, k: int = 10) -> DataFrame:
+    """(structure_id, i, j, d2): each node's k nearest, for structures of any size (ties: smaller id).
+
+    A node looks into the 27 cells around its own, of the finest size at which its own cell holds a few nodes. It is done
+    when its k-th neighbour is nearer than a cell is wide, as whatever lies outside is farther; the others look again with
+    cells of twice that width. Of nodes at one place only the first k + 1 are looked at.
+    """
+    points = cut_lineage(celled(nodes))
+    first = Window.partitionBy(S, "x", "y", "z").orderBy("node_id")
+    seen = cut_lineage(points.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k + 1).drop("_r"))
+    left = cut_lineage(points.join(own_levels(points, max(2, k // 4)), [S, "node_id"]))
+    order = Window.partitionBy(S, "a_node_id").orderBy("d2", "b_node_id")
+    done = []
+    while not left.isEmpty():
+        best = looked_at(left, seen).withColumn("d2", _squared()).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
+        width = F.col("span") / F.pow(F.lit(2.0), F.col("level")) * (1 - 1e-9)
+        sure = Window.partitionBy(S, "a_node_id")
+        best = best.withColumn("ok", (F.col("level") == 0) | ((F.max("r").over(sure) == k) & (F.max("d2").over(sure) < width * width)))
+        best = cut_lineage(best.select(S, F.col("a_node_id").alias("i"), F.col("b_node_id").alias("j"), "d2", "ok"))
+        done.append(best.filter("ok").drop("ok"))
+        settled = best.filter("ok").select(S, F.col("i").alias("node_id")).distinct()
+        # At level 0 every other node was seen, also where there are none.
+        left = cut_lineage(left.filter("level > 0").join(settled, [S, "node_id"], "left_anti").withColumn("level", F.col("level") - 1))
+    return reduce(DataFrame.unionByName, done) if done else points.select(S, F.col("node_id").alias("i"), F.col("node_id").alias("j"), F.lit(0.0).alias("d2")).limit(0)
+
+
 def build_graph(nodes: DataFrame, kind: str = "cutoff", **how) -> DataFrame:
     if kind not in ("cutoff", "knn"):
         raise ValueError(f"unknown graph {kind!r}")
@@ -111,16 +189,51 @@ def graph_distance(nodes: DataFrame, edges: DataFrame, most: int | None = None)
     return nodes.select(S, "node_id").groupBy(S).cogroup(edges.select(F.col(S).alias("_of"), "i", "j").groupBy("_of")).applyInPandas(run, f"{S} string, i long, j long, d int")
 
 
+#: Rounds of a breadth-first search between two checkpoints.
+ROUNDS = 4
+
+
+def reached(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(structure_id, node_id, d, n): how many nodes are d hops from each, by a breadth-first search from all at once.
+
+    Sources are bits: a row (node, block of 64 sources) holds those that have come to the node, and those that have just
+    come. In a round each row goes to itself and, with what has just come, to the neighbours, and rows are united by
+    bitwise or: one join and one aggregate a round, for structures of any size. Nothing is as large as the pairs of nodes
+    but their bits.
+    """
+    numbered = row_numbers(nodes.select(S, "node_id"), [S], [F.col("node_id")], "_no")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_no") % 64).cast("int"))
+    state = cut_lineage(numbered.select(S, "node_id", F.floor(F.col("_no") / 64).alias("block"), bit.alias("seen"), bit.alias("new")))
+    links = edges.select(S, F.col("i").alias("node_id"), F.col("j").alias("to"), F.lit(False).alias("own"))
+    links = cut_lineage(links.unionByName(nodes.select(S, "node_id", F.col("node_id").alias("to"), F.lit(True).alias("own"))).distinct())
+    parts, d = [state.select(S, "node_id", F.lit(0).alias("d"), F.lit(1).cast("long").alias("n"))], 0
+    while True:
+        counted: list[str] = []
+        for _ in range(ROUNDS):
+            d += 1
+            sent = state.join(links, [S, "node_id"]).filter("own OR new <> 0")
+            own = lambda c: F.when(F.col("own"), F.col(c))
+            got = sent.groupBy(S, F.col("to").alias("node_id"), "block").agg(F.coalesce(F.bit_or(own("seen")), F.lit(0)).alias("seen"), F.coalesce(F.bit_or(F.when(~F.col("own"), F.col("new"))), F.lit(0)).alias("came"), *[F.coalesce(F.max(own(c)), F.lit(0)).alias(c) for c in counted])
+            new = F.col("came").bitwiseAND(F.bitwise_not("seen"))
+            state = got.select(S, "node_id", "block", F.col("seen").bitwiseOR(F.col("came")).alias("seen"), new.alias("new"), *counted, F.bit_count(new).cast("long").alias(f"n{d}"))
+            counted.append(f"n{d}")
+        state = cut_lineage(state)
+        each = F.array(*[F.struct(F.lit(int(c[1:])).alias("d"), F.col(c).alias("n")) for c in counted])
+        parts.append(state.select(S, "node_id", F.explode(each).alias("r")).select(S, "node_id", "r.d", "r.n").filter("n > 0"))
+        state = state.select(S, "node_id", "block", "seen", "new")
+        if state.filter("new <> 0").isEmpty():
+            return reduce(DataFrame.unionByName, parts).groupBy(S, "node_id", "d").agg(F.sum("n").alias("n"))
+
+
 def distance_histogram(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(structure_id, d, pairs): pairs of nodes by their hops; each structure's are counted in its task."""
+    """(structure_id, d, pairs): pairs of nodes by their hops."""
+    return reached(nodes, edges).groupBy(S, "d").agg(F.sum("n").alias("pairs"))
 
-    def run(key: tuple, ns: pd.DataFrame, es: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(ns["node_id"].to_numpy())
-        d = hop_matrix(np.searchsorted(ids, es["i"]), np.searchsorted(ids, es["j"]), len(ids))
-        d, n = np.unique(d[d >= 0], return_counts=True)
-        return pd.DataFrame({S: key[0], "d": d.astype(np.int32), "pairs": n})
 
-    return nodes.select(S, "node_id").groupBy(S).cogroup(edges.select(F.col(S).alias("_of"), "i", "j").groupBy("_of")).applyInPandas(run, f"{S} string, d int, pairs long")
+def reach_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """As `centrality`, from the search of all nodes at once; edges are stored in both directions."""
+    far = reached(nodes, edges).groupBy(S, "node_id").agg(F.sum(F.col("d") * F.col("n")).alias("hops"), F.sum("n").alias("n"))
+    return far.select(S, "node_id", (F.col("hops") / F.col("n")).alias("centrality"))
 
 
 def two_hops(nodes: DataFrame, edges: DataFrame) -> DataFrame:

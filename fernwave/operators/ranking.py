@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import significant
 from .graph import S
 
 
 def finalize(scores: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
-    """Adds `pos`: 1 is best, ties go to the smaller id; null for excluded nodes and scores that are not finite."""
+    """Adds `pos`: 1 is best, ties (of nine digits) go to the smaller id; null for excluded nodes and scores that are not finite."""
     x = scores.withColumn("_out", F.lit(False)) if excluded is None else scores.join(excluded.select(S, "node_id").distinct().withColumn("_e", F.lit(True)), [S, "node_id"], "left").withColumn("_out", F.coalesce("_e", F.lit(False))).drop("_e")
     finite = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") != float("inf"))
     x = x.withColumn("_out", F.col("_out") | ~F.coalesce(finite, F.lit(False)))
-    order = Window.partitionBy(S, "_out").orderBy(F.desc("score"), "node_id")
+    order = Window.partitionBy(S, "_out").orderBy(significant(F.col("score")).desc(), "node_id")
     return x.withColumn("pos", F.when(~F.col("_out"), F.row_number().over(order))).drop("_out")
 
 
@@ -79,14 +80,14 @@ def decisiveness(scores: DataFrame, *by: str) -> DataFrame:
 def route(scores: DataFrame) -> DataFrame:
     """The detector with the most decisive scores of each structure, and its regime."""
     d = decisiveness(scores, "detector")
-    order = Window.partitionBy(S).orderBy(F.desc("decisiveness"), "detector")
+    order = Window.partitionBy(S).orderBy(significant(F.col("decisiveness")).desc(), "detector")
     best = d.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
     return best.withColumn("regime", F.when(F.col("detector").startswith("gnm") | F.contains("detector", F.lit("active")), "proximal").otherwise("distal"))
 
 
 def rank_percent(values: DataFrame, col: str, *by: str) -> DataFrame:
     """(row number - 1) / (n - 1) in ascending order, ties by id."""
-    w, o = Window.partitionBy(S, *by), Window.partitionBy(S, *by).orderBy(col, "node_id")
+    w, o = Window.partitionBy(S, *by), Window.partitionBy(S, *by).orderBy(significant(F.col(col)), "node_id")
     return values.withColumn(f"{col}_pct", (F.row_number().over(o) - 1) / F.greatest(F.lit(1), F.count(F.lit(1)).over(w) - 1))
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import erfc
+from ..functions import erfc, significant
 from ..functions.ranks import running_sums
 from .graph import S
 
@@ -15,9 +15,9 @@ from .graph import S
 def by_score(x: DataFrame, *by: str) -> DataFrame:
     """(structure_id, by, score, n1, n0, below, lower): positives and negatives of each score, and all and negatives below it.
 
-    Rows are counted by score first; only the distinct scores are put in order, in ranges over all tasks.
+    Rows are counted by score (to nine digits) first; only the distinct scores are put in order, in ranges over all tasks.
     """
-    counts = x.groupBy(S, *by, F.col("score").cast("double").alias("score")).agg(F.sum("y01").cast("double").alias("n1"), F.sum(1 - F.col("y01")).cast("double").alias("n0"))
+    counts = x.groupBy(S, *by, significant(F.col("score")).alias("score")).agg(F.sum("y01").cast("double").alias("n1"), F.sum(1 - F.col("y01")).cast("double").alias("n0"))
     return running_sums(counts, [S, *by], [F.col("score")], {"below": F.col("n1") + F.col("n0"), "lower": F.col("n0")})
 
 

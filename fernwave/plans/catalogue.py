@@ -100,6 +100,22 @@ def knn_edges(spark, sf_dir):
     return structures(spark, sf_dir)[1]
 
 
+ALL_KNN = NODES + """,
+near AS (SELECT a.node_id AS i, b.node_id AS j, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM nodes a JOIN nodes b ON a.node_id <> b.node_id),
+best AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d2, j) AS r FROM near)"""
+
+
+@query(with_(ALL_KNN, "SELECT i, j, round(d2, 6) AS d2 FROM best WHERE r <= 10"))
+def nearest_of_all(spark, sf_dir):
+    """The ten nearest of every point in one structure of all points, by cells."""
+    return graph.nearest(embedding_nodes(spark, sf_dir), 10).select("i", "j", F.round("d2", 6).alias("d2"))
+
+
+@query(with_(ALL_KNN, "SELECT i, j FROM best WHERE r <= 6 UNION SELECT j, i FROM best WHERE r <= 6"))
+def knn_edges_of_all(spark, sf_dir):
+    return graph.knn_edges(embedding_nodes(spark, sf_dir), 6, bounded=False).select("i", "j")
+
+
 def _coo(kind: str, **how):
     def run(spark, sf_dir):
         return graph.hamiltonian(*points(spark, sf_dir), kind, **how).select("i", "j", F.round("v", 6).alias("v"))
@@ -136,7 +152,7 @@ def graph_distance_hist(spark, sf_dir):
 
 @query(with_(REACH, "SELECT i AS node_id, round(avg(d::DOUBLE), 6) AS centrality FROM gdist GROUP BY i"))
 def graph_centrality(spark, sf_dir):
-    return graph.centrality(graph.graph_distance(*structures(spark, sf_dir))).select("node_id", F.round("centrality", 6).alias("centrality"))
+    return graph.reach_centrality(*structures(spark, sf_dir)).select("node_id", F.round("centrality", 6).alias("centrality"))
 
 
 @query(with_(EDGES, "SELECT count(*) AS pairs FROM (SELECT a.i, b.j FROM edges a JOIN edges b ON a.j = b.i UNION SELECT i, j FROM edges UNION SELECT node_id, node_id FROM nodes)"))

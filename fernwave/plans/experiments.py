@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import significant_array
 from ..functions.lineage import cut_lineage
 from ..operators import features, graph, learned, ranking, scoring, spectral
 from ..operators.graph import S
@@ -50,6 +51,7 @@ GRID = (
     Detector("A_active_zscore", "time_avg", ranking="zscore"),
 )
 CONSENSUS = ("LST_logf_interf", "LST_logf_coherent", "A_active_zabs", "Q_communic_band")
+#: Channels that are left out, and those that hold phases.
 BALLAST = ("coherent", "communic", "interf_T40")
 PHASE = ("interf_T10", "interf_T20", "quadrature", "phase_coh", "gauge_coh", "gauge_interf")
 #: Hit-list variants: the detector of the first, and the pool of the adaptive one.
@@ -108,7 +110,7 @@ def _score(s: spectral.Structure, d: Detector) -> np.ndarray:
 
     if not d.scales:
         return one(d.value, d.params)
-    places = [np.argsort(np.argsort(-one(v, p), kind="stable")) for v, p in d.scales]
+    places = [np.argsort(np.argsort(-significant_array(one(v, p)), kind="stable")) for v, p in d.scales]
     return -np.mean(places, axis=0)
 
 

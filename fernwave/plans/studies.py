@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import significant_sql
 from ..functions.lineage import cut_lineage, shared_folder
 from ..operators import features, graph, learned, ranking, scoring, spectral
 from ..operators.graph import S
@@ -326,8 +327,8 @@ _ROUTED = (
 near_ AS (SELECT n.node_id, abs(coalesce(sum(m.v) FILTER (WHERE o.is_active), 0.0)) AS score FROM nodes n LEFT JOIN gi m ON m.i = n.node_id LEFT JOIN nodes o ON o.node_id = m.j GROUP BY 1),
 det AS (SELECT label, node_id, 'interference' AS detector, far.score FROM far JOIN nodes USING (node_id) UNION ALL SELECT label, node_id, 'gnm_active', near_.score FROM near_ JOIN nodes USING (node_id)),
 kk AS (SELECT label, detector, CASE WHEN stddev_pop(score) < 1e-12 THEN 0.0 ELSE kurtosis_pop(score) + 3.0 END AS k FROM det GROUP BY 1, 2),
-bb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY k DESC, detector) AS r FROM kk) WHERE r = 1),
-ho AS (SELECT det.label, detector, node_id, score, row_number() OVER (PARTITION BY det.label ORDER BY score DESC, node_id) AS pos FROM det JOIN bb USING (label, detector) JOIN nodes USING (node_id) WHERE NOT is_active)"""
+bb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {significant_sql('k')} DESC, detector) AS r FROM kk) WHERE r = 1),
+ho AS (SELECT det.label, detector, node_id, score, row_number() OVER (PARTITION BY det.label ORDER BY {significant_sql('score')} DESC, node_id) AS pos FROM det JOIN bb USING (label, detector) JOIN nodes USING (node_id) WHERE NOT is_active)"""
 )
 
 

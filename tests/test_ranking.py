@@ -105,3 +105,29 @@ def test_lists_shorter_than_k_have_no_hits_of_k(spark):
     r = spark.createDataFrame([("s", i, int(i == 1), i + 1) for i in range(6)], "structure_id string, node_id long, y01 int, pos int")
     x = scoring.hits(r).first()
     assert (x.hit_5, x.n_hits_5, x.hit_10, x.n_hits_10, x.enrichment_10) == (1, 1, None, None, None)
+
+
+def test_what_is_equal_in_exact_arithmetic_ties(spark):
+    """On a ring all nodes are alike: scores from an eigensystem differ in their last digits, and the smaller id comes first."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from fernwave.functions import significant, significant_array, significant_sql
+    from fernwave.operators import spectral
+
+    n = 30
+    nodes = spark.createDataFrame([("r", k, 0.0, 0.0, 0.0) for k in range(n)], "structure_id string, node_id long, x double, y double, z double")
+    edges = spark.createDataFrame([("r", k, (k + s) % n) for k in range(n) for s in (1, -1)], "structure_id string, i long, j long")
+    scores = spectral.band_scores(nodes, edges, "interference", "laplacian", None, 3).cache()
+    assert scores.select("score").distinct().count() > 1  # the noise is there
+    assert [r.node_id for r in ranking.finalize(scores).orderBy("pos").collect()] == list(range(n))
+    pct = ranking.rank_percent(scores, "score").orderBy("node_id").collect()
+    assert [r.score_pct for r in pct] == [k / (n - 1) for k in range(n)]
+
+    import duckdb
+
+    values = [0.0, -0.0, 1e-17, 0.009739318896733525, 0.009739318896733518, -123456789.49999, 1e300, -2.5e-9, 0.1 + 0.2, float("inf")]
+    a = [r.v for r in spark.createDataFrame([(v,) for v in values], "v double").select(significant(F.col("v")).alias("v")).collect()]
+    b = significant_array(np.array(values)).tolist()
+    c = [duckdb.sql(f"SELECT {significant_sql('v')} FROM (SELECT {v!r}::DOUBLE AS v)".replace("inf", "'inf'")).fetchall()[0][0] for v in values]
+    assert np.allclose(a, b, rtol=1e-15) and np.allclose(a, c, rtol=1e-15) and a[3] == a[4] and a[2] == 0
