@@ -88,6 +88,27 @@ def solved(sums: DataFrame, n_cols: int, penalty: float) -> DataFrame:
     return sums.groupBy(S).applyInPandas(run, f"{S} string, c array<double>")
 
 
+def sparse_solved(sums: DataFrame, n_cols: int, threshold: float = 0.05, penalty: float = 1.0, rounds: int = 10) -> DataFrame:
+    """(structure_id, c): as `solved`, refitted to the channels whose coefficients stay above a threshold; 0 for the others."""
+
+    def run(key, pdf):
+        g = np.zeros((n_cols + 2, n_cols + 2))
+        g[pdf["a"], pdf["b"]] = g[pdf["b"], pdf["a"]] = pdf["v"]
+        moment = g[1, 2:] - g[0, 1] / max(g[0, 0], 1.0) * g[0, 2:]
+        m, c = g[2:, 2:] + penalty * np.eye(n_cols), np.zeros(n_cols)
+        left = np.arange(n_cols)
+        c[left] = np.linalg.solve(m, moment)
+        for _ in range(rounds):
+            left = left[np.abs(c[left]) >= threshold]
+            c[:] = 0.0
+            if not len(left):
+                break
+            c[left] = np.linalg.solve(m[np.ix_(left, left)], moment[left])
+        return pd.DataFrame({S: [key[0]], "c": [c.tolist()]})
+
+    return sums.groupBy(S).applyInPandas(run, f"{S} string, c array<double>")
+
+
 def others(sums: DataFrame) -> DataFrame:
     """Sums over all structures but each one: the total less its own."""
     total = sums.groupBy("a", "b").agg(F.sum("v").alias("all"))
@@ -353,11 +374,11 @@ def boosted_transfer(x: DataFrame, cols: list[str], trees: int = 200, lean: int
 
 
 def sin_log(x: Column) -> Column:
-    return F.sin(F.log1p(F.abs(x)))
+    return F.sin(F.log(F.abs(x) + 1e-6))
 
 
 def soft_threshold(x: Column) -> Column:
-    return 1.0 / (1.0 + F.exp(-4.0 * x))
+    return 1.0 / (1.0 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), 4.0 * x))))
 
 
 def interfere(x: Column, y: Column) -> Column:

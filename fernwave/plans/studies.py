@@ -195,7 +195,7 @@ def channel_usage(spark, sf_dir):
 
 def _term_sql(c: str, d: str | None = None) -> dict[str, str]:
     if d is None:
-        return {f"sinlog({c})": f"sin(ln(1 + abs({c})))", f"thr({c})": f"1.0::DOUBLE / (1 + exp(-4.0::DOUBLE * {c}))"}
+        return {f"sinlog({c})": f"sin(ln(abs({c}) + 1e-6::DOUBLE))", f"thr({c})": f"1.0::DOUBLE / (1 + exp(-greatest(-30.0::DOUBLE, least(30.0::DOUBLE, 4.0::DOUBLE * {c}))))"}
     return {f"interf({c},{d})": f"cos({c} - {d})", f"reso({c},{d})": f"exp(-(({c} - {d}) * ({c} - {d})))"}
 
 
