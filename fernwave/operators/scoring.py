@@ -63,28 +63,101 @@ def uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
 
 
+# The multipliers of a published 32-bit mixing function, and of the golden ratio's sequence.
+MIX, GOLDEN = (0x7FEB352D, 0x846CA68B), 0x9E3779B9
+#: The cumulative Poisson distribution with mean 1: values above 7 have probability 1e-5.
+POISSON = tuple(float(v) for v in np.cumsum(0.36787944117144233 / np.cumprod([1, *range(1, 7)])))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A hash of 32-bit numbers (held as uint64)."""
+    low = np.uint64(0xFFFFFFFF)
+    for shift, times in ((16, MIX[0]), (15, MIX[1])):
+        x = ((x ^ (x >> np.uint64(shift))) * np.uint64(times)) & low
+    return x ^ (x >> np.uint64(16))
+
+
+def weights(a: np.ndarray, b: np.ndarray, replicates: int) -> np.ndarray:
+    """(rows, replicates): how often each row, named by two 32-bit numbers, is drawn in each replicate."""
+    step = (np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(GOLDEN)) & np.uint64(0xFFFFFFFF)
+    h = mixed(mixed((a.astype(np.uint64)[:, None] + step) & np.uint64(0xFFFFFFFF)) ^ b.astype(np.uint64)[:, None])
+    return np.searchsorted(np.array(POISSON), (h + 0.5) / float(1 << 32), "right").astype(np.int64)
+
+
 def bootstrap_auc(x: DataFrame, replicates: int = 2000, seed: int = 0) -> DataFrame:
     """(structure_id, ci_low, ci_high): each class resampled with replacement, by Poisson weights of hashed draws.
 
-    Replicates are rows that are spread over tasks; a weight stands for how often a row is drawn. Weights are summed by
-    score before scores are put in order.
+    Rows are dealt to tasks by ranges of (structure, score, id). A task draws all replicates of its rows as vectors and
+    leaves, for each structure, three rows of sums: for its first and last score, which neighbours may share, and for all
+    between. These few rows are put together by structure, so one score or structure may hold any share of all rows.
     """
-    u = uniform(F.col("node_id"), F.col("replicate"), F.lit(seed))
-    # Poisson(1) by its cumulative distribution: values above 7 have probability 1e-5.
-    cdf, p, w = 0.0, 0.36787944117144233, F.lit(7)
-    steps = []
-    for k in range(7):
-        cdf += p
-        p /= k + 1
-        steps.append((k, cdf))
-    for k, c in reversed(steps):
-        w = F.when(u < c, k).otherwise(w)
-    many = x.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", w.cast("double")).filter("w > 0")
-    drawn = many.groupBy(S, "replicate", F.col("score").cast("double").alias("score")).agg(F.sum(F.col("w") * F.col("y01")).alias("n1"), F.sum(F.col("w") * (1 - F.col("y01"))).alias("n0"))
-    ranked = running_sums(drawn, [S, "replicate"], [F.col("score")], {"lower": F.col("n0")})
-    both = F.sum("n1") * F.sum("n0")
-    auc = ranked.groupBy(S, "replicate").agg(F.when(both > 0, F.sum(F.col("n1") * (F.col("lower") + F.col("n0") / 2.0)) / both).alias("auc"))
-    return auc.groupBy(S).agg(F.percentile("auc", 0.025).alias("ci_low"), F.percentile("auc", 0.975).alias("ci_high"))
+    n = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = F.md5(F.concat_ws(":", F.col("node_id").cast("string"), F.lit(str(seed))))
+    part = lambda k: F.conv(F.substring(named, 1 + 8 * k, 8), 16, 10).cast("long")
+    rows = x.filter("score IS NOT NULL AND y01 IS NOT NULL").select(S, significant(F.col("score")).alias("score"), "node_id", F.col("y01").cast("int").alias("y01"), part(0).alias("a"), part(1).alias("b"))
+    dealt = rows.repartitionByRange(n, S, "score", "node_id").sortWithinPartitions(S, "score", "node_id").withColumn("part", F.spark_partition_id())
+
+    def draw(batches):
+        def done():
+            kept = [first, middle, last] if last is not None else [first]
+            return pd.DataFrame([(of, at, k, *v) for k, v in enumerate(kept) if v is not None], columns=["of", "part", "k", "score", "n1", "n0", "won"])
+
+        def closed(group):
+            """A score's rows: half of its own pairs are won."""
+            return group[0], group[1], group[2], group[1] * group[2] / 2
+
+        of, first, middle, last, group, at = None, None, None, None, None, 0
+        for pdf in batches:
+            for lo in range(0, len(pdf), 512):
+                piece = pdf.iloc[lo : lo + 512]
+                w, y = weights(piece["a"].to_numpy(), piece["b"].to_numpy(), replicates), piece["y01"].to_numpy() > 0
+                keys = list(zip(piece[S], piece["score"], strict=True))
+                starts = [0, *[k for k in range(1, len(keys)) if keys[k] != keys[k - 1]], len(keys)]
+                for u, v in zip(starts, starts[1:], strict=False):
+                    s, score = keys[u]
+                    n1, n0 = w[u:v][y[u:v]].sum(0).astype(float), w[u:v][~y[u:v]].sum(0).astype(float)
+                    if group is not None and (of, group[0]) == (s, score):
+                        group = (score, group[1] + n1, group[2] + n0)
+                        continue
+                    if group is not None:  # what is open is over: it goes to the first place, or among those between
+                        if s != of:
+                            first, last = (closed(group), None) if first is None else (first, closed(group))
+                            yield done()
+                            first = middle = last = None
+                        elif first is None:
+                            first = closed(group)
+                        else:
+                            _, a1, a0, won = closed(group)
+                            m = middle or (None, 0.0, 0.0, 0.0)
+                            middle = (None, m[1] + a1, m[2] + a0, m[3] + won + a1 * m[2])
+                    of, group, at = s, (score, n1, n0), int(piece["part"].iloc[0])
+        if group is not None:
+            first, last = (closed(group), None) if first is None else (first, closed(group))
+            yield done()
+
+    def combine(key, pdf):
+        pdf = pdf.sort_values(["part", "k"])
+        below, won, all1, open_ = 0.0, 0.0, 0.0, None
+        for r in [*pdf.itertuples(), None]:
+            n1, n0 = (np.asarray(r.n1), np.asarray(r.n0)) if r is not None else (0.0, 0.0)
+            if open_ is not None and r is not None and r.k != 1 and r.score == open_[0]:
+                open_ = (open_[0], open_[1] + n1, open_[2] + n0)
+                continue
+            if open_ is not None:
+                won = won + open_[1] * (below + open_[2] / 2)
+                below, all1, open_ = below + open_[2], all1 + open_[1], None
+            if r is not None and r.k == 1:
+                won, all1 = won + np.asarray(r.won) + n1 * below, all1 + n1
+                below = below + n0
+            elif r is not None:
+                open_ = (r.score, n1, n0)
+        pairs = all1 * below
+        auc = (won[pairs > 0] / pairs[pairs > 0]) if len(pdf) else np.zeros(0)
+        low, high = np.quantile(auc, [0.025, 0.975]) if len(auc) else (None, None)
+        return pd.DataFrame({S: [key[0]], "ci_low": [low], "ci_high": [high]})
+
+    sums = dealt.mapInPandas(draw, "of string, part int, k int, score double, n1 array<double>, n0 array<double>, won array<double>")
+    return sums.groupBy("of").applyInPandas(combine, f"{S} string, ci_low double, ci_high double")
 
 
 #: With so few of one class and no ties, p is exact.

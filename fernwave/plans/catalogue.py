@@ -357,20 +357,19 @@ def hit_enrichment(spark, sf_dir):
     return scoring.hits(r.withColumn("y01", (F.col("node_id") % 3 == 0).cast("int")), (5,))
 
 
-def _poisson_sql(u: str) -> str:
-    """The number of times that a row is drawn, by the cumulative Poisson distribution with mean 1."""
-    cdf, p, out = 0.0, 0.36787944117144233, "CASE"
-    for k in range(7):
-        cdf += p
-        p /= k + 1
-        out += f" WHEN {u} < {cdf!r}::DOUBLE THEN {k}"
-    return out + " ELSE 7 END"
+def _mixed_sql(x: str, y: str) -> str:
+    """Columns that end in `y`: the hash of 32-bit numbers `x`, step by step."""
+    one, two = scoring.MIX
+    return f"(xor({x}, {x} >> 16) * {one}::UBIGINT) & 4294967295::UBIGINT AS {y}1, (xor({y}1, {y}1 >> 15) * {two}::UBIGINT) & 4294967295::UBIGINT AS {y}2, xor({y}2, {y}2 >> 16) AS {y}"
 
 
 def bootstrap_sql(rows: str, replicates: int = 2000, seed: int = 0) -> str:
     """Tables ending in `ci` (structure_id, ci_low, ci_high), from `rows`, a table (structure_id, node_id, score, y01)."""
-    u = f"((('0x' || substr(md5(node_id || ':' || q || ':{seed}'), 1, 8))::BIGINT)::DOUBLE + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
-    return f""", dw AS (SELECT structure_id, q, score, y01, {_poisson_sql(u)} AS w FROM {rows}, range(1, {replicates + 1}) t(q)),
+    drawn = " + ".join(f"CAST(u >= {c!r}::DOUBLE AS INTEGER)" for c in scoring.POISSON)
+    return f""", nm AS (SELECT structure_id, score, y01, ('0x' || md5(node_id || ':{seed}')[1:8])::UBIGINT AS a, ('0x' || md5(node_id || ':{seed}')[9:16])::UBIGINT AS b FROM {rows}),
+hw AS (SELECT structure_id, q, score, y01, b, (a + ((q::UBIGINT * {scoring.GOLDEN}::UBIGINT) & 4294967295::UBIGINT)) & 4294967295::UBIGINT AS x0, {_mixed_sql('x0', 'h')} FROM nm, range(1, {replicates + 1}) t(q)),
+uw AS (SELECT structure_id, q, score, y01, xor(h, b) AS z0, {_mixed_sql('z0', 'z')}, (z::DOUBLE + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u FROM hw),
+dw AS (SELECT structure_id, q, score, y01, {drawn} AS w FROM uw),
 ds AS (SELECT structure_id, q, score, sum(w * y01)::DOUBLE AS n1, sum(w * (1 - y01))::DOUBLE AS n0 FROM dw WHERE w > 0 GROUP BY ALL),
 dr AS (SELECT *, coalesce(sum(n0) OVER (PARTITION BY structure_id, q ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lower FROM ds),
 da AS (SELECT structure_id, q, CASE WHEN sum(n1) * sum(n0) > 0 THEN sum(n1 * (lower + n0 / 2)) / (sum(n1) * sum(n0)) END AS auc FROM dr GROUP BY 1, 2),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut_lineage
-from ..operators import features, graph, spectral
+from ..operators import blocks, features, graph, spectral
 from ..operators.graph import S
 from ..sources.points import embedding_nodes
 from .catalogue import KDEG, KNN, NODES, REACH, SQL, query, structures, with_
@@ -448,4 +448,23 @@ _PROBES = "SELECT node_id, p, (('0x' || substr(md5(node_id || ':' || p), 1, 8)):
 @query(with_(_SERIES + _recurrence(_PROBES), f", est AS (SELECT y.node_id AS i, z.node_id AS j, sum(y.x * z.x) / 40 AS m FROM y JOIN nodes n ON n.node_id = y.node_id JOIN t0 z ON z.p = y.p JOIN nodes o ON o.node_id = z.node_id AND o.label = n.label GROUP BY 1, 2) " + BAND.format(v="m.m", e="est")))
 def stochastic_connectivity(spark, sf_dir):
     """Band scores of the screened propagator as estimated from random signs."""
-    return _per_node(structures, lambda s: {"node_id": s.ids, "score": s.band(spectral.stochastic_pairs(s, _screened, K, 40))}, ["score"])(spark, sf_dir)
+    n, e = structures(spark, sf_dir)
+    out = blocks.stochastic_band(n, cut_lineage(e), _screened, K)
+    return out.select("node_id", (F.round("score", 5) + 0.0).alias("score"))
+
+
+@query(with_(PATH, "SELECT CAST(label AS VARCHAR) AS structure_id, k::INTEGER AS k, round(w, 6) + 0.0 AS w FROM md WHERE k < 6"))
+def path_low_modes(spark, sf_dir):
+    """The six least eigenvalues of each path, by subspace iteration over nodes that lie on any tasks."""
+    w, _ = blocks.low_modes(*paths(spark, sf_dir))
+    return w.select(S, "k", (F.round("w", 6) + 0.0).alias("w"))
+
+
+_RING = NODES + ", rn AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY node_id) - 1 AS r, count(*) OVER (PARTITION BY label) AS n FROM nodes), rw AS (SELECT label, 2.0::DOUBLE - 2.0::DOUBLE * cos(2 * pi() * r / n) AS w FROM rn), rk AS (SELECT label, w, row_number() OVER (PARTITION BY label ORDER BY w) - 1 AS k FROM rw)"
+
+
+@query(with_(_RING, "SELECT CAST(label AS VARCHAR) AS structure_id, k::INTEGER AS k, round(w, 6) + 0.0 AS w FROM rk WHERE k < 5"))
+def ring_low_modes(spark, sf_dir):
+    """The same of rings, whose eigenvalues come in pairs."""
+    w, _ = blocks.low_modes(*rings(spark, sf_dir), k=5)
+    return w.select(S, "k", (F.round("w", 6) + 0.0).alias("w"))
