@@ -20,7 +20,17 @@ from .graph import S
 from .spectral import chebyshev
 
 #: Steps of a recurrence between two checkpoints.
-STEPS = 4
+STEPS = 8
+
+
+#: Matrices of at most so many rows (of 40 bytes or so) are sent to all tasks whole.
+SMALL = 100_000
+
+
+def sized(matrix: DataFrame) -> DataFrame:
+    """The matrix, written; broadcast in joins if it was counted to be small."""
+    matrix = cut_lineage(matrix)
+    return F.broadcast(matrix) if matrix.count() <= SMALL else matrix
 
 
 def names(m: int, p: str = "x") -> list[str]:
@@ -65,7 +75,7 @@ def series(nodes: DataFrame, edges: DataFrame, x: DataFrame, m: int, f: Callable
         return pd.Series([chebyshev(f, h, k) for h in high])
 
     ranges = cut_lineage(upper_ends(nodes, edges))
-    matrix = cut_lineage(mapped(graph.hamiltonian(nodes, edges), ranges))
+    matrix = sized(mapped(graph.hamiltonian(nodes, edges), ranges))
     keys, ys = [*by, "_c"], tuple(names(m, "y"))
     state = begun(x.join(ranges.select(S, coefficients("high").alias("_c")), S).select("*", *[(F.col("_c")[0] * F.col(f"x{j}")).alias(f"y{j}") for j in range(m)]), keys, m, (*names(m), *ys))
     for step in range(1, k):
@@ -156,7 +166,7 @@ def combined(x: DataFrame, r: DataFrame, m: int) -> DataFrame:
     return made.select(S, "node_id", *[F.when(F.col("n") > k, F.col("o")[k]).otherwise(fresh(k)).alias(f"x{k}") for k in range(m)])
 
 
-def low_modes(nodes: DataFrame, edges: DataFrame, k: int = 6, extra: int = 8, degree: int = 24, tolerance: float = 1e-9, most: int = 40) -> tuple[DataFrame, DataFrame]:
+def low_modes(nodes: DataFrame, edges: DataFrame, k: int = 6, extra: int = 8, degree: int = 32, tolerance: float = 1e-9, most: int = 40) -> tuple[DataFrame, DataFrame]:
     """The k least eigenvalues of each structure's Laplacian as (structure_id, k, w), and its modes (structure_id, node_id, x0...).
 
     Subspace iteration: a block of k + extra vectors passes a Chebyshev filter that damps all above the block's largest
@@ -165,7 +175,7 @@ def low_modes(nodes: DataFrame, edges: DataFrame, k: int = 6, extra: int = 8, de
     """
     m = k + extra
     nodes, edges = cut_lineage(nodes.select(S, "node_id")), cut_lineage(edges)
-    lap = cut_lineage(graph.hamiltonian(nodes, edges))
+    lap = sized(graph.hamiltonian(nodes, edges))
     ends = cut_lineage(upper_ends(nodes, edges))
 
     def product(x: DataFrame) -> DataFrame:
@@ -185,7 +195,7 @@ def low_modes(nodes: DataFrame, edges: DataFrame, k: int = 6, extra: int = 8, de
                 return values, x.select(S, "node_id", *names(k))
         last = now
         # Never so near to the upper end that the filter has nothing to damp.
-        matrix = cut_lineage(mapped(lap, now.select(S, F.least("top", 0.95 * F.col("high")).alias("low"), "high")))
+        matrix = sized(mapped(lap, now.select(S, F.least("top", 0.95 * F.col("high")).alias("low"), "high")))
         state = begun(x, [], m)
         for step in range(1, degree + 1):
             state = stepped(matrix, state, [], m, 1.0 if step == 1 else 2.0)

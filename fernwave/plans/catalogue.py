@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut_lineage
-from ..operators import circuits, features, graph, learned, ranking, scoring, spectral
+from ..operators import circuits, clusters, features, graph, learned, ranking, scoring, spectral
 from ..operators.graph import S
 from ..sources.points import embedding_nodes
 from . import experiments
@@ -680,9 +680,10 @@ def resonance_overlap(spark, sf_dir):
 
 @query()
 def coarse_retention(spark, sf_dir):
-    """Each structure cut into a third of its nodes' number of clusters by eigenvectors: sizes and contacts kept."""
+    """Each structure cut into a third of its nodes' number of clusters by eigenvectors: their sizes and contacts."""
     n, e = structures(spark, sf_dir)
-    return coarse_clusters(n, e, 3).groupBy(S).agg(F.countDistinct("cluster_id").alias("clusters"), F.count(F.lit(1)).alias("nodes"))
+    e = cut_lineage(e)
+    return clusters.rolled(e, cut_lineage(coarse_clusters(n, e, 3)))
 
 
 def coarse_clusters(n: DataFrame, e: DataFrame, ratio: int = 3) -> DataFrame:
@@ -693,13 +694,13 @@ def coarse_clusters(n: DataFrame, e: DataFrame, ratio: int = 3) -> DataFrame:
         x = v[:, 1 : 1 + min(k, s.n - 1)] if s.n > 1 else v
         x = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)
         g = np.random.default_rng(0)
-        centre = [x[0]]
+        centre, d = [x[0]], np.full(s.n, np.inf)
         for _ in range(k - 1):
-            d = np.min([((x - c) ** 2).sum(1) for c in centre], axis=0)
+            d = np.minimum(d, ((x - centre[-1]) ** 2).sum(1))
             centre.append(x[g.choice(s.n, p=d / d.sum())] if d.sum() > 0 else x[0])
         c = np.array(centre)
         for _ in range(20):
-            own = ((x[:, None, :] - c[None]) ** 2).sum(2).argmin(1)
+            own, _ = clusters.nearest_centre(x, c)
             c = np.array([x[own == q].mean(0) if (own == q).any() else c[q] for q in range(k)])
         return {"node_id": s.ids, "cluster_id": np.unique(own, return_inverse=True)[1]}
 
@@ -742,7 +743,17 @@ def ridge_transfer(spark, sf_dir):
 
 
 query(None, "kernel_ridge")(_loo(learned.kernel_ridge))
-query(None, "logistic_transfer")(_loo(learned.logistic))
+
+
+@query()
+def logistic_transfer(spark, sf_dir):
+    """Logistic models of the twelve spectral channels by Newton's method on sums, each structure scored by the others'."""
+    n, e = structures(spark, sf_dir)
+    cols = features.channel_names("bank12")
+    x = features.tanh_squash(features.feature_bank(n, e, "bank12"), cols).join(n.select(S, "node_id", (F.col("node_id") % 3 == 0).cast("int").alias("y01")), [S, "node_id"])
+    return scoring.roc_auc(learned.logistic_transfer(cut_lineage(x), cols)).select(S, F.round("auc", 3).alias("auc"))
+
+
 query(None, "kernel_logistic")(_loo(learned.kernel_logistic))
 
 

@@ -194,3 +194,25 @@ def transfer_function_hits(spark, sf_dir):
     x = cut_lineage(x)
     scores = x.select(S, "node_id", learned.linear(learned.ridge(x, cols)).alias("score"))
     return ranking.finalize(scores).filter("pos <= 5").select(S, "node_id", "pos", (F.round("score", 6) + 0.0).alias("score"))
+
+
+# Logistic models: SQL takes the same Newton steps, with elimination for each.
+
+
+def _newton_sql() -> str:
+    out = ", u0 AS (SELECT label, node_id, y01::DOUBLE AS y, unnest([0, 1, 2, 3]) AS i, unnest([1.0::DOUBLE, x, y, z]) AS v FROM zs), ct AS (SELECT f.label, greatest(1, sum(1 - y01))::DOUBLE / greatest(1, sum(y01)) AS w FROM (SELECT DISTINCT label FROM zs) f JOIN zs ON zs.label <> f.label GROUP BY 1), w0 AS (SELECT label, i, 0.0::DOUBLE AS v FROM ct, range(4) t(i))"
+    for k in range(learned.NEWTON):
+        out += f""", p{k} AS (SELECT c.label, u.node_id, any_value(u.y) AS y, 1 / (1 + exp(-greatest(-30.0::DOUBLE, least(30.0::DOUBLE, sum(u.v * c.v))))) AS p FROM w{k} c JOIN u0 u ON u.label <> c.label AND u.i = c.i GROUP BY 1, 2),
+n{k} AS (SELECT p.label, a.i, b.i AS j, sum(CASE WHEN p.y = 1 THEN w ELSE 1 END * p * (1 - p) * a.v * b.v) + CASE WHEN a.i = b.i THEN {learned.DAMPED}::DOUBLE ELSE 0.0::DOUBLE END AS v FROM p{k} p JOIN ct USING (label) JOIN u0 a ON a.node_id = p.node_id JOIN u0 b ON b.node_id = p.node_id GROUP BY 1, 2, 3
+  UNION ALL SELECT p.label, a.i, 4, sum(CASE WHEN p.y = 1 THEN w ELSE 1 END * (p - p.y) * a.v) + {learned.DAMPED}::DOUBLE * any_value(c.v) FROM p{k} p JOIN ct USING (label) JOIN u0 a ON a.node_id = p.node_id JOIN w{k} c ON c.label = p.label AND c.i = a.i GROUP BY 1, 2){gauss_sql(f'd{k}', f'n{k}', 4)},
+w{k + 1} AS (SELECT label, i, c.v - d.v AS v FROM w{k} c JOIN d{k} d USING (label, i))"""
+    return out
+
+
+_NEWTON = ZS + _newton_sql()
+
+
+@query(with_(_NEWTON, f"SELECT CAST(label AS VARCHAR) AS structure_id, i::INTEGER AS k, round(v, 5) + 0.0 AS c FROM w{learned.NEWTON}"))
+def logistic_fit(spark, sf_dir):
+    """Intercept and coefficients of the logistic model of all structures but each one."""
+    return learned.logistic_fits(standard(spark, sf_dir), CH).select(F.col("fold").alias(S), F.posexplode("c").alias("k", "c")).select(S, "k", (F.round("c", 5) + 0.0).alias("c"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut_lineage
-from ..operators import blocks, features, graph, spectral
+from ..operators import blocks, clusters, features, graph, spectral
 from ..operators.graph import S
 from ..sources.points import embedding_nodes
 from .catalogue import KDEG, KNN, NODES, REACH, SQL, query, structures, with_
@@ -460,11 +460,13 @@ def path_low_modes(spark, sf_dir):
     return w.select(S, "k", (F.round("w", 6) + 0.0).alias("w"))
 
 
-_RING = NODES + ", rn AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY node_id) - 1 AS r, count(*) OVER (PARTITION BY label) AS n FROM nodes), rw AS (SELECT label, 2.0::DOUBLE - 2.0::DOUBLE * cos(2 * pi() * r / n) AS w FROM rn), rk AS (SELECT label, w, row_number() OVER (PARTITION BY label ORDER BY w) - 1 AS k FROM rw)"
+# Clusters that are known: points in blobs far apart.
 
 
-@query(with_(_RING, "SELECT CAST(label AS VARCHAR) AS structure_id, k::INTEGER AS k, round(w, 6) + 0.0 AS w FROM rk WHERE k < 5"))
-def ring_low_modes(spark, sf_dir):
-    """The same of rings, whose eigenvalues come in pairs."""
-    w, _ = blocks.low_modes(*rings(spark, sf_dir), k=5)
-    return w.select(S, "k", (F.round("w", 6) + 0.0).alias("w"))
+@query(with_(NODES, "SELECT node_id, dense_rank() OVER (ORDER BY least) - 1 AS cluster_id FROM (SELECT node_id, min(node_id) OVER (PARTITION BY lab) AS least FROM nodes)"))
+def blob_clusters(spark, sf_dir):
+    """k-means of points in as many blobs as there are labels."""
+    n = embedding_nodes(spark, sf_dir)
+    far = lambda c, s: F.col(c) + 5000.0 * F.sin(F.col("label") * s)
+    v = n.select(S, "node_id", F.array(far("x", 1.0), far("y", 2.3), far("z", 3.1)).alias("v"))
+    return clusters.kmeans(v, n.select("label").distinct().count(), chunk=200).select("node_id", "cluster_id")
