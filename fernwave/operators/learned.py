@@ -310,6 +310,62 @@ def kernel_ridge(train, y, test, penalty: float = 1.0):
     return rbf(test, train, gamma) @ alpha
 
 
+#: Rows that landmarks are first sought among, rows that a later round adds, and how many landmarks there may be.
+SOUGHT, ADDED, LANDMARKS = 2000, 200, 1000
+
+
+def pivots(k: np.ndarray, tolerance: float) -> np.ndarray:
+    """Rows of a kernel matrix with unit diagonal, by pivoted Cholesky: until no row is farther from their span."""
+    left, rows, chosen = np.diag(k).copy(), [], []
+    while len(chosen) < len(k) and left.max() > tolerance:
+        p = int(left.argmax())
+        row = (k[p] - sum((r[p] * r for r in rows), np.zeros(len(k)))) / np.sqrt(left[p])
+        rows.append(row)
+        chosen.append(p)
+        left = np.maximum(0, left - row * row)
+        left[p] = 0
+    return np.array(chosen, int)
+
+
+def kernel_features(x: DataFrame, cols: list[str], tolerance: float = 1e-3, gamma: float | None = None) -> tuple[DataFrame, int]:
+    """(structure_id, node_id, y01, phi array), and its length: features whose products are the RBF kernel of all rows, each
+    row's own to within the tolerance.
+
+    Landmarks come from a bounded sample, by pivoted Cholesky. Then the residual of every row is taken, and while some
+    row's is larger, the farthest ones join the sample. More than LANDMARKS landmarks are an error.
+    """
+    gamma = 1.0 / len(cols) if gamma is None else gamma
+    rows = cut_lineage(x.select(S, "node_id", "y01", F.array(*[quoted(c).cast("double") for c in cols]).alias("v")))
+    sought = rows.orderBy(F.xxhash64(S, "node_id"), S, "node_id").limit(SOUGHT).select("v").collect()
+    pool = np.array([r["v"] for r in sought]).reshape(-1, len(cols))
+    while True:
+        land = pool[pivots(rbf(pool, pool, gamma), tolerance / 2)] if len(pool) else pool
+        if len(land) > LANDMARKS:
+            raise ValueError(f"more than {LANDMARKS} landmarks are needed for a tolerance of {tolerance}")
+        low = np.linalg.cholesky(rbf(land, land, gamma) + 1e-12 * np.eye(len(land)))
+
+        @F.pandas_udf("array<double>")
+        def phi(v: pd.Series) -> pd.Series:
+            return pd.Series(list(np.linalg.solve(low, rbf(land, np.stack(v.to_list()), gamma)).T)) if len(v) else pd.Series([], dtype=object)
+
+        made = cut_lineage(rows.select(S, "node_id", "y01", "v", phi("v").alias("phi")))
+        far = 1.0 - F.aggregate("phi", F.lit(0.0), lambda a, c: a + c * c)
+        worst = made.select("v", far.alias("far")).filter(F.col("far") > tolerance).orderBy(F.desc("far"), "v").limit(ADDED).collect()
+        if not worst:
+            return made.drop("v"), len(land)
+        pool = np.concatenate([land, np.array([r["v"] for r in worst])])
+
+
+def kernel_ridge_transfer(x: DataFrame, cols: list[str], penalty: float = 1.0, tolerance: float = 1e-3) -> DataFrame:
+    """(structure_id, node_id, y01, score): kernel ridge regression as a ridge model of kernel features; folds share sums."""
+    made, m = kernel_features(x, cols, tolerance)
+    names = [f"k{j}" for j in range(m)]
+    flat = made.select(S, "node_id", "y01", *[F.col("phi")[j].alias(n) for j, n in enumerate(names)])
+    fits = solved(others(structure_sums(flat, names)), m, penalty)
+    score = F.aggregate(F.zip_with("phi", "c", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return made.join(fits, S).select(S, "node_id", "y01", score.alias("score"))
+
+
 def ridge_score(train, y, test, penalty: float = 1.0):
     return test @ np.linalg.solve(train.T @ train + penalty * np.eye(train.shape[1]), train.T @ (y - y.mean()))
 
