@@ -217,7 +217,7 @@ def scored(x: DataFrame, cols: list[str], trees: DataFrame, sample: pd.DataFrame
         total = None
         for pdf in batches:
             y, own = pdf["y01"].to_numpy(float), pdf["fold"].to_numpy()
-            channels, others = {c: pdf[c].to_numpy(float) for c in cols}, {}
+            channels, others = {c: pdf[f"c{j}"].to_numpy(float) for j, c in enumerate(cols)}, {}
             with np.errstate(all="ignore"):
                 for k, (fold, _, tokens) in enumerate(held):
                     if fold not in others:
@@ -227,20 +227,21 @@ def scored(x: DataFrame, cols: list[str], trees: DataFrame, sample: pd.DataFrame
                     total = np.zeros((len(held), len(part))) if total is None else total
                     total[k] += part
         if total is not None:
-            yield pd.DataFrame({"tree": np.arange(len(held), dtype=np.int32), "sums": list(total)})
+            yield pd.DataFrame({"tree": np.arange(len(held), dtype=np.int32), "sums": [t.tobytes() for t in total]})
 
     def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for pdf in batches:
             for k, part in zip(pdf["tree"], pdf["sums"], strict=True):
-                sums[k] = sums[k] + part if k in sums else np.array(part)
+                part = np.frombuffer(part)
+                sums[k] = sums[k] + part if k in sums else part
         if sums:
             of = [held[k] for k in sums]
             length = np.array([len(t) for _, _, t in of])
             fitness = fitness_of(np.stack(list(sums.values()))) - s.parsimony * length
             yield pd.DataFrame({"fold": [f for f, _, _ in of], "place": [p for _, p, _ in of], "tokens": [t for _, _, t in of], "fitness": np.round(fitness, 9)})
 
-    parts = x.select("fold", "y01", *[f"`{c}`" for c in cols]).mapInPandas(count, "tree int, sums array<double>")
+    parts = x.select("fold", "y01", *[F.col(f"`{c}`").alias(f"c{j}") for j, c in enumerate(cols)]).mapInPandas(count, "tree int, sums binary")
     return parts.repartition("tree").mapInPandas(total, "fold string, place int, tokens array<string>, fitness double")
 
 
