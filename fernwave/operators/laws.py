@@ -57,6 +57,14 @@ FUNCTIONS = PHYSICS | GENERIC
 CONSTANT = "#"
 
 
+#: Channels that bear the name of a function are tokens that begin so.
+CHANNEL = "$"
+
+
+def channel(name: str) -> str:
+    return CHANNEL + name if name in FUNCTIONS else name
+
+
 def fold_up(tokens: list[str], leaf: Callable, call: Callable):
     """What a tree comes to, from its leaves and its calls `call(name, arguments)`."""
     stack: list = []
@@ -66,21 +74,21 @@ def fold_up(tokens: list[str], leaf: Callable, call: Callable):
 
 
 def value(tokens: list[str], channels: dict[str, np.ndarray], n: int) -> np.ndarray:
-    out = fold_up(tokens, lambda t: float(t[1:]) if t[0] == CONSTANT else channels[t], lambda f, a: FUNCTIONS[f].array(*a))
+    out = fold_up(tokens, lambda t: float(t[1:]) if t[0] == CONSTANT else channels[t.removeprefix(CHANNEL)], lambda f, a: FUNCTIONS[f].array(*a))
     return np.nan_to_num(np.broadcast_to(np.asarray(out, float), (n,)), nan=0.0, posinf=1e300, neginf=-1e300)
 
 
 def column(tokens: list[str]) -> Column:
-    out = fold_up(tokens, lambda t: F.lit(float(t[1:])) if t[0] == CONSTANT else F.col(f"`{t}`"), lambda f, a: FUNCTIONS[f].column(*a))
+    out = fold_up(tokens, lambda t: F.lit(float(t[1:])) if t[0] == CONSTANT else F.col(f"`{t.removeprefix(CHANNEL)}`"), lambda f, a: FUNCTIONS[f].column(*a))
     return F.nanvl(out.cast("double"), F.lit(0.0))
 
 
 def to_sql(tokens: list[str]) -> str:
-    return fold_up(tokens, lambda t: f"({t[1:]})::DOUBLE" if t[0] == CONSTANT else f'"{t}"', lambda f, a: FUNCTIONS[f].sql.format(*a))
+    return fold_up(tokens, lambda t: f"({t[1:]})::DOUBLE" if t[0] == CONSTANT else f'"{t.removeprefix(CHANNEL)}"', lambda f, a: FUNCTIONS[f].sql.format(*a))
 
 
 def text(tokens: list[str]) -> str:
-    return fold_up(tokens, lambda t: t.removeprefix(CONSTANT), lambda f, a: f"{f}({', '.join(a)})")
+    return fold_up(tokens, lambda t: t.removeprefix(CONSTANT).removeprefix(CHANNEL), lambda f, a: f"{f}({', '.join(a)})")
 
 
 def depth(tokens: list[str]) -> int:
@@ -125,7 +133,7 @@ GENERIC_SEARCH = Search(tuple(GENERIC), metric="mae", parsimony=0.01, subtree=0.
 def grown(g: random.Random, s: Search, cols: list[str], levels: int, full: bool) -> list[str]:
     """A random tree of at most so many levels, or of just so many."""
     if levels == 0 or (not full and g.random() < 0.3):
-        return [f"{CONSTANT}{g.uniform(-1, 1):.3f}"] if g.random() < 1 / (len(cols) + 1) else [g.choice(cols)]
+        return [f"{CONSTANT}{g.uniform(-1, 1):.3f}"] if g.random() < 1 / (len(cols) + 1) else [channel(g.choice(cols))]
     f = g.choice(s.functions)
     return [f, *(t for _ in range(FUNCTIONS[f].arity) for t in grown(g, s, cols, levels - 1, full))]
 
@@ -166,7 +174,7 @@ def _other(g: random.Random, s: Search, cols: list[str], token: str) -> str:
         return g.choice([f for f in s.functions if FUNCTIONS[f].arity == FUNCTIONS[token].arity])
     if token[0] == CONSTANT:
         return f"{CONSTANT}{float(token[1:]) + g.gauss(0, 0.3):.3f}"
-    return g.choice(cols)
+    return channel(g.choice(cols))
 
 
 # Scores as sums over tasks

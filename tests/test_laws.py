@@ -97,3 +97,10 @@ def test_folds_learn_from_the_others_only(spark, table):
 
 def test_nothing_to_learn_from(spark, table):
     assert laws.search(table.limit(0), COLS, laws.Search(tuple(laws.PHYSICS), population=10, generations=2)).collect() == []
+
+
+def test_channels_may_bear_names_of_functions_and_dots(spark, table):
+    odd = table.select("structure_id", "node_id", "y01", F.col("x").alias("interf"), F.col("y").alias("a.b"), F.col("z").alias("abs"))
+    rows = laws.search(odd, ["interf", "a.b", "abs"], laws.Search(tuple(laws.GENERIC), metric="mae", population=60, generations=3), hold_out=False).collect()
+    got = laws.applied(odd, spark.createDataFrame(rows)).collect()
+    assert len(rows) == 1 and len(got) == 360 and all(r.score is not None for r in got)
