@@ -357,3 +357,24 @@ def phase_margin(spark, sf_dir):
         one = scoring.roc_auc(learned.ridge_transfer(bank, keep)).select(S, F.lit(name).alias("channels"), F.round("auc", 4).alias("auc"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# The first principal component. SQL squares the covariance, scaled by its trace, until only the leading projector is left.
+_SQUARINGS = 14
+
+
+def _leading_sql() -> str:
+    cov = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, covar_pop({a}, {b}) AS v FROM nodes" for i, a in enumerate(CH) for j, b in enumerate(CH))
+    out = f", pc AS ({cov}), q0 AS (SELECT i, j, v / (SELECT sum(v) FROM pc WHERE i = j) AS v FROM pc)"
+    for k in range(_SQUARINGS):
+        out += f", s{k} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM q{k} a JOIN q{k} b ON a.j = b.i GROUP BY 1, 2), q{k + 1} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM s{k} WHERE i = j) AS v FROM s{k})"
+    return out + f""", xc AS (SELECT node_id, unnest([0, 1, 2]) AS i, unnest([x - avg(x) OVER (), y - avg(y) OVER (), z - avg(z) OVER ()]) AS v FROM nodes),
+sp AS (SELECT sqrt(sum(p.v * c.v)) AS s FROM q{_SQUARINGS} p JOIN pc c ON c.i = p.j AND c.j = p.i),
+pq AS (SELECT a.node_id, sqrt(greatest(0.0, sum(a.v * p.v * b.v))) AS d FROM xc a JOIN q{_SQUARINGS} p ON p.i = a.i JOIN xc b ON b.node_id = a.node_id AND b.i = p.j GROUP BY 1)"""
+
+
+@query(with_(NODES + _leading_sql(), "SELECT node_id, round(tanh(d / (s + 1e-9)), 5) + 0.0 AS pc0 FROM pq, sp"))
+def principal_channel(spark, sf_dir):
+    """The first principal component of all points, squashed by its spread; its sign is arbitrary and left out."""
+    x = embedding_nodes(spark, sf_dir)
+    return learned.principal(x, x, CH, 2).select("node_id", (F.round(F.abs("pc0"), 5) + 0.0).alias("pc0"))
