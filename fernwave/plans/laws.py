@@ -63,7 +63,7 @@ PLANTED = ["reso", "mul", "x", "y", "thr", "z"]
 def planted_law(spark, sf_dir):
     """Labels follow a law of depth 3, which the search is not told: what it finds orders every structure as that law does."""
     x = standard(spark, sf_dir).withColumn("y01", (laws.column(PLANTED) > 0.5).cast("int"))
-    found = laws.search(x, CH, hold_out=False)
+    found = laws.search(x, CH, replace(laws.LAW_SEARCH, population=600), hold_out=False)
     return scoring.roc_auc(laws.applied(x, found)).filter("auc IS NOT NULL").select(S, F.round("auc", 2).alias("auc"))
 
 
