@@ -5,15 +5,14 @@ A table is (structure_id, node_id, y01, channels...). Folds leave one structure
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import significant
 from ..functions.lineage import cut_lineage
+from . import boosting
 from .graph import S
 from .scoring import rank_statistics
 
@@ -201,6 +200,18 @@ def lean_top(auc: DataFrame, k: int = 20) -> DataFrame:
     return m.orderBy(F.desc("strength"), "channel").limit(k)
 
 
+def lean_folds(auc: DataFrame, k: int = 20) -> DataFrame:
+    """(fold, channels): what `lean_top` picks from the structures of all other folds (auc has a column fold); a fold's own sums
+    are taken from those of all."""
+    strength = F.greatest("auc", 1 - F.col("auc"))
+    own = auc.groupBy("fold", "channel").agg(F.coalesce(F.sum(strength), F.lit(0.0)).alias("s"), F.count(strength).alias("n"))
+    every = own.groupBy("channel").agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
+    left = F.when(F.col("all_n") > F.col("n"), (F.col("all_s") - F.col("s")) / (F.col("all_n") - F.col("n")))
+    rest = own.join(F.broadcast(every), "channel").withColumn("strength", significant(left))  # a row for each channel
+    best = rest.withColumn("_r", F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("strength"), "channel"))).filter(F.col("_r") <= k)
+    return best.groupBy("fold").agg(F.array_sort(F.collect_list("channel")).alias("channels"))
+
+
 def transfer_audit(auc: DataFrame) -> DataFrame:
     """(structure_id, channel, transfer): AUC on the structure left out, with the sign that the others suggest."""
     folds = auc.select(F.col(S).alias("fold")).distinct()
@@ -443,37 +454,16 @@ def kernel_logistic(train, y, test, rounds: int = 400, rate: float = 0.5, penalt
     return 1 / (1 + np.exp(-np.clip(rbf(test, train, gamma) @ a + b, -30, 30)))
 
 
-def boosted_trees(train: DataFrame, test: DataFrame, cols: list[str], trees: int = 200) -> DataFrame:
-    """Scores of depth-2 gradient boosting (pyspark.ml), classes weighted alike; trains on any number of rows."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    names = [f"c{k}" for k in range(len(cols))]
-    flat = lambda d: d.select(S, "node_id", "y01", *[quoted(c).alias(n) for c, n in zip(cols, names, strict=True)])
-    n = train.agg(F.sum("y01").alias("p"), F.count(F.lit(1)).alias("n")).first()
-    ratio = (n.n - (n.p or 0)) / max(1, n.p or 0)
-    put = VectorAssembler(inputCols=names, outputCol="features")
-    ready = put.transform(flat(train).withColumn("w", F.when(F.col("y01") == 1, ratio).otherwise(1.0)).withColumn("label", F.col("y01").cast("double")))
-    model = GBTRegressor(maxIter=trees, maxDepth=2, stepSize=0.05, subsamplingRate=0.8, weightCol="w", seed=0).fit(ready)
-    return model.transform(put.transform(flat(test))).select(S, "node_id", "y01", F.col("prediction").alias("score"))
+def boosted_transfer(x: DataFrame, cols: list[str], trees: int = 200, lean: int | None = None) -> DataFrame:
+    """(structure_id, node_id, y01, score): each fold's structures scored by boosted trees of all other folds.
 
-
-def boosted_transfer(x: DataFrame, cols: list[str], trees: int = 200, lean: int | None = None, at_once: int = 8) -> DataFrame:
-    """(structure_id, node_id, y01, score): each fold's structures scored by trees of all other folds, some folds at a time.
-
-    A fold is a group of structures, named by what comes before a '.' in their names. With `lean`, the trees of a fold see
-    only so many channels, those that tell labels best in the others.
+    With `lean`, the trees of a fold see only so many channels, those that tell labels best in the others.
     """
-    fold = F.substring_index(S, ".", 1)
-    names = [r.fold for r in x.select(fold.alias("fold")).distinct().orderBy("fold").collect()]  # groups, not structures
-
-    def one(name: str) -> DataFrame:
-        train = x.filter(fold != name)
-        chosen = [r.channel for r in lean_top(channel_auc(train, cols), lean).collect()] if lean else cols
-        return boosted_trees(train, x.filter(fold == name), chosen, trees)
-
-    with ThreadPoolExecutor(at_once) as pool:
-        return reduce(DataFrame.unionByName, pool.map(one, names))
+    allowed = None
+    if lean:
+        auc = channel_auc(x, cols).withColumn("fold", F.substring_index(S, ".", 1))
+        allowed = {r["fold"]: r["channels"] for r in lean_folds(auc, lean).collect()}
+    return boosting.boosted(x, cols, boosting.Settings(trees), allowed)[0]
 
 
 # Primitives of symbolic trees, as column functions
