@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import shared_folder
 from ..operators import circuits, graph, learned, ranking
 from ..operators.graph import S
-from ..sources import sinks, structures
+from ..sources import formats, sinks, structures
 from ..sources.points import embedding_nodes
 from .catalogue import AUCS, CH, KNN, NODES, ORDER, _aucs, _ordered, query, with_
 from .spectra import paths
@@ -62,14 +62,19 @@ def made_atoms(spark, sf_dir) -> DataFrame:
     )
 
 
-def _files(spark, sf_dir) -> DataFrame:
-    """The made structures as files in the shared folder, read back. A second model follows each one's end."""
+def _written(spark, sf_dir) -> str:
+    """The folder of the made structures' files, in the shared folder. A second model follows each one's end."""
     lines = structures.format_atoms(made_atoms(spark, sf_dir))
     last = lines.groupBy(S).agg((F.max("line_no") + 1).alias("end"), F.min_by("line", "line_no").alias("line"))
     more = last.select(S, F.col("end").alias("line_no"), F.lit("ENDMDL").alias("line")).unionByName(last.select(S, (F.col("end") + 1).alias("line_no"), "line"))
     path = _fresh(spark, "structures")
     structures.write_structures(lines.unionByName(more), path)
-    return structures.read_atoms(spark, f"{path}/*")
+    return path
+
+
+def _files(spark, sf_dir) -> DataFrame:
+    """The made structures as files, read back."""
+    return structures.read_atoms(spark, f"{_written(spark, sf_dir)}/*")
 
 
 MADE = (
@@ -287,3 +292,36 @@ def sink_circuit_text(spark, sf_dir):
     path = _fresh(spark, "circuit")
     circuits.gate_lines(circuits.walk_gates(numbered, 1.0, 2)).select(S, "line").write.partitionBy(S).text(path)
     return spark.read.schema("line string, structure_id string").text(path).groupBy(S, "line").agg(F.count(F.lit(1)).alias("times"))
+
+
+@query(with_(MADE, "SELECT structure_id, CAST(line_no AS INTEGER) AS line_no, record, serial, atom, altloc, resname, chain, resseq, icode, x, y, z, occupancy FROM atoms"))
+def format_atoms(spark, sf_dir):
+    """The made files through the reader of structure files."""
+    return formats.read_structures(spark, _written(spark, sf_dir)).drop("line", "bfactor")
+
+
+@query(with_(MADE, "SELECT structure_id, CAST(line_no AS INTEGER) AS line_no, resname, resseq, x, y, z FROM atoms WHERE chain = 'A' AND atom = 'CA' AND resseq >= 10 AND resname IN ('ALA', 'GLY', 'MSE')"))
+def format_atoms_filtered(spark, sf_dir):
+    """Conditions on chain, atom and residue, which the reader applies."""
+    only = {"chain": ["A"], "atom": ["CA"], "resseq": [10, 9999], "resname": ["ALA", "GLY", "MSE"]}
+    return formats.read_structures(spark, _written(spark, sf_dir), only=only).select(S, "line_no", "resname", "resseq", "x", "y", "z")
+
+
+_BOTH = KNN + ORDER[len(NODES) :]
+
+
+@query(
+    with_(
+        _BOTH,
+        """SELECT CAST(label AS VARCHAR) AS structure_id, 'hits' AS part, CAST(pos AS VARCHAR) || ',' || CAST(node_id AS VARCHAR) AS line FROM o WHERE pos <= 5
+UNION ALL SELECT CAST(label AS VARCHAR), 'matrix', CAST(i AS VARCHAR) || ',' || CAST(j AS VARCHAR) FROM knn""",
+    )
+)
+def committed_targets(spark, sf_dir):
+    """Hits and matrix of every structure, committed together in its folder, as they are read back."""
+    path = _fresh(spark, "targets")
+    r, n = _ordered(spark, sf_dir)
+    part = lambda rows, name, a, b: rows.select(S, F.lit(name).alias("part"), F.col(a).cast("long").alias("pos"), F.concat_ws(",", a, b).alias("line"))
+    formats.save_targets(part(r.filter("pos <= 5"), "hits", "pos", "node_id").unionByName(part(graph.knn_edges(n, 10), "matrix", "i", "j")), path)
+    place = lambda k: F.regexp_extract(F.input_file_name(), "/([^/]+)/([^/]+)$", k)
+    return spark.read.text(f"{path}/*/*").select(place(1).alias(S), place(2).alias("part"), F.col("value").alias("line"))
