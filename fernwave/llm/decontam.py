@@ -11,8 +11,8 @@ The set is one table of marked slots, two for each hash, of SLOTS bytes at most.
 more places go into the join, and the join's side of windows is sent to tasks or shuffled as Spark finds by its size.
 
 Null and empty texts have no words and are clean; a null or wordless item has no windows. Repeated items are told apart
-by item_id, rows with the same item_id are one item. Rows that repeat a doc_id (also a null one) and text give one row;
-with another text they give a row of their own. An empty table gives none. Other columns, whatever their names, are
+by item_id, rows with the same item_id are one item. Every row of documents gives one row, also one that repeats a doc_id (a
+null one too), with the same text or another; equal rows are judged once. An empty table gives none. Other columns, whatever their names, are
 kept by `decontaminate` and not read.
 """
 
@@ -125,8 +125,12 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, start, step)["n"]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans) for every row of docs."""
+#: Copies of a row that are held at once when equal rows are told apart again.
+COPIES = 1000
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, copies): a row for all rows of docs that are equal."""
     windows = benchmark_windows(benchmark, n)
     # Rows with the same doc_id and another text are judged each by its own.
     seen = scanned(docs.select("doc_id", "text", F.sha2("text", 256).alias("_text")), windows, ["doc_id", "_text"])
@@ -135,6 +139,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFram
         F.max("n_words").alias("n_words"),
         F.array_sort(F.collect_set(hit)).alias("spans"),
         F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("items"),
+        F.count_if(F.col("at") == 0).alias("copies"),  # the place of its own that each row of docs has once
     )
     n_hit = covered(F.col("spans"))
     ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
@@ -146,12 +151,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFram
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"),
         "spans",
+        "copies",
     )
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans) for every row of docs."""
+    one = judged(docs, benchmark, n)
+    kept = [c for c in one.columns if c != "copies"]
+    some = one.select(*kept, "copies", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))).alias("first"))
+    each = F.array_repeat(F.lit(True), F.least(F.lit(COPIES), F.col("copies") - F.col("first")).cast("int"))
+    return some.select(*kept, F.explode(each).alias("_one")).drop("_one")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
     # By text, not by doc_id: rows with a null or repeated doc_id are judged each by its own.
     key = F.sha2(F.col("text"), 256)
-    bad = contamination(docs.select(key.alias("doc_id"), "text"), benchmark, n).filter("contaminated").select(F.col("doc_id").alias("_bad"))
+    bad = judged(docs.select(key.alias("doc_id"), "text"), benchmark, n).filter("contaminated").select(F.col("doc_id").alias("_bad"))
     return docs.join(bad, key == F.col("_bad"), "left_anti")

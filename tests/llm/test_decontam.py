@@ -70,7 +70,18 @@ def test_rows_with_one_doc_id_and_several_texts(spark):
     item = " ".join(f"q{i}" for i in range(13))
     docs = spark.createDataFrame([(1, item), (1, "zz yy"), (1, "zz yy"), (None, item), (None, "x")], "doc_id long, text string")
     got = decontam.contamination(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
-    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.contaminated) for r in got) == [("1", 2, 0, False), ("1", 13, 13, True), ("None", 1, 0, False), ("None", 13, 13, True)]
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.contaminated) for r in got) == [("1", 2, 0, False), ("1", 2, 0, False), ("1", 13, 13, True), ("None", 1, 0, False), ("None", 13, 13, True)]
+
+
+def test_every_copy_of_a_row_gives_one(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "COPIES", 3)
+    item = " ".join(f"q{i}" for i in range(13))
+    rows = [(1, item)] * 7 + [(1, item + " x " + item)] * 3 + [(2, "a")] * 4 + [(None, None)] * 5 + [(3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    items = spark.createDataFrame([(7, item), (8, "q2 q3")], "item_id long, text string")
+    got = sorted((tuple(r)[:6] for r in decontam.contamination(docs, items).collect()), key=str)
+    assert got == brute(rows, [(7, item), (8, "q2 q3")])
+    assert decontam.decontaminate(docs, items).count() == 10
 
 
 def test_empty_tables(spark):
@@ -78,5 +89,5 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "a b"), (None, "c"), (1, "a b")], "doc_id long, text string")
     assert decontam.contamination(none, items).count() == 0
-    assert sorted((r.doc_id, r.n_words, r.n_hit) for r in decontam.contamination(some, items).collect() if r.doc_id) == [(1, 2, 0)]
+    assert sorted((r.doc_id, r.n_words, r.n_hit) for r in decontam.contamination(some, items).collect() if r.doc_id) == [(1, 2, 0)] * 2
     assert decontam.decontaminate(some, items).count() == 3
