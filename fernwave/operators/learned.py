@@ -14,7 +14,8 @@ from ..functions import significant
 from ..functions.lineage import cut_lineage
 from . import boosting
 from .graph import S
-from .scoring import rank_statistics
+from .ranking import blend
+from .scoring import pooled_auc, rank_statistics
 
 QUANTILES = (0.35, 0.5, 0.65)
 
@@ -294,23 +295,6 @@ def vote_score(h: DataFrame, chosen: DataFrame) -> DataFrame:
     return h.join(F.broadcast(chosen.select("k")), "k").crossJoin(F.broadcast(n)).groupBy(S, "node_id").agg((F.sum("h") / F.max("n")).alias("score"))
 
 
-def leave_one_out(x: DataFrame, cols: list[str], fit_score, schema: str = "score double") -> DataFrame:
-    """(structure_id, node_id, y01, score): each structure scored by a model of the others, a fold a task.
-
-    `fit_score(train_x, train_y, test_x)` runs in numpy. The rows of all structures meet in every fold, so this is for
-    channel tables of bounded size; `ridge` and the tree models below train on any number of rows.
-    """
-    folds = x.select(F.col(S).alias("fold")).distinct()
-
-    def run(key, pdf):
-        own = pdf[S] == key[0]
-        train, test = pdf[~own], pdf[own]
-        s = fit_score(train[cols].to_numpy(float), train["y01"].to_numpy(float), test[cols].to_numpy(float)) if len(train) and len(test) else np.zeros(len(test))
-        return pd.DataFrame({S: test[S], "node_id": test["node_id"], "y01": test["y01"], "score": s})
-
-    return x.select(S, "node_id", "y01", *[quoted(c) for c in cols]).crossJoin(F.broadcast(folds)).groupBy("fold").applyInPandas(run, f"{S} string, node_id long, y01 int, score double")
-
-
 def rbf(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
     return np.exp(-gamma * np.maximum(0, (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T))
 
@@ -442,16 +426,49 @@ def logistic_transfer(x: DataFrame, cols: list[str], **how) -> DataFrame:
     return x.join(fits, F.substring_index(S, ".", 1) == F.col("fold")).select(S, "node_id", "y01", score.alias("score"))
 
 
-def kernel_logistic(train, y, test, rounds: int = 400, rate: float = 0.5, penalty: float = 1e-3):
-    """Gradient descent on the kernel expansion, classes weighted alike, with an intercept."""
-    gamma = 1.0 / train.shape[1]
-    k, a, b = rbf(train, train, gamma), np.zeros(len(y)), 0.0
-    weight = np.where(y > 0.5, max(1.0, (1 - y).sum()) / max(1.0, y.sum()), 1.0)
-    for _ in range(rounds):
-        g = weight * (1 / (1 + np.exp(-np.clip(k @ a + b, -30, 30))) - y)
-        a -= rate * (k @ g) / len(y) + rate * penalty * a
-        b -= rate * g.mean()
-    return 1 / (1 + np.exp(-np.clip(rbf(test, train, gamma) @ a + b, -30, 30)))
+def kernel_logistic_transfer(x: DataFrame, cols: list[str], penalty: float = 1.0, tolerance: float = 1e-2) -> DataFrame:
+    """(structure_id, node_id, y01, score): log-odds of kernel logistic regression, a logistic model of kernel features.
+
+    The penalty is on the squared norm of the function and of the intercept. Newton steps as in `logistic_fits`, so a step
+    moves (landmarks + 1)^2 sums of each fold, however many rows there are.
+    """
+    made, m = kernel_features(x, cols, tolerance)
+    names = [f"k{j}" for j in range(m)]
+    return logistic_transfer(made.select(S, "node_id", "y01", *[F.col("phi")[j].alias(n) for j, n in enumerate(names)]), names, damped=penalty)
+
+
+def best_channel_pooled(x: DataFrame, cols: list[str]) -> DataFrame:
+    """(fold, channel, sign, strength): the channel that tells labels best in the rows of all other folds taken together,
+    with the sign it has there; ties (to nine digits) by name. A fold without both classes elsewhere has no row."""
+    auc = pooled_auc(long_channels(x, cols).withColumn("fold", F.substring_index(S, ".", 1)), "fold", "channel").filter("auc IS NOT NULL")
+    ranked = auc.withColumn("strength", significant(F.greatest("auc", 1 - F.col("auc"))))
+    first = Window.partitionBy("fold").orderBy(F.desc("strength"), "channel")
+    return ranked.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select("fold", "channel", F.when(F.col("auc") >= 0.5, 1).otherwise(-1).alias("sign"), "strength")
+
+
+def signed_best(x: DataFrame, cols: list[str]) -> DataFrame:
+    """(structure_id, node_id, y01, score): of each structure, the channel that its other folds choose, with their sign; 0
+    where they choose none."""
+    best = F.broadcast(best_channel_pooled(x, cols))  # a row for each fold
+    value = F.coalesce(*[F.when(F.col("channel") == c, F.col("sign") * quoted(c)) for c in cols], F.lit(0.0))
+    return x.join(best, F.substring_index(S, ".", 1) == F.col("fold"), "left").select(S, "node_id", "y01", value.alias("score"))
+
+
+def blended(x: DataFrame, cols: list[str], kernel_cols: list[str] | None = None) -> DataFrame:
+    """(structure_id, node_id, y01, model, score): what models of the other folds say of each row: `logistic` and `single` on
+    all channels, `linear`, the mean of both's rank percentages, and with `kernel_cols` `kernel` on these and `blend`, the
+    mean of all three's. No model sees its own fold."""
+    x = cut_lineage(x.select(S, "node_id", "y01", *[quoted(c) for c in cols]))
+    models = {"logistic": logistic_transfer(x, cols), "single": signed_best(x, cols)}
+    if kernel_cols:
+        models["kernel"] = kernel_logistic_transfer(x, kernel_cols)
+    models = {k: cut_lineage(v.select(S, "node_id", "score")) for k, v in models.items()}
+    mixed = {"linear": blend([models["logistic"], models["single"]])} | ({"blend": blend([models[k] for k in ("logistic", "kernel", "single")])} if kernel_cols else {})
+    out = None
+    for name, scores in (models | mixed).items():
+        one = scores.select(S, "node_id", F.lit(name).alias("model"), "score")
+        out = one if out is None else out.unionByName(one)
+    return out.join(x.select(S, "node_id", "y01"), [S, "node_id"]).select(S, "node_id", "y01", "model", "score")
 
 
 def boosted_transfer(x: DataFrame, cols: list[str], trees: int = 200, lean: int | None = None) -> DataFrame:

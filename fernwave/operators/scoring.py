@@ -48,6 +48,30 @@ def roc_auc(x: DataFrame, *by: str) -> DataFrame:
     return rank_statistics(x, *by).select(S, *by, "auc")
 
 
+def pooled_auc(x: DataFrame, fold: str, *by: str) -> DataFrame:
+    """(fold, by, auc): AUC over the rows of all other folds taken together; null where these lack a class.
+
+    Rows do not cross folds. With U the number of pairs won by positives, a fold's others have U of all rows, less the pairs
+    of its own positives with any negative, less those of any positive with its own negatives, plus those within it, which
+    were taken away twice. Each comes from sums below a score, over all rows and over the fold's own.
+    """
+    counts = x.groupBy(*by, fold, significant(F.col("score")).alias("score")).agg(F.sum("y01").cast("double").alias("n1"), F.sum(1 - F.col("y01")).cast("double").alias("n0"))
+    counts = running_sums(counts, [*by, fold], [F.col("score")], {"own": F.col("n0")})
+    of_all = counts.groupBy(*by, "score").agg(F.sum("n1").alias("t1"), F.sum("n0").alias("t0"))
+    of_all = running_sums(of_all, list(by), [F.col("score")], {"lower": F.col("t0"), "under": F.col("t1")})
+    one = counts.join(of_all, [*by, "score"]).groupBy(*by, fold).agg(
+        F.sum("n1").alias("n1"),
+        F.sum("n0").alias("n0"),
+        F.sum(F.col("n1") * (F.col("lower") + F.col("t0") / 2.0)).alias("wins"),
+        F.sum(F.col("n0") * (F.col("under") + F.col("t1") / 2.0)).alias("beats"),
+        F.sum(F.col("n1") * (F.col("own") + F.col("n0") / 2.0)).alias("within"),
+    )
+    whole = one.groupBy(*by).agg(F.sum("wins").alias("u"), F.sum("n1").alias("p"), F.sum("n0").alias("q"))
+    u = F.col("u") - F.col("wins") - (F.col("n0") * F.col("p") - F.col("beats")) + F.col("within")
+    pairs = (F.col("p") - F.col("n1")) * (F.col("q") - F.col("n0"))
+    return one.join(whole, list(by)).select(fold, *by, F.when(pairs > 0, u / pairs).alias("auc"))
+
+
 def hits(ranked: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
     """For each k: whether the top k hold a positive, how many, and how many times more than by chance."""
     out = []

@@ -723,16 +723,6 @@ def ctqw_probs(spark, sf_dir):
     return p.groupBy(S).agg(F.round(F.sum("exact"), 6).alias("exact"), F.round(F.sum("circuit"), 6).alias("circuit"))
 
 
-def _loo(score, bank: str = "bank12"):
-    def run(spark, sf_dir):
-        n, e = structures(spark, sf_dir)
-        cols = features.channel_names(bank)
-        x = features.tanh_squash(features.feature_bank(n, e, bank), cols).join(n.select(S, "node_id", (F.col("node_id") % 3 == 0).cast("int").alias("y01")), [S, "node_id"])
-        return scoring.roc_auc(learned.leave_one_out(x, cols, score)).select(S, F.round("auc", 3).alias("auc"))
-
-    return run
-
-
 @query()
 def ridge_transfer(spark, sf_dir):
     """Ridge models of the twelve spectral channels, each structure scored by the others' sums."""
@@ -764,7 +754,13 @@ def logistic_transfer(spark, sf_dir):
     return scoring.roc_auc(learned.logistic_transfer(cut_lineage(x), cols)).select(S, F.round("auc", 3).alias("auc"))
 
 
-query(None, "kernel_logistic")(_loo(learned.kernel_logistic))
+@query()
+def kernel_logistic(spark, sf_dir):
+    """Kernel logistic models of the twelve spectral channels by landmarks, each structure scored by the others' sums."""
+    n, e = structures(spark, sf_dir)
+    cols = features.channel_names("bank12")
+    x = features.tanh_squash(features.feature_bank(n, e, "bank12"), cols).join(n.select(S, "node_id", (F.col("node_id") % 3 == 0).cast("int").alias("y01")), [S, "node_id"])
+    return scoring.roc_auc(learned.kernel_logistic_transfer(cut_lineage(x), cols)).select(S, F.round("auc", 3).alias("auc"))
 
 
 @query()
@@ -828,17 +824,14 @@ def symbolic_terms(spark, sf_dir):
 def operator_agreement(spark, sf_dir):
     """Cosines between the ridge operators of the structures, on spectral participation."""
     n, e = _thirds(spark, sf_dir)
+    bands = [f"b{k}" for k in range(20)]
 
     def run(s):
-        p = spectral.participation(*s.eig())
-        p = (p - p.mean(0)) / (p.std(0) + 1e-9)
-        y = s.nodes["y01"].to_numpy(float)
-        c = np.linalg.solve(p.T @ p + np.eye(p.shape[1]), p.T @ (y - y.mean()))
-        return {"band": np.arange(len(c)), "c": c / (np.linalg.norm(c) + 1e-12)}
-
-    c = spectral.per_structure(n, e, run, "band long, c double")
-    other = c.select(F.col(S).alias("other"), "band", F.col("c").alias("oc"))
-    return c.join(other, "band").filter(F.col(S) < F.col("other")).groupBy(S, "other").agg(F.round(F.sum(F.col("c") * F.col("oc")), 5).alias("cosine"))
+        return {"node_id": s.ids, **dict(zip(bands, spectral.participation(*s.eig()).T, strict=True))}
+
+    p = spectral.per_structure(n, e, run, "node_id long, " + ", ".join(f"{b} double" for b in bands))
+    x = cut_lineage(features.zscore(p, bands).join(n.select(S, "node_id", "y01"), [S, "node_id"]))
+    return learned.operator_agreement(learned.operator_fits(x, bands, 1.0)).select(S, "other", F.round("cosine", 5).alias("cosine"))
 
 
 @query()

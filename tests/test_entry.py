@@ -13,6 +13,7 @@ SAMPLE = [
     "contact_degree", "knn_edges", "ham_logf", "active_zscore", "consensus_rrf", "roc_auc", "mann_whitney_u", "qboost_qubo", "loo_best_feature", "resistance_foster", "rowsum_yukawa", "hit_enrichment",
     "path_contrast", "path_bank12", "path_gauge", "ring_bank23", "knn_interference", "knn_gnm", "cheb_coefficients", "stochastic_connectivity", "file_pocket_labels", "file_bfactors", "sink_submission",
     "ridge_transfer_xyz", "operator_divergence", "adaptive_pool", "routed_hits", "heat_commute_mass", "gbt_splits", "gbt_leaves", "gbt_scores", "format_atoms", "format_atoms_filtered", "committed_targets",
+    "blend_linear", "best_channel_pooled", "path_agreement",
 ]
 
 
