@@ -5,11 +5,14 @@ patterns propose candidate spans, which may overlap: mail addresses with spaced
 dots of such kinds, and runs of digits and separators. Trees
 score each candidate by its format and context. They are fitted by gradient boosting to candidates that touch no base
 span, as only those can be added. The positives are sound base spans rewritten, in their own context, so that no base
-rule matches them any more (REWRITTEN: signs spelt out or spaced, '+' or country code gone, card groups set apart). The
+rule matches them any more (REWRITTEN: signs spelt out or spaced, '+' written 00 or gone, country code gone, card groups
+set apart). A number without '+' could be any number: each is taken twice, in its own context and after a word that speaks
+of telephones (HINT), and is a positive where such a word stands before it, else a negative. The other
 negatives are the documents' own candidates, less those for which format and context both speak (`telling`), which are
 neither. Counts of each combination of features (at most MOST_COMBINATIONS, checked) are all that the driver sees. A
-threshold is calibrated on the documents kept out of the fit, so that at least PRECISION of what it selects there is
-right by these labels. Trees become CASE expressions. A candidate that is selected and overlaps no base span is added.
+threshold is calibrated on the documents kept out of the fit: halfway between the least score selected and the greatest
+one below, where at least PRECISION of what is selected is right by these labels. Trees become CASE expressions. A
+candidate that is selected and overlaps no base span is added.
 
 Spans are (kind, start, end) in code points, end exclusive. A null text is an empty one. Texts without '@', '(at)',
 '[at]' or a digit are passed over at once. The patterns are written so that their cost is linear in the text and their
@@ -45,7 +48,7 @@ CANDIDATE = {
     # A domain name has at most 127 labels.
     "email": rf"(?:(?<!{_L})|\G){_L}++[\x20]?(?:@|\(at\)|\[at\])[\x20]?{_X}++(?:[\x20]?{_DOT}[\x20]?{_X}++){{0,126}}",
     "ip": rf"(?<![0-9])[0-9]{{1,3}}+(?:[\x20]?{_DOT}[\x20]?[0-9]{{1,3}}+){{3}}(?![0-9])",
-    "number": r"\+?[0-9][0-9\x20().-]{5,}[0-9]",
+    "number": r"(?:\((?=[0-9]{1,5}\)))?\+?[0-9][0-9\x20().-]{5,}[0-9]",
 }
 CONTEXT = r"(?i)(?:mail|contact|tel|phone|call|fax|mobile|card|visa|account|ip|host|addr)[a-z]*\W{0,3}\z"
 #: For each kind, what becomes of a sound base span: regular expressions with their replacements, applied in order.
@@ -53,8 +56,10 @@ REWRITTEN = {
     "email": [[("@", " (at) "), (r"\.(?=[^.]*\z)", " (dot) ")], [("@", "[at]"), (r"\.(?=[^.]*\z)", "[dot]")], [("@", " @ ")], [("@", " (at) ")]],
     "ip": [[(r"\.", "[.]")], [(r"\.", " . ")], [(r"\.", "(dot)")]],
     "card": [[("[^0-9]", ""), ("([0-9]{4})(?=[0-9])", "$1  ")]],
-    "phone": [[(r"^\+", "")], [(r"^\+[0-9]{1,3}[\x20.-]", "0")]],
+    "phone": [[(r"^\+", "")], [(r"^\+", "00")], [(r"^\+[0-9]{1,3}[\x20.-]", "0")], [(r"^\+[0-9]{1,3}[\x20.-]", "")]],
 }
+#: Matches CONTEXT at its end.
+HINT = "tel: "
 FEATURES = ("kind", "digits", "length", "plus", "luhn", "dots", "marks", "before", "after", "octets", "context", "at", "domain")
 
 
@@ -134,7 +139,7 @@ def kind_of(text: Column) -> Column:
     return (
         F.when(text.rlike(r"@|\(at\)|\[at\]"), 0)
         .when(text.rlike(rf"^{CANDIDATE['ip']}\z"), 1)
-        .when((n >= 13) & ~text.startswith("+"), 2)
+        .when((n >= 13) & ~text.startswith("+") & ~(text.startswith("00") & (n <= 15)), 2)
         .otherwise(3)
     )
 
@@ -186,14 +191,16 @@ def found(docs: DataFrame) -> DataFrame:
 
 
 def rewritten(text: Column, base: Column) -> Column:
-    """array<struct<FEATURES>>: base spans rewritten as REWRITTEN says, where a candidate is that whole and no base rule matches it."""
+    """array<struct<f struct of FEATURES, known>>: base spans rewritten as REWRITTEN says, where a candidate is that whole and
+    no base rule matches it."""
 
-    def changed(way: list) -> Callable[[Column], Column]:
+    def changed(way: list, hint: bool = False) -> Callable[[Column], Column]:
         def one(c: Column) -> Column:
             t = c["text"]
             for pattern, new in way:
                 t = F.regexp_replace(t, pattern, new)
             before, after = around(text, c)
+            before = F.lit(HINT) if hint else before
             return F.struct(t.alias("t"), before.alias("before"), after.alias("after"))
 
         return one
@@ -208,7 +215,13 @@ def rewritten(text: Column, base: Column) -> Column:
         return whole
 
     out = [F.filter(F.transform(base[kind], changed(way)), good(kind)) for kind, ways in REWRITTEN.items() for way in ways]
-    return F.transform(F.concat(*out), lambda r: described(r["t"], r["before"], r["after"]))
+    out += [F.filter(F.transform(base["phone"], changed(way, hint=True)), good("phone")) for way in REWRITTEN["phone"]]
+
+    def labelled(r: Column) -> Column:
+        f = described(r["t"], r["before"], r["after"])
+        return F.struct(f.alias("f"), F.when(f["kind"] == KINDS.index("phone"), f["context"]).otherwise(1).alias("known"))
+
+    return F.transform(F.concat(*out), labelled)
 
 
 def telling(f: Column) -> Column:
@@ -283,10 +296,8 @@ def score_column(trees: list[Tree], f: Column) -> Column:
 def fit(seen: DataFrame) -> tuple[list[Tree], float] | None:
     """Trees and threshold, from all documents' candidates and rewritten base spans; None where there are not both classes."""
     fold = (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("out")
-    labelled = lambda f, known: F.struct(f.alias("f"), F.lit(known).alias("known"))
-    bad = F.transform(F.filter("candidates", lambda c: ~c["taken"] & ~telling(c["f"])), lambda c: labelled(c["f"], 0))
-    good = F.transform(rewritten(F.col("text"), F.col("base")), lambda f: labelled(f, 1))
-    one = seen.select(fold, F.explode(F.concat(bad, good)).alias("c")).select("out", "c.f.*", "c.known")
+    bad = F.transform(F.filter("candidates", lambda c: ~c["taken"] & ~telling(c["f"])), lambda c: F.struct(c["f"].alias("f"), F.lit(0).alias("known")))
+    one = seen.select(fold, F.explode(F.concat(bad, rewritten(F.col("text"), F.col("base")))).alias("c")).select("out", "c.f.*", "c.known")
     rows = one.groupBy("out", *FEATURES, "known").agg(F.count(F.lit(1)).alias("n")).limit(MOST_COMBINATIONS + 1).toPandas()
     if len(rows) > MOST_COMBINATIONS:
         raise ValueError(f"more than {MOST_COMBINATIONS} combinations of features")
@@ -302,7 +313,11 @@ def fit(seen: DataFrame) -> tuple[list[Tree], float] | None:
     right = np.cumsum((y * n)[order]) / np.cumsum(n[order])
     ends = np.append(np.diff(s[order]) != 0, True)
     good = np.flatnonzero(ends & (right >= PRECISION) & (s[order] > 0))
-    return (trees, float(s[order][good[-1]]) - 1e-6) if len(good) else None
+    if not len(good):
+        return None
+    last = good[-1]
+    below = s[order][last + 1] if last + 1 < len(s) else 0.0
+    return trees, max(1e-6, float(s[order][last] + below) / 2)
 
 
 def detect(docs: DataFrame) -> DataFrame:

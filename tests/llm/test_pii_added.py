@@ -46,7 +46,7 @@ def described(t, before, after):
     n = re.sub("[^0-9]", "", t)
     whole = lambda p: regex.fullmatch(p, t) is not None
     plain = re.sub(r" ?(?:\.|\[\.\]|\(dot\)|\[dot\]) ?", ".", t)
-    kind = 0 if re.search(r"@|\(at\)|\[at\]", t) else 1 if whole(pii.CANDIDATE["ip"]) else 2 if len(n) >= 13 and not t.startswith("+") else 3
+    kind = 0 if re.search(r"@|\(at\)|\[at\]", t) else 1 if whole(pii.CANDIDATE["ip"]) else 2 if len(n) >= 13 and not t.startswith("+") and not (t.startswith("00") and len(n) <= 15) else 3
     return [
         kind, min(20, len(n)), min(15, len(t) // 4), t.startswith("+"), 13 <= len(n) <= 19 and luhn(n), min(5, t.count(".")), min(8, sum(c in " ()-" for c in t)),
         re.search(r"[A-Za-z0-9_]\Z", before) is not None, re.match(r"[A-Za-z0-9_]", after) is not None, kind == 1 and all(int(p) <= 255 for p in plain.split(".")),
@@ -77,3 +77,17 @@ def test_all_spans_match_brute_force(docs):
         want = ",".join(f"{k}:{a}:{z}" for k, a, z in sorted(set(every), key=lambda s: (pii.KINDS.index(s[0]), *s[1:])))
         assert got[r.doc_id] == want, r.text
     assert n_added >= 3
+
+
+def test_national_numbers_where_no_base_number_has_a_hint_before_it(spark):
+    """Numbers with '+' in plain prose only: a number without it is taken after a word that speaks of telephones, and left alone elsewhere."""
+    rows = [(i, f"the house at +{1 + i % 49} (0{i % 10}7) 555-{1000 + i} was sold and {i:016d} things x{i}@y.org were {i:08d}ab") for i in range(300)]
+    planted = {"call ": ["030 1234567 89", "0049 30 1234567", "(030) 123-456-789"], "tel: ": ["0049 30 1234567", "020 7946 0958"], "Phone ": ["017 555 7713"]}
+    probes = [(w, n) for w, ns in planted.items() for n in ns]
+    plain = ["we sold 12345 67890 11 pieces", "born 2020-10-12 12.30 there", "the 020 7946 0958 houses", "call 12 34 now", "call 1234567890123456 now"]
+    texts = [f"{w}{n} now" for w, n in probes] + plain
+    docs = spark.createDataFrame(rows + [(1000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id - 1000: r for r in pii.digest(docs).filter("doc_id >= 1000").collect()}
+    for i, (w, n) in enumerate(probes):
+        assert got[i].spans == f"phone:{len(w)}:{len(w) + len(n)}" and got[i].n_phone == 0, texts[i]
+    assert [got[len(probes) + i].spans for i in range(len(plain))] == [""] * len(plain)
