@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from fernwave.operators import circuits, features, learned, spectral
+from fernwave.operators import circuits, features, graph, learned, spectral
 from fernwave.operators.graph import hop_matrix
 
 
@@ -133,3 +133,16 @@ def test_stochastic_estimates_come_near():
     want = spectral.of(*s.eig(), f(s.eig()[0]))
     assert np.corrcoef(spectral.stochastic_pairs(s, f, 40, 4000).ravel(), want.ravel())[0, 1] > 0.99
     assert np.allclose(spectral.stochastic_rowsum(s, f, 80), 2.0, atol=1e-3)
+
+
+def test_contact_graphs_made_in_a_structure_s_task(spark):
+    """The same scores as on edges that were joined; edges do not leave the task."""
+    g = np.random.default_rng(5)
+    rows = [(f"s{k % 2}", 3 * k, *(float(v) for v in g.integers(0, 9, 3)), 0, False) for k in range(80)]
+    nodes = spark.createDataFrame(rows, "structure_id string, node_id long, x double, y double, z double, y01 int, is_active boolean")
+    f = lambda s: {"node_id": s.ids, "score": s.band(spectral.interference(*s.eig("logf", 1.0)), 2)}
+    one = spectral.per_cloud(nodes, 3.0, f, "node_id long, score double")
+    two = spectral.per_structure(nodes, graph.contact_edges(nodes, 3.0), f, "node_id long, score double")
+    got, want = ({(r.structure_id, r.node_id): r.score for r in d.collect()} for d in (one, two))
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-12
+    assert "Join" not in one._jdf.queryExecution().toString()
