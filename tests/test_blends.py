@@ -3,6 +3,8 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from fernwave.operators import learned, scoring
 
 COLS = ["x", "y", "z"]
@@ -80,3 +82,21 @@ def test_kernel_logistic_and_blend_against_numpy(spark, table):
         assert np.allclose(mixed.loc["linear"].loc[ids], (parts["logistic"] + parts["single"]) / 2)
         assert np.allclose(mixed.loc["blend"].loc[ids], sum(parts.values()) / 3)
     assert np.mean(won) > 0.75  # products of channels are out of reach of the linear model
+
+
+def test_logistic_model_of_hundreds_of_channels(spark):
+    """As many as kernel features may be: the score is one expression, not one nested as deep as there are channels."""
+    g, cols = np.random.default_rng(2), [f"k{j}" for j in range(900)]
+    v, y = np.round(g.normal(size=(12, 900)), 3), np.arange(12) // 2 % 2
+    wide = spark.createDataFrame([(f"{k % 2}", k, int(y[k]), v[k].tolist()) for k in range(12)], "structure_id string, node_id long, y01 int, v array<double>")
+    x = wide.select("structure_id", "node_id", "y01", *[F.col("v")[j].alias(c) for j, c in enumerate(cols)])
+    got = {r.node_id: r.score for r in learned.logistic_transfer(x, cols, steps=2, damped=1.0).collect()}
+    for fold in (0, 1):
+        at, c = np.arange(12) % 2 != fold, np.zeros(901)
+        u, t = np.column_stack([np.ones(6), v[at]]), y[at]
+        weight = np.where(t > 0, (len(t) - t.sum()) / t.sum(), 1.0)
+        for _ in range(2):
+            p = 1 / (1 + np.exp(-np.clip(u @ c, -30, 30)))
+            c -= np.linalg.solve((u * (weight * p * (1 - p))[:, None]).T @ u + np.eye(901), u.T @ (weight * (p - t)) + c)
+        for k in np.flatnonzero(~at):
+            assert abs(got[k] - (c[0] + v[k] @ c[1:])) < 1e-9
