@@ -146,3 +146,22 @@ def test_contact_graphs_made_in_a_structure_s_task(spark):
     got, want = ({(r.structure_id, r.node_id): r.score for r in d.collect()} for d in (one, two))
     assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-12
     assert "Join" not in one._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("kind", ["laplacian", "adjacency", "logf"])
+def test_sampled_bands_without_the_whole_propagator(kind, monkeypatch):
+    s = structure(1)
+    for metric in spectral.SAMPLED:
+        assert np.allclose(s.band(spectral.metric_matrix(s, metric, kind), 2), spectral.metric_band(s, metric, kind, d_min=2), atol=1e-11)
+    monkeypatch.setattr(spectral, "coherent", None)  # the propagator of all pairs is not made
+    spectral.metric_band(s, "contrast_sampled", kind)
+
+
+def test_gauge_channels_of_both_directions_from_one_eigensystem():
+    s = structure(2)
+    lock, band = s.gauge_channels()
+    assert len(s._eig) == 1
+    both = [s.eig("gauge", b) for b in (0.15, -0.15)]
+    assert np.allclose(lock, np.mean([spectral.phase_coherence(*e) for e in both], 0))
+    f = lambda w: np.where(np.abs(w) > 1e-9, (1 - np.exp(-20j * w)) / np.where(np.abs(w) > 1e-9, 20j * w, 1), 1)
+    assert np.allclose(band, np.mean([s.band(np.abs(spectral.of(w, v, f(w)).imag)) for w, v in both], 0))
