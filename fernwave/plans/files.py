@@ -211,10 +211,10 @@ def _targets(spark, sf_dir) -> DataFrame:
 def file_targets(spark, sf_dir):
     """Targets with the extra ones, their raw files, and whether they can be learned from."""
     t = _targets(spark, sf_dir)
-    names = embedding_nodes(spark, sf_dir, by_label=True).select(F.concat(F.lit("/raw/"), S).alias("path")).distinct()
+    names = embedding_nodes(spark, sf_dir, by_label=True).select(F.concat(F.lit("/raw/"), S, F.lit(".pdb")).alias("path")).distinct()
     raw = structures.raw_files(t, names)
     both = structures.labelled_targets(raw).withColumn("labelled", F.lit(True)).unionByName(structures.labelled_targets(raw, False).withColumn("labelled", F.lit(False)))
-    return both.select("name", F.concat(F.lit("structure_id="), F.element_at(F.split("raw", "/"), -1)).alias("raw"), "holo", "labelled")
+    return both.select("name", F.concat(F.lit("structure_id="), F.regexp_extract("raw", r"([^/]+)\.pdb$", 1)).alias("raw"), "holo", "labelled")
 
 
 # Sinks: what is written, as it is read back
@@ -264,7 +264,7 @@ def sink_matrix(spark, sf_dir):
     return spark.read.schema("i long, j long, v double, structure_id string").parquet(f"{path}/matrix").select(S, "i", "j", "v")
 
 
-@query(with_(_BOARD, "SELECT structure_id, printf('- **%s**: AUC %.3f, top 5 hit %d', structure_id, round(roc_auc, 3), hit_5) AS line FROM bd WHERE exp = 'x'"))
+@query(with_(_BOARD, "SELECT structure_id, printf('- **%s**: AUC %s, top 5 hit %d', structure_id, CAST(round(CAST(roc_auc AS DECIMAL(9, 4)), 3) AS DECIMAL(9, 3))::VARCHAR, hit_5) AS line FROM bd WHERE exp = 'x'"))
 def sink_report(spark, sf_dir):
     path = _fresh(spark, "report")
     sinks.report_lines(_board(spark, sf_dir).filter("exp = 'x'")).write.partitionBy(S).text(path)
