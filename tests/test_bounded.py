@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from fernwave.operators import graph
+from fernwave.operators import blocks, graph
 from fernwave.operators.graph import S
 
 
@@ -31,3 +31,23 @@ def test_two_hops_within_a_dense_place(spark, tmp_path):
     x = np.random.default_rng(4).uniform(-0.02, 0.02, (4000, 3)).astype(np.float32)
     pd.DataFrame({"vec_id": np.arange(4000), "embedding": list(x), "label": np.zeros(4000, np.int32)}).to_parquet(tmp_path / "embeddings.parquet")
     assert entry.queries()["two_hop_pairs"](spark, str(tmp_path)).first()["pairs"] == 4000 * 4000
+
+
+def test_low_modes_of_long_paths_settle(spark):
+    """Low modes of long paths lie so near to each other that iterations tell them apart slowly."""
+    sizes = {"long": 1200, "short": 4, "one": 1}
+    nodes = spark.createDataFrame([(s, 7 * k) for s, n in sizes.items() for k in range(n)], f"{S} string, node_id long")
+    step = spark.createDataFrame([(s, 7 * k, 7 * k + 7) for s, n in sizes.items() for k in range(n - 1)], f"{S} string, i long, j long")
+    w, x = blocks.low_modes(nodes, step.unionByName(step.selectExpr(S, "j AS i", "i AS j")))
+    got = {(r[S], r.k): r.w for r in w.collect()}
+    want = {(s, k): 2 - 2 * np.cos(np.pi * k / n) for s, n in sizes.items() for k in range(min(n, 6))}
+    assert got.keys() == want.keys() and all(abs(got[key] - want[key]) < 1e-10 for key in want)
+    v = x.filter(f"{S} = 'long'").orderBy("node_id").select(*blocks.names(6)).toPandas().to_numpy()
+    assert len(v) == 1200 and np.allclose(v.T @ v, np.eye(6), atol=1e-9)
+
+
+def test_low_modes_are_those_of_whole_structures(spark):
+    edges = spark.createDataFrame([(s, a, b) for s, n in (("a", 20), ("b", 8)) for a in range(n) for b in range(n) if a != b and (a * b) % 3 == 1], f"{S} string, i long, j long")
+    nodes = spark.createDataFrame([(s, k) for s, n in (("a", 20), ("b", 8)) for k in range(n)], f"{S} string, node_id long")
+    one, other = ({(r[S], r.k): r.w for r in blocks.low_modes(nodes, edges, k=3, dense=n)[0].collect()} for n in (100, 10))
+    assert one.keys() == other.keys() and all(abs(one[key] - other[key]) < 1e-7 for key in one)
