@@ -3,9 +3,10 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from fernwave.operators import blocks, graph
+from fernwave.operators import blocks, boosting, graph
 from fernwave.operators.graph import S
 
 
@@ -51,3 +52,10 @@ def test_low_modes_are_those_of_whole_structures(spark):
     nodes = spark.createDataFrame([(s, k) for s, n in (("a", 20), ("b", 8)) for k in range(n)], f"{S} string, node_id long")
     one, other = ({(r[S], r.k): r.w for r in blocks.low_modes(nodes, edges, k=3, dense=n)[0].collect()} for n in (100, 10))
     assert one.keys() == other.keys() and all(abs(one[key] - other[key]) < 1e-7 for key in one)
+
+
+def test_boosting_is_spread_over_tasks(spark):
+    x = spark.range(30_000).selectExpr("CAST(id % 3 AS string) AS structure_id", "id AS node_id", "CAST(id % 7 = 0 AS int) AS y01", "CAST(id % 11 AS double) AS v")
+    scored, _ = boosting.boosted(x, ["v"], boosting.Settings(trees=1))
+    sizes = [r["n"] for r in scored.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) == 3 and max(sizes) < 12_000
