@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from fernwave.operators import blocks, boosting, graph
 from fernwave.operators.graph import S
+from fernwave.plans import catalogue
 
 
 def cloud(spark, x, s="a"):
@@ -59,3 +60,25 @@ def test_boosting_is_spread_over_tasks(spark):
     scored, _ = boosting.boosted(x, ["v"], boosting.Settings(trees=1))
     sizes = [r["n"] for r in scored.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert len(sizes) == 3 and max(sizes) < 12_000
+
+
+@pytest.fixture
+def counted(spark):
+    """Two rings, and how often a row of their edges was made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    nodes = spark.createDataFrame([(s, k, k * 1.0, 0.0, 0.0, int(k % 3 == 0)) for s in "ab" for k in range(18)], f"{S} string, node_id long, x double, y double, z double, y01 int")
+    edges = spark.createDataFrame([(s, a, (a + d) % 18) for s in "ab" for a in range(18) for d in (1, 17)], f"{S} string, i long, j long")
+    return nodes, edges.mapInPandas(run, edges.schema), made
+
+
+def test_spectral_preservation_makes_edges_once(spark, counted, monkeypatch):
+    nodes, edges, made = counted
+    monkeypatch.setattr(catalogue, "structures", lambda *_: (nodes, edges))
+    assert catalogue.spectral_preservation(spark, "").count() == 2
+    assert made.value == 72
