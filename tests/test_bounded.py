@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from fernwave.operators import blocks, boosting, graph
 from fernwave.operators.graph import S
-from fernwave.plans import catalogue
+from fernwave.plans import catalogue, experiments
 
 
 def cloud(spark, x, s="a"):
@@ -82,3 +82,10 @@ def test_spectral_preservation_makes_edges_once(spark, counted, monkeypatch):
     monkeypatch.setattr(catalogue, "structures", lambda *_: (nodes, edges))
     assert catalogue.spectral_preservation(spark, "").count() == 2
     assert made.value == 72
+
+
+def test_retention_makes_edges_once(spark, counted):
+    nodes, edges, made = counted
+    thirds = lambda n, e, ratio: n.select(S, "node_id", F.expr(f"node_id div {ratio}").alias("cluster_id"))
+    assert experiments.retention(nodes, edges, thirds).count() == 6
+    assert made.value == 72
