@@ -35,7 +35,7 @@ def both(spark, path, name):
     return got
 
 
-@pytest.mark.parametrize("name", ["logistic_fit"])
+@pytest.mark.parametrize("name", ["logistic_fit", "best_channel_pooled"])
 def test_every_structure_is_a_fold(spark, grown, name):
     got = both(spark, grown, name)
     assert got["structure_id" if name == "logistic_fit" else "fold"].nunique() == 20
