@@ -13,7 +13,7 @@ from ..operators import circuits, graph, learned, ranking
 from ..operators.graph import S
 from ..sources import formats, sinks, structures
 from ..sources.points import embedding_nodes
-from .catalogue import AUCS, CH, KNN, NODES, ORDER, _aucs, _ordered, query, with_
+from .catalogue import AUCS, CH, KNN, NODES, ORDER, _aucs, _ordered, query, whole, whole_structures, with_
 from .spectra import paths
 
 RES = structures.AMINO[:20]
@@ -220,10 +220,10 @@ def file_targets(spark, sf_dir):
 # Sinks: what is written, as it is read back
 
 
-def _board(spark, sf_dir) -> DataFrame:
+def _board(spark, sf_dir, whole: bool = False) -> DataFrame:
     """Two frames of unequal columns as one board: the channels' AUC, and hits of one of them."""
-    auc = _aucs(spark, sf_dir).select(F.col("channel").alias("exp"), S, F.round("auc", 4).alias("roc_auc"))
-    r, _ = _ordered(spark, sf_dir)
+    auc = _aucs(spark, sf_dir, whole).select(F.col("channel").alias("exp"), S, F.round("auc", 4).alias("roc_auc"))
+    r, _ = _ordered(spark, sf_dir, whole)
     hits = r.filter("pos <= 5").groupBy(S).agg(F.max((F.col("node_id") % 3 == 0).cast("int")).alias("hit_5"))
     with_hits = auc.filter("exp = 'x'").join(hits, S).select("exp", S, "roc_auc", "hit_5")
     return sinks.leaderboard([with_hits, auc.filter("exp <> 'x'")])
@@ -255,12 +255,12 @@ def sink_hits(spark, sf_dir):
     return spark.read.schema("node_id long, pos int, score double, structure_id string").json(f"{path}/hits").select(S, "node_id", "pos", "score")
 
 
-@query(with_(KNN, "SELECT CAST(label AS VARCHAR) AS structure_id, i, j, 1.0::DOUBLE AS v FROM knn"))
+@query(whole(with_(KNN, "SELECT CAST(label AS VARCHAR) AS structure_id, i, j, 1.0::DOUBLE AS v FROM knn")))
 def sink_matrix(spark, sf_dir):
     path = _fresh(spark, "run")
-    r, n = _ordered(spark, sf_dir)
-    m = graph.hamiltonian(n, graph.knn_edges(n, 10), "adjacency")
-    sinks.write_run(path, ranking.hit_list(r, n), _board(spark, sf_dir), m)
+    r, n = _ordered(spark, sf_dir, whole=True)
+    m = graph.hamiltonian(*whole_structures(spark, sf_dir), "adjacency")
+    sinks.write_run(path, ranking.hit_list(r, n), _board(spark, sf_dir, whole=True), m)
     return spark.read.schema("i long, j long, v double, structure_id string").parquet(f"{path}/matrix").select(S, "i", "j", "v")
 
 

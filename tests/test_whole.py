@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from fernwave.operators import circuits, graph
 
 DATA = "/root/testdata/sf0.001"
 
@@ -39,3 +40,54 @@ def both(spark, path, name):
 def test_every_structure_is_a_fold(spark, grown, name):
     got = both(spark, grown, name)
     assert got["structure_id" if name == "logistic_fit" else "fold"].nunique() == 20
+
+
+# Structures of a label's points, whatever their ids
+
+
+@pytest.mark.parametrize("name", ["knn_edges", "graph_distance_hist", "graph_centrality", "band_score_shared", "active_raw", "active_zscore", "active_zabs", "cheb_rowsum", "ctqw_probs", "sink_matrix"])
+def test_partners_are_sought_in_the_whole_label(spark, grown, name):
+    got = both(spark, grown, name)
+    if "structure_id" in got:
+        assert set(got["structure_id"]) == {str(k) for k in range(10)}
+    if name == "knn_edges":
+        assert ((got.i < 10_000) != (got.j < 10_000)).any()
+
+
+def test_nearest_rows_by_blocks_are_those_of_all_pairs(monkeypatch):
+    g = np.random.default_rng(1)
+    for x in (g.normal(size=(1500, 3)), np.round(g.normal(size=(1500, 3))), np.zeros((1500, 3)), np.column_stack([np.arange(1500.0), np.zeros(1500), np.zeros(1500)])):
+        ids = np.arange(1500) // 2 if len(np.unique(x[:, 0])) == 1 else np.arange(1500)
+        for k in (1, 10):
+            few = graph.nearest_rows(ids, x, k)
+            with monkeypatch.context() as m:
+                m.setattr(graph, "CHUNK", 1500)
+                all_ = graph.nearest_rows(ids, x, k)
+            assert all(np.array_equal(p, q) for p, q in zip(few, all_, strict=True))
+
+
+def test_searches_in_tasks_by_joins_and_by_chunks_agree(spark, monkeypatch):
+    """Two parts, one of them without an active node, and a node alone; sources in several chunks."""
+    monkeypatch.setattr(graph, "SOURCES", 64)
+    g = np.random.default_rng(4)
+    rows = [("a", k) for k in range(150)] + [("b", k) for k in range(40)] + [("c", k) for k in range(9)]
+    pairs = {(s, *sorted((int(p), int(q)))) for s, n, m in (("a", 149, 220), ("b", 40, 60)) for p, q in g.integers(0, n, (m, 2)) if p != q} | {("c", k, k + 1) for k in range(8) if k != 5}
+    nodes = spark.createDataFrame([(s, k, k % 50 == 3 if s != "c" else k in (0, 8)) for s, k in rows], "structure_id string, node_id long, is_active boolean")
+    edges = spark.createDataFrame([(s, i, j) for s, p, q in pairs for i, j in ((p, q), (q, p))], "structure_id string, i long, j long")
+    seen = lambda df: sorted(map(tuple, df.collect()))
+    for f in (graph.distance_histogram, graph.reach_centrality, graph.active_shells):
+        assert seen(f(nodes, edges)) == seen(f(nodes, edges, most=0)) == seen(f(nodes, edges, most=50))
+    far = graph.graph_distance(nodes, edges)
+    assert seen(graph.distance_histogram(nodes, edges)) == seen(far.groupBy("structure_id", "d").count().selectExpr("structure_id", "d", "count"))
+    of_active = far.join(nodes.filter("is_active").selectExpr("structure_id", "node_id AS j"), ["structure_id", "j"]).groupBy("structure_id", "i").agg({"d": "min", "j": "count"}).toPandas()
+    n_active = {r.structure_id: r["count"] for r in nodes.filter("is_active").groupBy("structure_id").count().collect()}
+    want = sorted((r.structure_id, r.i, r["min(d)"]) for _, r in of_active.iterrows() if r["count(j)"] == n_active[r.structure_id])
+    assert seen(graph.active_shells(nodes, edges)) == want
+
+
+def test_sparse_walk_is_the_dense_one():
+    g = np.random.default_rng(7)
+    a = np.triu(g.random((40, 40)) < 0.1, 1).astype(float)
+    a += a.T
+    i, j = np.nonzero(a)
+    assert np.abs(circuits.sparse_walk(i, j, 40, 3, 2.0) - circuits.exact_walk(a, 3, 2.0)).max() < 1e-11
