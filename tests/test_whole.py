@@ -4,10 +4,12 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from fernwave.operators import circuits, graph
+from fernwave.operators import circuits, graph, paths, spectral
+from fernwave.plans import spectra
 
 DATA = "/root/testdata/sf0.001"
 
@@ -91,3 +93,42 @@ def test_sparse_walk_is_the_dense_one():
     a += a.T
     i, j = np.nonzero(a)
     assert np.abs(circuits.sparse_walk(i, j, 40, 3, 2.0) - circuits.exact_walk(a, 3, 2.0)).max() < 1e-11
+
+
+# Long paths
+
+
+def path_of(n):
+    r = np.arange(n - 1)
+    g = np.random.default_rng(n)
+    at = pd.DataFrame({"node_id": 3 * np.arange(n), "x": g.normal(0, 10, n), "y": g.normal(0, 10, n)})
+    return spectral.Structure(at, pd.DataFrame({"i": 3 * np.append(r, r + 1), "j": 3 * np.append(r + 1, r)}))
+
+
+@pytest.mark.parametrize("n", [2, 3, 7, 120, 121])
+def test_long_paths_are_as_dense_ones(monkeypatch, n):
+    for metric in spectra.MATRICES:
+        kind, params = spectra.KINDS.get(metric, "laplacian"), spectra.PARAMS.get(metric, {})
+        dense = spectral.metric_band(path_of(n), metric, kind, **params)
+        with monkeypatch.context() as m:
+            m.setattr(spectral, "DENSE", 1)
+            m.setattr(np.linalg, "eigh", None)  # not used
+            known = spectral.metric_band(path_of(n), metric, kind, **params)
+        assert np.abs(dense - known).max() < 1e-8 * max(1.0, np.abs(dense).max()), metric
+    dense = path_of(n).gauge_channels()
+    monkeypatch.setattr(spectral, "DENSE", 1)
+    monkeypatch.setattr(paths, "ENTRIES", 500)
+    for a, b in zip(dense, path_of(n).gauge_channels(), strict=True):
+        assert np.abs(a - b).max() < 1e-8
+
+
+def test_only_paths_are_taken_for_paths():
+    ring = path_of(5)
+    assert ring.is_path
+    ids = ring.ids
+    assert not spectral.Structure(ring.nodes, pd.DataFrame({"i": [*ids[:-1], *ids[1:], ids[0], ids[-1]], "j": [*ids[1:], *ids[:-1], ids[-1], ids[0]]})).is_path
+
+
+@pytest.mark.parametrize("name", ["path_time_avg_sampled", "path_gauge"])
+def test_paths_hold_the_whole_label(spark, grown, name):
+    both(spark, grown, name)
