@@ -149,3 +149,17 @@ def test_probes_and_terms_are_the_reference_projects(spark):
         got = blocks.stochastic_band(nodes, edges, f, 5, dense=dense).orderBy("node_id").toPandas()
         assert np.abs(got.score.to_numpy() - want).max() < 1e-9
     assert "range(40) a(k)" in entry.oracle_sql()["stochastic_connectivity"]
+
+
+def test_smoothing_over_contacts_moves_none_of_them(spark):
+    """As over their edges, in one shuffle of few rows for each node where there are hundreds of contacts."""
+    g = np.random.default_rng(8)
+    rows = [(s, k, *map(float, g.normal(0, w, 3)), float(g.normal())) for s, n, w in (("a", 300, 2.0), ("b", 40, 30.0)) for k in range(n)]
+    nodes = spark.createDataFrame(rows, "structure_id string, node_id long, x double, y double, z double, score double")
+    scores = nodes.select("structure_id", "node_id", "score")
+    got = graph.smooth(scores, nodes, None, 2, 0.3, cutoff=8.0).toPandas().set_index(["structure_id", "node_id"]).score
+    want = graph.smooth(scores, nodes, graph.contact_edges(nodes, 8.0), 2, 0.3).toPandas().set_index(["structure_id", "node_id"]).score
+    assert len(got) == len(rows) and np.abs(got - want.loc[got.index]).max() < 1e-12
+    # Contacts are summed where they are made: the plan deals cells, and sums by node, but never the pairs.
+    plan = graph.smooth(scores, nodes, None, 1, cutoff=8.0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [structure_id#" in plan and "partial_avg" in plan
